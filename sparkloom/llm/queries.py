@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import mixing
+from sparkloom.llm import mixing, quality_crf, toxicity
 
 
 def queries() -> dict:
-    return {"op8_mix": mixing.op8_mix}
+    return {
+        "op2_quality": quality_crf.op2_quality,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op8_mix": mixing.op8_mix,
+    }
 
 
 def oracle_sql() -> dict:
