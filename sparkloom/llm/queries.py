@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import mixing, quality_crf, toxicity
+from sparkloom.llm import mixing, order_minhash, pieces, quality_crf, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_quality": quality_crf.op2_quality,
         "op6_toxicity": toxicity.op6_toxicity,
         "op8_mix": mixing.op8_mix,
+        "op9_pieces": pieces.op9_pieces,
+        "op10_order_minhash": order_minhash.op10_order_minhash,
     }
 
 
