@@ -5,9 +5,8 @@ U+2581) and cut where a space follows another character, which no piece crosses.
 The best segmentation of each distinct word is found once per task: words of
 equal length advance together; substring hashes probe the sorted piece keys; the
 scores of all words' best prefixes are matrices, and vectorised maxima store the
-backpointers. Equal scores keep the longer last piece, as the public library does
-for a unigram model over the same pieces. Characters that no piece covers become
-the bytes of their UTF-8 form.
+backpointers. Equal scores keep the longer last piece. Characters that no piece
+covers become the bytes of their UTF-8 form.
 
 The vocabulary's own kind is not asked for: its scores are ranks of merges, and
 the segmentation is the one of highest total score, not a replay of merges.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from sparkloom.llm import mixing, order_minhash, pieces, quality_crf, toxicity
 
 
@@ -12,6 +13,7 @@ def queries() -> dict:
         "op8_mix": mixing.op8_mix,
         "op9_pieces": pieces.op9_pieces,
         "op10_order_minhash": order_minhash.op10_order_minhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 
