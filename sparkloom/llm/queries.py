@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkloom.llm import mixing, order_minhash, pieces, quality_crf, toxicity
+from sparkloom.llm import fingerprints, mixing, order_minhash, pieces, quality_crf, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_quality": quality_crf.op2_quality,
+        "op3_fingerprints": fingerprints.op3_fingerprints,
         "op6_toxicity": toxicity.op6_toxicity,
         "op8_mix": mixing.op8_mix,
         "op9_pieces": pieces.op9_pieces,
