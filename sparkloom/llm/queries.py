@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkloom.llm import fingerprints, mixing, order_minhash, pieces, quality_crf, toxicity
+from sparkloom.llm import fingerprints, mixing, order_minhash, pieces, quality_crf, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_quality": quality_crf.op2_quality,
         "op3_fingerprints": fingerprints.op3_fingerprints,
+        "op4_rules": quality_rules.op4_rules,
         "op6_toxicity": toxicity.op6_toxicity,
         "op8_mix": mixing.op8_mix,
         "op9_pieces": pieces.op9_pieces,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_mix": mixing.OP8_SQL}
+    return {"op4_rules": quality_rules.OP4_SQL, "op8_mix": mixing.OP8_SQL}
