@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkloom.llm import fingerprints, mixing, order_minhash, pieces, quality_crf, quality_rules, toxicity
+from sparkloom.llm import fingerprints, mixing, order_minhash, pieces, quality_crf, quality_rules, token_codes, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality": quality_crf.op2_quality,
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_rules": quality_rules.op4_rules,
+        "op5_tokens": token_codes.op5_tokens,
         "op6_toxicity": toxicity.op6_toxicity,
         "op8_mix": mixing.op8_mix,
         "op9_pieces": pieces.op9_pieces,
