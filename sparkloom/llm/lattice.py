@@ -71,3 +71,17 @@ class PieceTable:
             hit = self.keys[at] == want
             where = maybe[hit]
             yield size, where // last, where % last, self.numbers[at[hit]]
+
+
+def edges_by_end(table: PieceTable, points: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """For each end position the pieces that end there, by rising length: (length, rows, piece numbers)."""
+    _, length = points.shape
+    edges: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(length + 1)]
+    for size, row, start, number in table.find(points):
+        order = np.argsort(start, kind="stable")
+        row, start, number = row[order], start[order], number[order]
+        cuts = np.searchsorted(start, np.arange(length - size + 2))
+        for s in range(length - size + 1):
+            if cuts[s] < cuts[s + 1]:
+                edges[s + size].append((size, row[cuts[s] : cuts[s + 1]], number[cuts[s] : cuts[s + 1]]))
+    return edges

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from sparkloom.llm.common import read
-from sparkloom.llm.lattice import PieceTable, code_points
+from sparkloom.llm.lattice import PieceTable, code_points, edges_by_end
 from sparkloom.llm.textbatch import Interner, Ragged, Texts, pieces
 
 SPACE_MARK = "▁"
@@ -92,18 +92,11 @@ class Pieces:
         rows, length = points.shape
         if not length:
             return [np.zeros(0, np.int32)] * rows
-        # edges into each end position, by piece length
-        edges: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(length + 1)]
+        edges = edges_by_end(self.table, points)
         covered = np.zeros((rows, length), dtype=bool)
-        for size, row, start, number in self.table.find(points):
-            order = np.argsort(start, kind="stable")
-            row, start, number = row[order], start[order], number[order]
-            if size == 1:
-                covered[row, start] = True
-            cuts = np.searchsorted(start, np.arange(length - size + 2))
-            for s in range(length - size + 1):
-                if cuts[s] < cuts[s + 1]:
-                    edges[s + size].append((size, row[cuts[s] : cuts[s + 1]], number[cuts[s] : cuts[s + 1]]))
+        for end, into in enumerate(edges):
+            if into and into[0][0] == 1:
+                covered[into[0][1], end - 1] = True
         best = np.full((rows, length + 1), -np.inf)
         best[:, 0] = 0
         back = np.zeros((rows, length + 1), np.int16)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkloom.llm import fingerprints, mixing, order_minhash, pieces, quality_crf, quality_rules, token_codes, toxicity
+from sparkloom.llm import fingerprints, language_id, mixing, order_minhash, pieces, quality_crf, quality_rules, token_codes, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_rules": quality_rules.op4_rules,
         "op5_tokens": token_codes.op5_tokens,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_language": language_id.op7_language,
         "op8_mix": mixing.op8_mix,
         "op9_pieces": pieces.op9_pieces,
         "op10_order_minhash": order_minhash.op10_order_minhash,
