@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkloom.llm import fingerprints, language_id, mixing, order_minhash, pieces, quality_crf, quality_rules, token_codes, toxicity
+from sparkloom.llm import fingerprints, language_id, license_scan, mixing, order_minhash, pieces, quality_crf, quality_rules, token_codes, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_licenses": license_scan.op1_licenses,
         "op2_quality": quality_crf.op2_quality,
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_rules": quality_rules.op4_rules,
@@ -22,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_rules": quality_rules.OP4_SQL, "op8_mix": mixing.OP8_SQL}
+    return {"op1_licenses": license_scan.OP1_SQL, "op4_rules": quality_rules.OP4_SQL, "op8_mix": mixing.OP8_SQL}
