@@ -45,14 +45,15 @@ def gcn_norm(edges: DataFrame, h: DataFrame, degrees: DataFrame, targets: DataFr
     """w / (d_v + w) x_v + sum x_u / sqrt((d_v + w)(d_u + w)), with w = 2 if improved, else 1.
 
     1 / sqrt(d + w) is computed once a node and taken out of the sum: vectors are
-    scaled before the join, and the sum once more by the target.
+    scaled before the join, and the sum once more by the target. `targets` holds
+    each node once.
     """
     w = 2.0 if improved else 1.0
     scale = degrees.select("node_id", (F.lit(1.0) / F.sqrt(F.col("degree") + F.lit(w))).alias("r"))
-    scaled = h.join(scale, "node_id").select("node_id", F.transform("h", lambda x: x).alias("h"), "r")
+    scaled = h.join(scale, "node_id").select("node_id", "h", "r")
     sent = scaled.select("node_id", F.array(*[F.col("h")[i] * F.col("r") for i in range(dim)]).alias("h"))
     summed = aggregate(edges, sent, dim, "sum").withColumnRenamed("h", "s")
-    own = targets.select("node_id").distinct().join(scaled, "node_id").join(summed, "node_id", "left")
+    own = targets.select("node_id").join(scaled, "node_id").join(summed, "node_id", "left")
     return own.select("node_id", F.array(*[F.lit(w) * F.col("r") * F.col("r") * F.col("h")[i] + F.col("r") * F.coalesce(F.col("s")[i], F.lit(0.0)) for i in range(dim)]).alias("h"))
 
 

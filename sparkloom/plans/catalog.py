@@ -961,3 +961,79 @@ def list_functions(spark, d):
     h = F.col("features")
     return fx.nodes(spark, d).select("node_id", F.size(F.filter(h, lambda x: x > 0)).cast("long").alias("positive"), F.size(F.array_distinct(F.transform(h, lambda x: F.floor(x * 4).cast("int")))).cast("long").alias("levels"), rounded(F.sqrt(vec.dot(h, h))).alias("norm"))
 
+
+
+# ---- further operators of the same families
+
+
+@query("hybrid_forward", sql("g1 x seeds", out_sql("y"), *sample_ctes("g1", [10, 5]), "degs AS (SELECT v.node_id, count(s.src) AS d FROM visited v LEFT JOIN sampled s ON s.dst = v.node_id GROUP BY v.node_id)",
+    "targets AS (SELECT node_id FROM visited WHERE hop = 1)", "rest AS (SELECT node_id FROM visited WHERE hop = 0)", "into1 AS (SELECT src, dst FROM sampled WHERE dst IN (SELECT node_id FROM targets))", f"pre AS ({gcn_sql('into1', 'degs', 'x', 'targets')})",
+    "z AS (SELECT v.node_id, x.dim, CASE WHEN v.hop = 2 THEN 0.0::DOUBLE ELSE x.v END AS v FROM visited v JOIN x USING (node_id))", "into0 AS (SELECT src, dst FROM sampled WHERE hop = 1)", f"low AS ({gcn_sql('into0', 'degs', 'z', 'rest')})",
+    f"y AS ({linear_sql('(SELECT * FROM pre UNION ALL SELECT * FROM low)', 8)})"))
+def hybrid_forward(spark, d):
+    """First layer with the frontier's vectors zeroed; the targets' rows come from the pre-aggregated vectors."""
+    nodes, edges = smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [10, 5])
+    counted = edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("degree"))
+    degrees = nodes.join(counted, "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    pre = agg.gcn_norm(edges.where("hop = 2"), _x(spark, d), degrees, nodes.where("hop = 1"), DIM)
+    own = nodes.join(fx.nodes(spark, d).select("node_id", "features"), "node_id")
+    bundle = feat.hybrid_bundle(own, nodes.where("hop = 2"), pre, DIM)
+    low = agg.gcn_norm(edges.where("hop = 1"), bundle.select("node_id", "h"), degrees, nodes.where("hop = 0"), DIM)
+    rows = bundle.join(low.withColumnRenamed("h", "low"), "node_id", "left").select("node_id", F.coalesce("preagg", "low").alias("h")).where(F.col("h").isNotNull())
+    return vec.long_form(rows.select("node_id", vec.linear(F.col("h"), weight(8, DIM), bias(8)).alias("h")), "h")
+
+
+@query("mean_store", sql("g2 x seeds", f"SELECT s.node_id, x.dim, {_round('coalesce(m.v, 0.0)')} AS h, coalesce(CAST(e.label AS BIGINT), -1) AS target FROM seeds s JOIN x ON x.node_id = s.node_id LEFT JOIN (SELECT p.dst, x.dim, avg(x.v) AS v FROM sampled p JOIN x ON x.node_id = p.src GROUP BY p.dst, x.dim) m ON m.dst = s.node_id AND m.dim = x.dim LEFT JOIN embeddings e ON e.vec_id = s.node_id", *sample_ctes("g2", [3])))
+def mean_store(spark, d):
+    """Means over the sampled neighbours, zeros without one, with labels."""
+    seeds = fx.seeds(spark, d)
+    edges = smp.fanout(fx.graph(spark, d, True), seeds, [3])[1]
+    means = agg.aggregate(edges, _x(spark, d), DIM, "mean").select("node_id", F.col("h").alias("features"))
+    labels = fx.nodes(spark, d).select("node_id", "target")
+    requests = seeds.select(F.col("node_id").alias("pos"), "node_id")
+    return vec.long_form(feat.gather(requests, labels.join(means, "node_id", "left"), DIM).drop("pos"), "h")
+
+
+@query("status_counts", sql("log", "SELECT user_id, count(*) FILTER (event = 'purchase') AS ok, count(*) FILTER (event = 'error') AS failed, count(*) AS runs FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM log) WHERE rn > 1 GROUP BY user_id"))
+def status_counts(spark, d):
+    rows = ev.after_warmup(fx.log(spark, d), ["user_id"], "event_id", 1)
+    return rows.groupBy("user_id").agg(F.count(F.when(F.col("event") == "purchase", 1)).alias("ok"), F.count(F.when(F.col("event") == "error", 1)).alias("failed"), F.count("*").alias("runs"))
+
+
+@query("latency_segments", f"SELECT l_orderkey, l_linenumber, {_round('greatest(l_quantity - 10, 0.0)')} AS startup, {_round('greatest(l_extendedprice / 1000 - l_quantity, 0.0)')} AS execution, {_round('greatest(l_extendedprice / 500 - l_extendedprice / 1000, 0.0)')} AS receive FROM lineitem")
+def latency_segments(spark, d):
+    at = [F.lit(10.0), F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_extendedprice") / 500]
+    names = ("startup", "execution", "receive")
+    return fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[rounded(F.greatest(b - a, F.lit(0.0))).alias(n) for n, a, b in zip(names, at, at[1:], strict=False)])
+
+
+@query("derived_scalars", sql("log", f"SELECT user_id, {_round('stddev_pop(value) / avg(value)')} AS variation, {_round('sum(value) FILTER (event = chr(101) || chr(114) || chr(114) || chr(111) || chr(114)) / sum(value)')} AS overhead, CAST(arg_min(i, (-value, i)) AS BIGINT) AS steps_to_best FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM log) GROUP BY user_id".replace("chr(101) || chr(114) || chr(114) || chr(111) || chr(114)", "'error'")))
+def derived_scalars(spark, d):
+    from pyspark.sql import Window
+
+    rows = fx.log(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
+    out = rows.groupBy("user_id").agg((F.stddev_pop("value") / F.avg("value")).alias("variation"), (F.sum(F.when(F.col("event") == "error", F.col("value"))) / F.sum("value")).alias("overhead"), F.min_by("i", F.struct(-F.col("value"), F.col("i"))).alias("steps_to_best"))
+    return out.select("user_id", rounded(F.col("variation")).alias("variation"), rounded(F.col("overhead")).alias("overhead"), "steps_to_best")
+
+
+@query("profile_totals", "SELECT o_orderkey AS query, CAST(any_value(o_custkey) + coalesce(sum(l_partkey), 0) AS BIGINT) AS hits FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def profile_totals(spark, d):
+    return profile_flatten(spark, d).groupBy("query").agg(F.sum("hits").alias("hits"))
+
+
+@query("ztest_edges", sql("g2 und2 seeds", f"SELECT edge, {_round('(na / ta - nb / tb) / sqrt(pool * (1 - pool) * (1 / ta + 1 / tb))')} AS z FROM (SELECT *, (na + nb) / (ta + tb) AS pool FROM both_, tot) WHERE pool > 0 AND pool < 1", *sample_ctes("g2", [4, 3]),
+    "ca AS (SELECT concat_ws('_', least(src, dst), greatest(src, dst)) AS edge, count(*) AS n FROM sampled GROUP BY 1)", "cb AS (SELECT concat_ws('_', least(src, dst), greatest(src, dst)) AS edge, count(*) AS n FROM g2 WHERE dst IN (SELECT node_id FROM seeds) GROUP BY 1)",
+    "both_ AS (SELECT edge, coalesce(ca.n, 0) AS na, coalesce(cb.n, 0) AS nb FROM ca FULL OUTER JOIN cb USING (edge))", "tot AS (SELECT sum(na)::DOUBLE AS ta, sum(nb)::DOUBLE AS tb FROM both_)"))
+def ztest_edges(spark, d):
+    g, s = fx.graph(spark, d, True), fx.seeds(spark, d)
+    count = lambda e: e.groupBy(div.undirected_key().alias("edge")).agg(F.count("*").alias("n"))
+    out = div.two_proportions(count(smp.fanout(g, s, [4, 3])[1]), count(smp.fanout(g, s, [-1])[1]), "edge")
+    return out.select("edge", rounded(F.col("z")).alias("z"))
+
+
+@query("resumed_load", sql("nodes g2", "SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT dst FROM g2)"))
+def resumed_load(spark, d):
+    from sparkloom.sources.readers import missing_features
+
+    done = fx.graph(spark, d, True).edges.select(F.col("dst").alias("node_id"))
+    return missing_features(fx.nodes(spark, d).select("node_id"), done)

@@ -77,10 +77,10 @@ def infer(graph: PropertyGraph, seeds: DataFrame | None, spec: ModelSpec, *, deg
         nodes, edges = fanout(graph, seeds, spec.fanouts, seed=seed)
     if degree == "sampled":
         counted = edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("degree"))
-        degrees = nodes.select("node_id").distinct().join(counted, "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"))
+        degrees = nodes.select("node_id").join(counted, "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"))
     else:
         degrees = graph.resolved_degrees(None if degree == "full" else degree)
-    h = nodes.select("node_id").distinct().join(graph.nodes.where(F.col("features").isNotNull()).select("node_id", F.col("features").cast("array<double>").alias("h")), "node_id")
+    h = nodes.select("node_id").join(graph.nodes.where(F.col("features").isNotNull()).select("node_id", F.col("features").cast("array<double>").alias("h")), "node_id")
     level = spec.num_hops
     for is_aggregate, run in groupby(commute(spec) if rewrite else spec.layers, key=lambda x: x.op == "aggregate"):
         if not is_aggregate:
@@ -91,11 +91,12 @@ def infer(graph: PropertyGraph, seeds: DataFrame | None, spec: ModelSpec, *, deg
         for layer in run:
             level -= 1
             targets = nodes if seeds is None else nodes.where(F.col("hop") <= level)
-            own = edges if seeds is None else edges.join(targets.select(F.col("node_id").alias("dst")).distinct(), "dst", "left_semi")
+            # a node is expanded once, by the edges of the hop after its own
+            own = edges if seeds is None else edges.where(F.col("hop") <= level + 1)
             if layer.method == "gcn_norm":
                 h = agg.gcn_norm(own, h, degrees, targets, width)
             elif layer.method == "mean":
-                h = agg.mean_or_self(own, h, targets.select("node_id").distinct(), width)
+                h = agg.mean_or_self(own, h, targets.select("node_id"), width)
             else:
                 h = agg.aggregate(own, h, width, layer.method)
     return h if seeds is None else h.join(seeds.select("node_id").distinct(), "node_id", "left_semi")
