@@ -174,8 +174,8 @@ def first_of_copies(texts: list[str], hashes: int = 6) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def _document_counts(texts: Texts, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct features of a batch, with the numbers of toxic and other documents that hold each."""
+def _document_features(texts: Texts) -> np.ndarray:
+    """Hashes of the distinct features of each document, one document after the other."""
     _, _, at, kinds = _features(texts)
     doc = np.repeat(np.arange(texts.n), np.diff(at))
     hashes = np.concatenate([h for h, _ in kinds])
@@ -184,9 +184,7 @@ def _document_counts(texts: Texts, toxic: np.ndarray) -> tuple[np.ndarray, np.nd
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, owner = hashes[new], owner[new]
-    keys, inverse = np.unique(hashes, return_inverse=True)
-    return keys, np.bincount(inverse, toxic[owner], len(keys)), np.bincount(inverse, 1 - toxic[owner], len(keys))
+    return hashes[new]
 
 
 def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
@@ -196,14 +194,25 @@ def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     texts, labels = [texts[i] for i in first], labels[first]
     if not len(labels) or labels.min() == labels.max():
         return ToxicityModel(constant=float(labels.mean()) if len(labels) else 0.0)
-    batches = [(Texts.of(texts[i : i + 500]), labels[i : i + 500]) for i in range(0, len(texts), 500)]
-    parts = [_document_counts(t, y) for t, y in batches]
-    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    tox = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys))
-    non = np.bincount(inverse, np.concatenate([p[2] for p in parts]), len(keys))
-    n_tox, n_non = tox.sum(), non.sum()
+    toxic_texts = [texts[i] for i in np.flatnonzero(labels == 1)]
+    # candidates come from the toxic documents; the others are only counted for them
+    found = np.concatenate([_document_features(Texts.of(toxic_texts[i : i + 250])) for i in range(0, len(toxic_texts), 250)])
+    n_tox = len(found)
+    keys, tox = np.unique(found, return_counts=True)
+    keys, tox = keys[tox >= MIN_DOCS], tox[tox >= MIN_DOCS].astype(np.float64)
+    del found
+    if not len(keys):
+        return ToxicityModel(constant=float(labels.mean()))
+    other_texts = [texts[i] for i in np.flatnonzero(labels == 0)]
+    non, n_non = np.zeros(len(keys)), 0
+    for i in range(0, len(other_texts), 250):
+        h = _document_features(Texts.of(other_texts[i : i + 250]))
+        n_non += len(h)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        non += np.bincount(at[keys[at] == h], minlength=len(keys))
     prior = PRIOR_EACH + PRIOR_SHARE * (tox + non)
-    a, b, all_prior = tox + prior, non + prior, prior.sum()
+    all_prior = PRIOR_EACH * len(keys) + PRIOR_SHARE * (n_tox + n_non)
+    a, b = tox + prior, non + prior
     odds = np.log(a / (n_tox + all_prior - a)) - np.log(b / (n_non + all_prior - b))
     z = odds / np.sqrt(1 / a + 1 / b)
     chosen = (z >= MIN_Z) & (tox >= MIN_DOCS)
@@ -211,11 +220,18 @@ def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     if not chosen.any():
         return ToxicityModel(constant=float(labels.mean()))
     # shares of scored tokens in either class give the drift, and the other class's token scores give lambda
-    seen = [(model.token_scores(t), y) for t, y in batches]
-    scored = {c: np.concatenate([np.concatenate([s[at[i] : at[i + 1]] for i in np.flatnonzero(y == c)] or [np.zeros(0)]) for (s, _, _, at), y in seen]) for c in (0, 1)}
-    share = {c: (np.count_nonzero(x) + 0.5) / (len(x) + 1) for c, x in scored.items()}
+    batches = [(texts[i : i + 250], labels[i : i + 250]) for i in range(0, len(texts), 250)]
+    positive: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    tokens = {0: 0, 1: 0}
+    for t, y in batches:
+        scores, _, _, at = model.token_scores(Texts.of(t))
+        owner = np.repeat(y, np.diff(at))
+        for c in (0, 1):
+            positive[c].append(scores[(owner == c) & (scores > 0)])
+            tokens[c] += int(np.count_nonzero(owner == c))
+    share = {c: (sum(map(len, positive[c])) + 0.5) / (tokens[c] + 1) for c in (0, 1)}
     drift = float(min(-1e-3, np.log1p(-share[1]) - np.log1p(-share[0])))
-    hits = scored[0][scored[0] > 0]
+    hits = np.concatenate(positive[0])
     p_hit = share[0]
     values = hits if len(hits) else np.array([model.weights.min()])
     drift = min(drift, -1.5 * p_hit * float(values.mean()) / (1 - p_hit))  # the mean score must be negative
@@ -225,15 +241,16 @@ def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
         grows = p_hit * np.exp(np.minimum(mid * values, 700)).mean() + (1 - p_hit) * np.exp(mid * drift) > 1
         low, high = (low, mid) if grows else (mid, high)
     model.drift, model.lam = drift, (low + high) / 2
-    best, length = [], []
-    for t, y in batches:
-        _, _, top = model.statistics(t)
-        n = np.diff(t.tokens()[2])
-        best.append(top[y == 0])
-        length.append(n[y == 0])
+    best, length, stat = [], [], []
+    for t, _ in batches:
+        batch = Texts.of(t)
+        _, _, top = model.statistics(batch)
+        best.append(top)
+        length.append(np.diff(batch.tokens()[2]))
     best, length = np.concatenate(best), np.concatenate(length)
-    model.k = float(max(len(best), 1) / max(1e-9, (length * np.exp(-model.lam * best)).sum()))
-    stat = np.concatenate([model.statistics(t)[0] for t, _ in batches])
+    clean = labels == 0
+    model.k = float(max(clean.sum(), 1) / max(1e-9, (length[clean] * np.exp(-model.lam * best[clean])).sum()))
+    stat = np.concatenate([model.statistics(Texts.of(t))[0] for t, _ in batches])
     model.slope, model.intercept = _logistic(np.log1p(stat), labels)
     return model
 
@@ -255,9 +272,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
     sample = labelled_sample(docs, labels, "toxic", *SPLIT, rows, SEED).toArrow()
-    order = np.argsort(sample["__id"].to_numpy(), kind="stable")
-    text = sample["text"].to_pylist()
-    return fit([text[i] for i in order], sample["y"].to_numpy()[order])
+    sample = sample.sort_by("__id")
+    text, y = sample["text"].to_pylist(), sample["y"].to_numpy()
+    del sample
+    return fit(text, y)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
