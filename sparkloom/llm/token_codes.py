@@ -36,6 +36,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ from sparkloom.llm.common import read, shared_dir
 from sparkloom.llm.textbatch import Interner, Ragged, Texts, pieces
 
 END_ID = 2
+#: Distinct pieces of text that a worker keeps, some 80 bytes each.
+MOST_PIECES = 3_000_000
 _MAGIC, _BLOCK = b"DAC1", 512
 
 
@@ -148,7 +151,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache, self.epoch, self.found = Interner(), -1, Ragged(np.int32)
+        self.cache, self.epoch, self.found = Interner(MOST_PIECES), -1, Ragged(np.int32)
 
     @staticmethod
     def cuts(texts: Texts) -> np.ndarray:
@@ -181,7 +184,7 @@ class Encoder:
         if len(fresh):
             made = self.tokenizer.encode_batch_fast(texts.strings(starts[fresh], ends[fresh]), add_special_tokens=False)
             lists = [e.ids for e in made]
-            self.found.extend(np.fromiter((i for x in lists for i in x), np.int32), np.fromiter(map(len, lists), np.int64, len(lists)))
+            self.found.extend(np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists)))
         ids, sizes = self.found.gather(codes)
         total = np.concatenate([[0], np.cumsum(sizes)])
         return ids, total[at[1:]] - total[at[:-1]]
