@@ -38,6 +38,8 @@ from sparkloom.llm.textbatch import Interner, Texts, pieces
 #: Bounds of the training sample: documents of each language, languages, characters of a document.
 TRAIN_ROWS, MAX_LANGUAGES, MAX_CHARS = 1_500, 200, 200_000
 SEED, SPLIT = 7, (4, 2)
+#: Distinct words that a worker keeps between tasks.
+MOST_WORDS = 800_000
 ROUNDS, PRIOR, UNCOVERED, SCALE, PART = 2, 2_000.0, 1e-8, 32.0, 64
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -174,7 +176,7 @@ class Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model, self.table = model, PieceTable(model.vocabulary)
-        self.cache, self.epoch = Interner(), -1
+        self.cache, self.epoch = Interner(MOST_WORDS), -1
 
     def _clear(self) -> None:
         self.logs = np.zeros((1 << 14, len(self.model.languages)))

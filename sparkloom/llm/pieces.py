@@ -37,6 +37,8 @@ SPACE_MARK = "▁"
 _MARK = SPACE_MARK.encode()
 #: How much worse than the worst piece an uncovered character is.
 UNKNOWN_PENALTY = 10.0
+#: Distinct words that a worker keeps between tasks, some 120 bytes each.
+MOST_WORDS = 500_000
 
 
 def model_path() -> str:
@@ -74,7 +76,7 @@ class Pieces:
             bodies[i] = bytes([b])
         self.bodies = Ragged(np.uint8)
         self.bodies.extend(np.frombuffer(b"".join(bodies), np.uint8), np.array([len(b) for b in bodies], np.int64))
-        self.cache, self.epoch = Interner(), -1
+        self.cache, self.epoch = Interner(MOST_WORDS), -1
         self.found = Ragged(np.int32)
 
     def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at a time.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX_1, _MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
