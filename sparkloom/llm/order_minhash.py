@@ -20,8 +20,9 @@ copies enters every later step once.
 
 Defined cases: a null text is an empty one; texts without words are near
 duplicates of equal texts only; rows that share an id are one document; a null id
-is replaced by a negative number from the text's hash, and reported as null; an
-empty table gives an empty result; other columns are not read.
+is replaced by a number of 2^62 or more from the text's hash, so that real ids lead
+their classes, and reported as null; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import read, shared_dir
@@ -107,8 +108,13 @@ def sketch(word: np.ndarray, at: np.ndarray, k: int = K, ell: int = ELL, sketche
     return out
 
 
+def _id() -> Column:
+    """The document's id; for a null one a number above the usual ids, from the text's hash."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62))
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(id, ha, hb, n, sk): 128-bit hash of the word sequence, number of words, sketch."""
+    """(id, made, ha, hb, n, sk): id, whether it stands for a null, 128-bit hash of the word sequence, number of words, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text"):
@@ -122,16 +128,11 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
                 hashes.append(mix(np.where(n > 0, sums[at[1:]] - sums[at[:-1]], raw) * salt + n.astype(np.uint64)))
             sk = sketch(word, at)
-            ids = batch.column(0)
-            if ids.null_count:
-                ids = pa.compute.if_else(pa.compute.is_null(ids), pa.array(-(hashes[0] >> np.uint64(2)).astype(np.int64) - 1), ids)
             flat = pa.array(sk.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sk.size + 1, SKETCHES, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(hashes[0].view(np.int64)), pa.array(hashes[1].view(np.int64)), pa.array(n), lists], names=["id", "ha", "hb", "n", "sk"])
-
-    import pyarrow.compute  # noqa: F401  (pa.compute)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes[0].view(np.int64)), pa.array(hashes[1].view(np.int64)), pa.array(n), lists], names=["id", "made", "ha", "hb", "n", "sk"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, ha long, hb long, n long, sk array<long>")
+    return docs.select(_id().alias("id"), F.col("doc_id").cast("long").isNull().alias("made"), "text").mapInArrow(run, "id long, made boolean, ha long, hb long, n long, sk array<long>")
 
 
 def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -236,7 +237,7 @@ def _word_ids(needed: DataFrame, docs: DataFrame) -> DataFrame:
             rows = [short[at[i] : at[i + 1]].tobytes() for i in range(texts.n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["node", "words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(needed, "node", "left_semi").mapInArrow(run, "node long, words binary")
+    return docs.select(_id().alias("node"), "text").join(needed, "node", "left_semi").mapInArrow(run, "node long, words binary")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -277,7 +278,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id) for each row of `docs`; class_id is the least id of the class."""
+    """(doc_id, class_id, made) for each row of `docs`; class_id is the least id of the class, `made` tells ids that stand for nulls."""
     shared_dir(docs.sparkSession)
     signed = _signatures(docs).checkpoint()
     own = Window.partitionBy("ha", "hb").orderBy("id")
@@ -321,7 +322,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     labels = components(found) if labels is None else labels
     # documents -> their text's first document -> its class
     named = heads.select("ha", "hb", "node").join(labels, "node", "left").select("ha", "hb", F.coalesce("root", "node").alias("class_id"))
-    return signed.select("id", "ha", "hb").join(named, ["ha", "hb"]).select(F.col("id").alias("doc_id"), "class_id")
+    return signed.select("id", "made", "ha", "hb").join(named, ["ha", "hb"]).select(F.col("id").alias("doc_id"), "class_id", "made")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -340,11 +341,11 @@ def _comparable(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFr
 
 def op10_order_minhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"))
-    return out.select(F.when(F.col("doc_id") >= 0, F.col("doc_id")).alias("doc_id"), "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return out.select(F.when(~F.col("made"), F.col("doc_id")).alias("doc_id"), "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the document with the least id, once."""
-    classes = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return docs.join(classes, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    classes = near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
+    first = Window.partitionBy("__id").orderBy(F.xxhash64("text"))
+    return docs.withColumn("__id", _id()).join(classes, "__id", "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -479,6 +479,20 @@ def test_near_duplicates_match_plain_version(spark, odd, nothing):
     assert order_minhash.near_duplicates(nothing).count() == 0
 
 
+def test_null_ids_keep_their_groups(spark):
+    rng = random.Random(21)
+    base = sentence(rng, 60)
+    near, other, lone = base.split(), sentence(rng, 60), sentence(rng, 50)
+    near[30] = "changed"
+    rows = [(1, base), (None, base), (2, base), (3, " ".join(near)), (None, other), (-7, other.replace(" ", "  ")), (None, lone), (None, lone), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    classes = order_minhash.near_duplicates(docs).collect()
+    assert len(classes) == len(rows) and sum(r.made for r in classes) == 5
+    assert {r.class_id for r in classes if r.doc_id in (1, 2, 3)} == {1} and sum(r.class_id == 1 for r in classes) == 4
+    out = [(r.doc_id, r.text) for r in order_minhash.stage(spark, docs, "").collect()]
+    assert sorted(out, key=str) == sorted([(1, base), (-7, other.replace(" ", "  ")), (None, lone), (None, None)], key=str)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (8, 7), (5, 5), (6, 7)], "a long, b long")
     assert {r.node: r.root for r in order_minhash.components(edges).collect()} == {2: 1, 3: 1, 4: 1, 7: 6, 8: 6, 9: 6}
