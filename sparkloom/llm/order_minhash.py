@@ -7,11 +7,16 @@ hashed together. Unlike plain MinHash the tuple changes when passages change
 places, so that it follows edit similarity. Texts that share a tuple, and whose
 lengths allow the similarity, are candidates.
 
-Work is linear in the rows of a bucket: members are compared with a few extreme
-members of the bucket under different orders of ids, found by an aggregation with
-map-side combining, never with all others. Buckets that still hold several
-classes after joining what was verified go through further rounds with other
-members as centres. A candidate counts if the word edit distance, by dynamic
+Members of a bucket are compared with a few extreme members under different orders
+of ids, found by an aggregation with map-side combining; work is linear in the
+rows of a bucket. Buckets that still hold several classes after joining what was
+verified go through further rounds, with centres drawn from the classes, each with
+the same chance. Then an exact join settles the members of buckets that are open
+still: texts of L words within D = (1 - SIMILARITY) L edits share L - 1 - 2 D
+labelled word pairs at least, so that some pair is among the first of both in any
+one order; hashes counted seldom come first, which splits a bucket by what its
+texts don't have in common with the rest. There each member outside the largest
+class of a pair's texts meets all others of like length. A candidate counts if the word edit distance, by dynamic
 programming in a diagonal band that is widened until it is exact, is at most
 (1 - SIMILARITY) of the longer text. Classes are the connected components.
 
@@ -240,6 +245,67 @@ def _word_ids(needed: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select(_id().alias("node"), "text").join(needed, "node", "left_semi").mapInArrow(run, "node long, words binary")
 
 
+def _prefixes(words: DataFrame, similarity: float) -> DataFrame:
+    """(words: node, words) -> (node, n, key): each text's labelled word pairs, the seldom ones, as many as it takes to share one with any text similar enough.
+
+    The order is by counts of 65,536 hash values, summed over all texts; every order
+    gives the same result.
+    """
+
+    def windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = [np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]
+        n = np.array([len(x) for x in rows])
+        h, first = labelled_windows(np.concatenate(rows).astype(np.uint64), np.concatenate([[0], np.cumsum(n)]), 2)
+        return n, h, first
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                yield whole.slice(start, 512)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, dtype=np.int64)
+        for batch in slices(batches):
+            total += np.bincount((windows(batch)[1] >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "rows"])
+
+    counted = words.mapInArrow(count, "slot long, rows long").groupBy("slot").agg(F.sum("rows").alias("rows")).toArrow()
+    often = np.zeros(1 << 16, dtype=np.int64)
+    often[counted["slot"].to_numpy()] = counted["rows"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n, h, first = windows(batch)
+            size = np.diff(first)
+            owner = np.repeat(np.arange(len(n)), size)
+            order = np.lexsort((h, often[(h >> np.uint64(48)).astype(np.int64)], owner))
+            take = ranges(first[:-1], np.minimum(size, size - shared_pairs(n, similarity) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[take])), pa.array(n[owner[take]]), pa.array(h[order][take].view(np.int64))], names=["node", "n", "key"])
+
+    return words.mapInArrow(run, "node long, n long, key long")
+
+
+def shared_pairs(n: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Least number of labelled word pairs that a text of n words shares with any similar one as long or longer, 1 at least."""
+    least = np.full(len(n), 2**62)
+    longest = np.floor(n / similarity + 1e-9).astype(np.int64)
+    for more in range(int((longest - n).max(initial=0)) + 1):
+        length = np.minimum(n + more, longest)
+        least = np.minimum(least, length - 1 - 2 * np.floor((1 - similarity) * length + 1e-9).astype(np.int64))
+    return np.maximum(least, 1)
+
+
+def _joined(keyed: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(node, n, key) -> (a, b) of different classes and like length that share a key; of each key the largest class isn't compared within itself."""
+    named = keyed.join(labels.withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    main = named.groupBy("key", "class").count().groupBy("key").agg(F.max(F.struct("count", "class"))["class"].alias("main"), F.count("*").alias("classes")).where("classes > 1")
+    members = named.join(main.select("key", "main"), "key")
+    small = members.where("class != main").select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "class")])
+    like = F.least("n", "n_") >= F.lit(similarity) * F.greatest("n", "n_")
+    return small.join(members, "key").where((F.col("class") != F.col("class_")) & like).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
     """(a, b, wa, wb) -> (a, b) of those similar enough."""
 
@@ -293,38 +359,49 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     twins = signed.groupBy("id").agg(F.min("ha").alias("x"), F.max("ha").alias("y")).where("x != y").select("id")
     ties = signed.join(twins, "id").join(heads.select("ha", "hb", "node"), ["ha", "hb"]).select(F.col("id").alias("a"), F.col("node").alias("b"))
     found, tested = ties.where("a != b").distinct().checkpoint(), None
-    labels = None
+    labels = components(found)
     for turn, centres in enumerate(CENTRES):
         # centres of all buckets that hold more than one class
-        if labels is None:
-            marked = rows.withColumn("class", F.col("node"))
+        marked = rows if turn == 0 else open_rows  # noqa: F821
+        marked = marked.join(labels, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+        if turn == 0:
+            picks = [F.min(F.col("node").bitwiseXOR(F.lit(x).cast("long"))).bitwiseXOR(F.lit(x).cast("long")) for x in centres]
         else:
-            marked = open_rows.drop("class").join(labels, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")  # noqa: F821
-        mask = [F.lit(x).cast("long") for x in centres]
-        heart = marked.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), *[F.min(F.col("node").bitwiseXOR(x)).alias(f"c{i}") for i, x in enumerate(mask)]).where("lo < hi")
-        heart = heart.select("key", F.array_distinct(F.array(*[F.col(f"c{i}").bitwiseXOR(x) for i, x in enumerate(mask)])).alias("centres"))
-        open_rows = marked.join(heart, "key").checkpoint() if turn == 0 else marked.join(heart, "key")
-        pairs = open_rows.select("node", F.explode("centres").alias("c")).where("node != c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+            picks = [F.min(F.struct(F.xxhash64("class", F.lit(x).cast("long")), "node"))["node"] for x in centres]
+        heart = marked.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("members"), F.array_distinct(F.array(*picks)).alias("centres")).where("lo < hi")
+        marked = marked.join(heart.select("key", "members", "centres"), "key")
+        marked = marked.checkpoint() if turn == 0 else marked
+        pairs = marked.select("node", F.explode("centres").alias("c")).where("node != c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+        # where all but one were centres, all pairs are compared
+        open_rows = marked.where(F.size("centres") < F.col("members") - 1).select("node", "n", "key")
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = _apart(pairs, labels)
+            pairs = _apart(pairs.join(tested, ["a", "b"], "left_anti"), labels)
         pairs = _comparable(pairs, heads, similarity).checkpoint()
-        open_rows = open_rows.drop("centres")
         if not pairs.take(1):
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        words = _word_ids(needed, docs).checkpoint()
-        full = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
-        full = full.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").select("a", "b", "wa", "wb")
-        found = found.unionByName(_verified(full)).checkpoint()
+        found = found.unionByName(_compared(pairs, docs)).checkpoint()
         labels = components(found)
-    labels = components(found) if labels is None else labels
+    marked = open_rows.join(labels, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    still = marked.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
+    left = open_rows.join(still, "key").select("node").distinct()
+    words = _word_ids(left, docs).checkpoint()
+    pairs = _joined(_prefixes(words, similarity).checkpoint(), labels, similarity)
+    pairs = (pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")).checkpoint()
+    labels = components(found.unionByName(_compared(pairs, docs, words)))
     # documents -> their text's first document -> its class
     named = heads.select("ha", "hb", "node").join(labels, "node", "left").select("ha", "hb", F.coalesce("root", "node").alias("class_id"))
     return signed.select("id", "made", "ha", "hb").join(named, ["ha", "hb"]).select(F.col("id").alias("doc_id"), "class_id", "made")
 
 
+def _compared(pairs: DataFrame, docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """(a, b) of those similar enough."""
+    if words is None:
+        words = _word_ids(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs).checkpoint()
+    full = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
+    return _verified(full.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").select("a", "b", "wa", "wb"))
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are in different classes so far."""
     for end in ("a", "b"):

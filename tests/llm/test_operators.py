@@ -493,6 +493,37 @@ def test_null_ids_keep_their_groups(spark):
     assert sorted(out, key=str) == sorted([(1, base), (-7, other.replace(" ", "  ")), (None, lone), (None, None)], key=str)
 
 
+def test_links_inside_a_hot_bucket(spark):
+    rng = random.Random(22)
+    passage, tail = sentence(rng, 40), [f"t{i}" for i in range(20)]
+    copies = [[f"u{i}" for i in range(20)] for _ in range(120)]
+    for i, w in enumerate(copies):
+        w[i % 20] = f"v{i}"
+    ends = [(100 + i, w) for i, w in enumerate(copies)]
+    ends += [(150_000 + j, [f"{w}x{j}" if i % 4 == j else w for i, w in enumerate(tail)]) for j in range(2)]
+    rows = [(i if i < 1000 else i - 149_850, f"{passage} {' '.join(w)}") for i, w in ends if i not in (150, 151)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: 150 if i in (150, 151) else 100 for i, _ in rows}
+
+
+def test_similar_texts_share_a_leading_pair(spark):
+    rng = random.Random(23)
+    rows, near = [], []
+    for i in range(300):
+        a = [rng.randint(0, 30) for _ in range(rng.randint(1, 40))]
+        b = list(a)
+        for _ in range(rng.randint(1, 8)):
+            at, how = rng.randint(0, len(b)), rng.random()
+            b[at : at + (how < 0.6)] = [rng.randint(0, 30)] * (how > 0.3)
+        if plain_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            near.append(i)
+        rows += [(2 * i, np.array(a, np.uint32).tobytes()), (2 * i + 1, np.array(b, np.uint32).tobytes())]
+    keys = {}
+    for r in order_minhash._prefixes(spark.createDataFrame(rows, "node long, words binary"), 0.8).collect():
+        keys.setdefault(r.node, set()).add(r.key)
+    assert len(near) > 80 and all(keys[2 * i] & keys[2 * i + 1] for i in near if rows[2 * i][1])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (8, 7), (5, 5), (6, 7)], "a long, b long")
     assert {r.node: r.root for r in order_minhash.components(edges).collect()} == {2: 1, 3: 1, 4: 1, 7: 6, 8: 6, 9: 6}
