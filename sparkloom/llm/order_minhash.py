@@ -4,16 +4,19 @@ Words are runs of letters and digits, ASCII letters folded. Every text's windows
 of K words are labelled with their occurrence number in it; for each of SKETCHES
 hash orders the ELL least labelled windows are taken, put in text order, and
 hashed together. Unlike plain MinHash the tuple changes when passages change
-places, so that it follows edit similarity. Texts that share a tuple, and whose
-lengths allow the similarity, are candidates.
+places, so that it follows edit similarity. Scattered edits leave few such tuples
+alike, so candidates come from TABLES (k, ell, sketches): minima over shorter windows;
+order is left to the alignment. Texts that share a tuple, and whose lengths allow the similarity,
+are candidates. Texts of few words, where one edit can hit all windows, go to the
+exact join below at once.
 
 Members of a bucket are compared with a few extreme members under different orders
 of ids, found by an aggregation with map-side combining; work is linear in the
 rows of a bucket. Buckets that still hold several classes after joining what was
 verified go through further rounds, with centres drawn from the classes, each with
 the same chance. Then an exact join settles the members of buckets that are open
-still: texts of L words within D = (1 - SIMILARITY) L edits share L - 1 - 2 D
-labelled word pairs at least, so that some pair is among the first of both in any
+still. Buckets of few rows are joined as they are; in others, texts of L words within D = (1 - SIMILARITY) L edits share L - 1 - 2 D
+labelled word pairs at least, so some pair is among the first of both in any
 one order; hashes counted seldom come first, which splits a bucket by what its
 texts don't have in common with the rest. There each member outside the largest
 class of a pair's texts meets all others of like length. A candidate counts if the word edit distance, by dynamic
@@ -43,6 +46,12 @@ from sparkloom.llm.common import read, shared_dir
 from sparkloom.llm.textbatch import LOWER, Texts, mix, pieces, ranges
 
 K, ELL, SKETCHES, SIMILARITY = 5, 2, 16, 0.8
+#: Sketches for candidates: windows of k words, the ell least, tables. Texts of less than SHORT words are compared with all others by the exact join.
+TABLES, SHORT = (3, 1, 16), 16
+#: In open buckets of so few rows all members meet; larger ones go by word pairs.
+FEW = 32
+#: Counts of words by hash, for a quick lower bound of the distance.
+BINS = 64
 #: Orders of ids under which the least member of a bucket is a centre, by round.
 CENTRES = ((0, -1, 0x2545F4914F6CDD1D), (0x1B873593CC9E2D51, 0x5851F42D4C957F2D), (0x14057B7EF767814F, 0x369DEA0F31A53F85))
 
@@ -113,13 +122,18 @@ def sketch(word: np.ndarray, at: np.ndarray, k: int = K, ell: int = ELL, sketche
     return out
 
 
+def candidate_keys(word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(texts, keys): texts that share one are candidates."""
+    return sketch(word, at, *TABLES)
+
+
 def _id() -> Column:
     """The document's id; for a null one a number above the usual ids, from the text's hash."""
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62))
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(id, made, ha, hb, n, sk): id, whether it stands for a null, 128-bit hash of the word sequence, number of words, sketch."""
+    """(id, made, ha, hb, n, bins, sk): id, whether it stands for a null, 128-bit hash of the word sequence, number of words, their counts by hash, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text"):
@@ -132,12 +146,14 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 terms = mix(word ^ mix((place + np.uint64(1)) * salt))
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
                 hashes.append(mix(np.where(n > 0, sums[at[1:]] - sums[at[:-1]], raw) * salt + n.astype(np.uint64)))
-            sk = sketch(word, at)
+            sk = candidate_keys(word, at)
             flat = pa.array(sk.view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sk.size + 1, SKETCHES, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes[0].view(np.int64)), pa.array(hashes[1].view(np.int64)), pa.array(n), lists], names=["id", "made", "ha", "hb", "n", "sk"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sk.size + 1, sk.shape[1], dtype=np.int32)), flat)
+            bins = np.bincount(np.repeat(np.arange(texts.n), n) * BINS + (word >> np.uint64(58)).astype(np.int64), minlength=texts.n * BINS).reshape(-1, BINS)
+            bins = pa.array([x.tobytes() for x in np.minimum(bins, 65535).astype(np.uint16)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes[0].view(np.int64)), pa.array(hashes[1].view(np.int64)), pa.array(n), bins, lists], names=["id", "made", "ha", "hb", "n", "bins", "sk"])
 
-    return docs.select(_id().alias("id"), F.col("doc_id").cast("long").isNull().alias("made"), "text").mapInArrow(run, "id long, made boolean, ha long, hb long, n long, sk array<long>")
+    return docs.select(_id().alias("id"), F.col("doc_id").cast("long").isNull().alias("made"), "text").mapInArrow(run, "id long, made boolean, ha long, hb long, n long, bins binary, sk array<long>")
 
 
 def bag_distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -298,6 +314,9 @@ def shared_pairs(n: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
 
 def _joined(keyed: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     """(node, n, key) -> (a, b) of different classes and like length that share a key; of each key the largest class isn't compared within itself."""
+    keyed = keyed.repartition("key")
+    common = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    keyed = keyed.join(common, "key").checkpoint()
     named = keyed.join(labels.withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     main = named.groupBy("key", "class").count().groupBy("key").agg(F.max(F.struct("count", "class"))["class"].alias("main"), F.count("*").alias("classes")).where("classes > 1")
     members = named.join(main.select("key", "main"), "key")
@@ -348,7 +367,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     shared_dir(docs.sparkSession)
     signed = _signatures(docs).checkpoint()
     own = Window.partitionBy("ha", "hb").orderBy("id")
-    heads = signed.withColumn("nth", F.row_number().over(own)).where("nth = 1").select(F.col("id").alias("node"), "ha", "hb", "n", "sk")
+    heads = signed.withColumn("nth", F.row_number().over(own)).where("nth = 1").select(F.col("id").alias("node"), "ha", "hb", "n", "bins", "sk")
     grade = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / similarity))).cast("int")
     rows = (
         heads.where("n > 0")
@@ -369,11 +388,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         else:
             picks = [F.min(F.struct(F.xxhash64("class", F.lit(x).cast("long")), "node"))["node"] for x in centres]
         heart = marked.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("members"), F.array_distinct(F.array(*picks)).alias("centres")).where("lo < hi")
-        marked = marked.join(heart.select("key", "members", "centres"), "key")
+        marked = marked.drop("members").join(heart.select("key", "members", "centres"), "key")
         marked = marked.checkpoint() if turn == 0 else marked
         pairs = marked.select("node", F.explode("centres").alias("c")).where("node != c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         # where all but one were centres, all pairs are compared
-        open_rows = marked.where(F.size("centres") < F.col("members") - 1).select("node", "n", "key")
+        open_rows = marked.where(F.size("centres") < F.col("members") - 1).select("node", "n", "key", "members")
         if tested is not None:
             pairs = _apart(pairs.join(tested, ["a", "b"], "left_anti"), labels)
         pairs = _comparable(pairs, heads, similarity).checkpoint()
@@ -384,20 +403,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         labels = components(found)
     marked = open_rows.join(labels, "node", "left").withColumn("class", F.coalesce("root", "node"))
     still = marked.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-    left = open_rows.join(still, "key").select("node").distinct()
+    short = heads.where((F.col("n") * similarity < SHORT) & (F.floor(F.col("n") * (1 - similarity) + 1e-9) + F.floor(F.col("n") / similarity * (1 - similarity) + 1e-9) > 0))
+    open_rows = open_rows.join(still, "key").checkpoint()
+    left = open_rows.where(F.col("members") > FEW).select("node").union(short.select("node")).distinct()
     words = _word_ids(left, docs).checkpoint()
-    pairs = _joined(_prefixes(words, similarity).checkpoint(), labels, similarity)
-    pairs = (pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")).checkpoint()
-    labels = components(found.unionByName(_compared(pairs, docs, words)))
+    few = open_rows.where(F.col("members") <= FEW).select("node", "n", "key")
+    pairs = _joined(_prefixes(words, similarity).unionByName(few), labels, similarity)
+    pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = _comparable(pairs, heads, similarity).checkpoint()
+    labels = components(found.unionByName(_compared(pairs, docs)))
     # documents -> their text's first document -> its class
     named = heads.select("ha", "hb", "node").join(labels, "node", "left").select("ha", "hb", F.coalesce("root", "node").alias("class_id"))
     return signed.select("id", "made", "ha", "hb").join(named, ["ha", "hb"]).select(F.col("id").alias("doc_id"), "class_id", "made")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
+def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) of those similar enough."""
-    if words is None:
-        words = _word_ids(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs).checkpoint()
+    words = _word_ids(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs).checkpoint()
     full = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
     return _verified(full.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").select("a", "b", "wa", "wb"))
 
@@ -410,10 +432,18 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _comparable(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose lengths allow the similarity."""
+    """Pairs whose lengths and counts of words by hash allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int64) for c in ("binsa", "binsb"))
+            apart = np.maximum(np.maximum(a - b, 0).sum(axis=1), np.maximum(b - a, 0).sum(axis=1))
+            longer = np.maximum(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
+            yield batch.filter(pa.array(apart <= np.floor((1 - similarity) * longer + 1e-9))).select(["a", "b"])
+
     for end in ("a", "b"):
-        pairs = pairs.join(heads.select(F.col("node").alias(end), F.col("n").alias(f"n{end}")), end)
-    return pairs.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).select("a", "b")
+        pairs = pairs.join(heads.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bins").alias(f"bins{end}")), end)
+    return pairs.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).mapInArrow(run, "a long, b long")
 
 
 def op10_order_minhash(spark, sf_dir: str) -> DataFrame:

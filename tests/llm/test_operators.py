@@ -506,6 +506,21 @@ def test_links_inside_a_hot_bucket(spark):
     assert got == {i: 150 if i in (150, 151) else 100 for i, _ in rows}
 
 
+def test_scattered_edits_are_found(spark):
+    rng = random.Random(24)
+    rows, want = [], {}
+    for i in range(80):
+        n = 100 if i < 60 else rng.randint(5, 12)
+        a = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+        b = list(a)
+        for at in rng.sample(range(n), n // 5) if i < 60 else [n // 2]:
+            b[at] = f"new{rng.randint(0, 10**6)}"
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
+
+
 def test_similar_texts_share_a_leading_pair(spark):
     rng = random.Random(23)
     rows, near = [], []
