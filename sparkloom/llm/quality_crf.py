@@ -239,8 +239,9 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
-    sample = labelled_sample(docs, labels, "quality", *SPLIT, rows, SEED).toArrow()
-    order = np.argsort(sample["__id"].to_numpy(), kind="stable")
+    sample = labelled_sample(docs, labels, "quality", *SPLIT, rows, SEED).withColumn("__turn", F.xxhash64(F.lit(SEED), "__id")).toArrow()
+    # fit() may end early, so the order is that of the seeded hash
+    order = np.lexsort((sample["__id"].to_numpy(), sample["__turn"].to_numpy()))
     text = sample["text"].to_pylist()
     return fit([text[i] for i in order], sample["y"].to_numpy()[order])
 

@@ -479,6 +479,14 @@ def test_near_duplicates_match_plain_version(spark, odd, nothing):
     assert order_minhash.near_duplicates(nothing).count() == 0
 
 
+def test_quality_learns_from_all_ids_when_lines_run_out(spark, monkeypatch):
+    rng = random.Random(25)
+    monkeypatch.setattr(quality_crf, "TRAIN_LINES", 250)
+    docs = spark.createDataFrame([(i, sentence(rng, 8)) for i in range(700)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 350)) for i in range(700)], "doc_id long, quality int")
+    assert quality_crf.train(docs, labels).constant is None
+
+
 def test_null_ids_keep_their_groups(spark):
     rng = random.Random(21)
     base = sentence(rng, 60)
