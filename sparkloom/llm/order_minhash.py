@@ -4,33 +4,40 @@ Words are runs of letters and digits, ASCII letters folded. Every text's windows
 of K words are labelled with their occurrence number in it; for each of SKETCHES
 hash orders the ELL least labelled windows are taken, put in text order, and
 hashed together. Unlike plain MinHash the tuple changes when passages change
-places, so that it follows edit similarity. Scattered edits leave few such tuples
-alike, so candidates come from TABLES (k, ell, sketches): minima over shorter windows;
-order is left to the alignment. Texts that share a tuple, and whose lengths allow the similarity,
-are candidates. Texts of few words, where one edit can hit all windows, go to the
-exact join below at once.
-
-Members of a bucket are compared with a few extreme members under different orders
-of ids, found by an aggregation with map-side combining; work is linear in the
-rows of a bucket. Buckets that still hold several classes after joining what was
-verified go through further rounds, with centres drawn from the classes, each with
-the same chance. Then an exact join settles the members of buckets that are open
-still. Buckets of few rows are joined as they are; in others, texts of L words within D = (1 - SIMILARITY) L edits share L - 1 - 2 D
-labelled word pairs at least, so some pair is among the first of both in any
-one order; hashes counted seldom come first, which splits a bucket by what its
-texts don't have in common with the rest. There each member outside the largest
-class of a pair's texts meets all others of like length. A candidate counts if the word edit distance, by dynamic
+places, so that it follows edit similarity. Texts that share a tuple (a bucket)
+are candidates. A candidate counts if the word edit distance, by dynamic
 programming in a diagonal band that is widened until it is exact, is at most
 (1 - SIMILARITY) of the longer text. Classes are the connected components.
 
+Pairs inside a bucket are never listed whole. Each text is compared with one
+centre: of the best members of its buckets, the one that sits in the largest
+buckets. What verifies is joined; TURNS such turns follow, with centres of other
+classes only. Then the rest is settled exactly. Where all members of a bucket but
+FEW or less are in one class, those few meet all the others. Other buckets are cut
+into blocks of about BLOCK texts or BLOCK_WORDS words; each member outside the
+largest class meets, block by block, all members of other classes, first by lengths
+and counts of words. That takes steps in the square of what is outside (64 bytes for
+a pair), but no rows: a block gives one row of candidates, and the words of their
+texts are sent to it once.
+
+Texts of few words, where one edit can hit all windows, are compared whatever their
+tuples are: texts of L words within D = (1 - SIMILARITY) L edits share L - 1 - 2 D
+labelled word pairs at least, so some pair is among the first of both in any one
+order; hashes counted seldom come first. Those pairs then serve as buckets.
+
 Texts with equal word sequences are one node from the start, so a hot group of
 copies enters every later step once.
 
 Defined cases: a null text is an empty one; texts without words are near
 duplicates of equal texts only; rows that share an id are one document; a null id
 is replaced by a number of 2^62 or more from the text's hash, so that real ids lead
-their classes, and reported as null; an empty table gives an empty result; other
-columns are not read.
+their classes, and reported as null; a class of null ids only has such a number for
+its class id; of equally good centres the one with the greater hash is taken, which
+moves work and no result but where an alignment was skipped as both texts were in one
+class; an empty table gives an empty result; other columns are not read (`stage`
+passes them on; columns that begin with __near_ are reserved). Texts are compared
+whole: n words with d edits take about n d steps, n^2 / 5 at worst (pairs whose words
+alone show more than n / 5 edits are dropped before), in memory of n + d.
 """
 
 from __future__ import annotations
@@ -45,15 +52,17 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import read, shared_dir
 from sparkloom.llm.textbatch import LOWER, Texts, mix, pieces, ranges
 
-K, ELL, SKETCHES, SIMILARITY = 5, 2, 16, 0.8
-#: Sketches for candidates: windows of k words, the ell least, tables. Texts of less than SHORT words are compared with all others by the exact join.
-TABLES, SHORT = (3, 1, 16), 16
-#: In open buckets of so few rows all members meet; larger ones go by word pairs.
-FEW = 32
-#: Counts of words by hash, for a quick lower bound of the distance.
+#: Where one word in five is edited nearly no window of five words is left whole; with three words, 48 tuples of two find pairs at the very threshold.
+K, ELL, SKETCHES, SIMILARITY = 3, 2, 48, 0.8
+#: Bits of a window's place below its hash; a text in an Arrow batch has fewer words.
+PLACE = np.uint64(30)
+#: Texts that are alike to texts of less than SHORT words are compared by the exact join.
+SHORT = 16
+#: Turns in which a text meets one more centre. Buckets with at most FEW members outside their largest class are settled by pairs, others by blocks.
+TURNS, FEW = 2, 32
+BLOCK, BLOCK_WORDS, BLOCK_PAIRS = 1024, 2_000_000, 32_768
+#: Counts of words by hash, 255 at most, for a quick lower bound of the distance.
 BINS = 64
-#: Orders of ids under which the least member of a bucket is a centre, by round.
-CENTRES = ((0, -1, 0x2545F4914F6CDD1D), (0x1B873593CC9E2D51, 0x5851F42D4C957F2D), (0x14057B7EF767814F, 0x369DEA0F31A53F85))
 
 
 def _words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -97,19 +106,18 @@ def sketch(word: np.ndarray, at: np.ndarray, k: int = K, ell: int = ELL, sketche
     if not len(some):
         return out
     begin = first[:-1][some]
-    size = np.diff(first)[some]
-    top = np.uint64(2**64 - 1)
+    place = ranges(np.zeros(len(some), np.int64), np.diff(first)[some]).astype(np.uint64)
+    top, low = np.uint64(2**64 - 1), (np.uint64(1) << PLACE) - np.uint64(1)
     for s in range(sketches):
         g = h * np.uint64(int(mix(np.array([s + 1], np.uint64))[0]) | 1)
-        g = g ^ (g >> np.uint64(29))
+        g ^= g >> np.uint64(29)
+        g &= ~low
+        g |= place
         where, what = [], []
         for _ in range(ell):
             least = np.minimum.reduceat(g, begin)
-            hit = np.flatnonzero(g == np.repeat(least, size))
-            owner = np.searchsorted(begin, hit, "right") - 1
-            new = np.concatenate([[True], owner[1:] != owner[:-1]])
-            at_hit = hit[new]
             done = least == top
+            at_hit = begin + np.where(done, np.uint64(0), least & low).astype(np.int64)
             where.append(np.where(done, 2**62, at_hit))
             what.append(np.where(done, np.uint64(0), h[at_hit]))
             g[at_hit] = top
@@ -122,11 +130,6 @@ def sketch(word: np.ndarray, at: np.ndarray, k: int = K, ell: int = ELL, sketche
     return out
 
 
-def candidate_keys(word: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(texts, keys): texts that share one are candidates."""
-    return sketch(word, at, *TABLES)
-
-
 def _id() -> Column:
     """The document's id; for a null one a number above the usual ids, from the text's hash."""
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62))
@@ -146,11 +149,11 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 terms = mix(word ^ mix((place + np.uint64(1)) * salt))
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
                 hashes.append(mix(np.where(n > 0, sums[at[1:]] - sums[at[:-1]], raw) * salt + n.astype(np.uint64)))
-            sk = candidate_keys(word, at)
+            sk = sketch(word, at)
             flat = pa.array(sk.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sk.size + 1, sk.shape[1], dtype=np.int32)), flat)
             bins = np.bincount(np.repeat(np.arange(texts.n), n) * BINS + (word >> np.uint64(58)).astype(np.int64), minlength=texts.n * BINS).reshape(-1, BINS)
-            bins = pa.array([x.tobytes() for x in np.minimum(bins, 65535).astype(np.uint16)], pa.binary())
+            bins = pa.array([x.tobytes() for x in np.minimum(bins, 255).astype(np.uint8)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes[0].view(np.int64)), pa.array(hashes[1].view(np.int64)), pa.array(n), bins, lists], names=["id", "made", "ha", "hb", "n", "bins", "sk"])
 
     return docs.select(_id().alias("id"), F.col("doc_id").cast("long").isNull().alias("made"), "text").mapInArrow(run, "id long, made boolean, ha long, hb long, n long, bins binary, sk array<long>")
@@ -214,32 +217,46 @@ def banded_distance(left: list[np.ndarray], right: list[np.ndarray], band: int)
     return out
 
 
+def _cores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without their common beginning and end, which leaves the distance as it is."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    begin = int(differ[0]) if len(differ) else n
+    a, b = a[begin:], b[begin:]
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
+    end = int(differ[0]) if len(differ) else n
+    return a[: len(a) - end], b[: len(b) - end]
+
+
 def similarities(left: list[np.ndarray], right: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
     """1 - distance / longer length where that is at least `similarity`, else 0; exact."""
     out = np.zeros(len(left))
+    whole = np.array([max(len(a), len(b)) for a, b in zip(left, right, strict=True)], dtype=np.int64)
+    limits = ((1 - similarity) * whole + 1e-9).astype(np.int64).tolist()
+    cores = [_cores(a, b) for a, b in zip(left, right, strict=True)]
     todo: dict[int, list[int]] = {}
-    for i, (a, b) in enumerate(zip(left, right, strict=True)):
-        longer = max(len(a), len(b))
-        limit = int((1 - similarity) * longer + 1e-9)
-        if abs(len(a) - len(b)) > limit:
+    for i, (a, b) in enumerate(cores):
+        if abs(len(a) - len(b)) > limits[i]:
+            continue
+        if max(len(a), len(b)) <= limits[i] and not min(len(a), len(b)):
+            out[i] = 1.0 if not whole[i] else 1 - max(len(a), len(b)) / whole[i]
             continue
         bag = bag_distance(a, b)
-        if bag <= limit:
-            todo.setdefault(min(_up(bag + 4), _up(limit)), []).append(i)
+        if bag <= limits[i]:
+            todo.setdefault(min(_up(bag + 4), _up(limits[i])), []).append(i)
     while todo:
         band = min(todo)
-        items = sorted(todo.pop(band), key=lambda i: len(left[i]))
+        items = sorted(todo.pop(band), key=lambda i: len(cores[i][0]))
         while items:
-            take = 1
-            while take < len(items) and take * (len(left[items[take]]) + 2 * band) < 400_000 and len(left[items[take]]) <= 1.3 * len(left[items[0]]) + 16:
+            take, least = 1, len(cores[items[0]][0])
+            while take < len(items) and take * (len(cores[items[take]][0]) + 2 * band) < 400_000 and len(cores[items[take]][0]) <= 1.3 * least + 16:
                 take += 1
             group, items = items[:take], items[take:]
-            for i, d in zip(group, banded_distance([left[i] for i in group], [right[i] for i in group], band).tolist(), strict=True):
-                longer = max(len(left[i]), len(right[i]))
-                limit = int((1 - similarity) * longer + 1e-9)
-                if d <= limit and d <= band:
-                    out[i] = 1.0 if longer == 0 else 1 - d / longer
-                elif band < limit:
+            for i, d in zip(group, banded_distance([cores[i][0] for i in group], [cores[i][1] for i in group], band).tolist(), strict=True):
+                if d <= limits[i] and d <= band:
+                    out[i] = 1 - d / whole[i]
+                elif band < limits[i]:
                     todo.setdefault(2 * band, []).append(i)
     return out
 
@@ -249,7 +266,7 @@ def _up(x: int) -> int:
 
 
 def _word_ids(needed: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, words): 32-bit hashes of the words of the needed documents' texts, one text for each id."""
+    """(node, words): 32-bit hashes of the words of the needed documents' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "text"):
@@ -258,7 +275,10 @@ def _word_ids(needed: DataFrame, docs: DataFrame) -> DataFrame:
             rows = [short[at[i] : at[i + 1]].tobytes() for i in range(texts.n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["node", "words"])
 
-    return docs.select(_id().alias("node"), "text").join(needed, "node", "left_semi").mapInArrow(run, "node long, words binary")
+    # copies without an id share their number: one of them is enough
+    nameless = docs.where("doc_id IS NULL").select("text").distinct().select(F.lit(None).cast("long").alias("doc_id"), "text")
+    every = docs.where("doc_id IS NOT NULL").select("doc_id", "text").unionByName(nameless).select(_id().alias("node"), "text")
+    return every.join(needed, "node", "left_semi").dropDuplicates(["node", "text"]).mapInArrow(run, "node long, words binary")
 
 
 def _prefixes(words: DataFrame, similarity: float) -> DataFrame:
@@ -312,20 +332,7 @@ def shared_pairs(n: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     return np.maximum(least, 1)
 
 
-def _joined(keyed: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """(node, n, key) -> (a, b) of different classes and like length that share a key; of each key the largest class isn't compared within itself."""
-    keyed = keyed.repartition("key")
-    common = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    keyed = keyed.join(common, "key").checkpoint()
-    named = keyed.join(labels.withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    main = named.groupBy("key", "class").count().groupBy("key").agg(F.max(F.struct("count", "class"))["class"].alias("main"), F.count("*").alias("classes")).where("classes > 1")
-    members = named.join(main.select("key", "main"), "key")
-    small = members.where("class != main").select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "class")])
-    like = F.least("n", "n_") >= F.lit(similarity) * F.greatest("n", "n_")
-    return small.join(members, "key").where((F.col("class") != F.col("class_")) & like).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
-
-
-def _verified(pairs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
     """(a, b, wa, wb) -> (a, b) of those similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +341,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 batch = whole.slice(start, 512)
                 left = [np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()]
                 right = [np.frombuffer(x, np.uint32) for x in batch.column(3).to_pylist()]
-                yield batch.filter(pa.array(similarities(left, right) > 0)).select(["a", "b"])
+                yield batch.filter(pa.array(similarities(left, right, similarity) > 0)).select(["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -367,68 +374,137 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     shared_dir(docs.sparkSession)
     signed = _signatures(docs).checkpoint()
     own = Window.partitionBy("ha", "hb").orderBy("id")
-    heads = signed.withColumn("nth", F.row_number().over(own)).where("nth = 1").select(F.col("id").alias("node"), "ha", "hb", "n", "bins", "sk")
-    grade = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / similarity))).cast("int")
-    rows = (
-        heads.where("n > 0")
-        .select("node", "n", grade.alias("grade"), F.explode("sk").alias("value"))
-        .select("node", "n", F.explode(F.array(F.xxhash64("value", "grade"), F.xxhash64("value", F.col("grade") + 1))).alias("key"))
-    )
+    first = signed.withColumn("nth", F.row_number().over(own)).where("nth = 1").withColumnRenamed("id", "node")
+    low = F.transform("sk", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
+    heads = first.select("node", "ha", "hb", "n", "bins", low.alias("tags")).checkpoint()
+    signed, sizes = signed.select("id", "made", "ha", "hb"), heads.select("node", "n", "bins")
+    # the members of all buckets of two texts or more
+    rows = first.where("n > 0").select("node", F.explode("sk").alias("key")).repartition("key")
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    members = rows.join(shared, "key").join(sizes.select("node", "n"), "node").checkpoint()
+    ends = heads.where((F.col("n") * similarity < SHORT) & (F.floor(F.col("n") * (1 - similarity) + 1e-9) + F.floor(F.col("n") / similarity * (1 - similarity) + 1e-9) > 0)).select("node")
+    words = _word_ids(members.select("node").unionByName(ends).distinct(), docs).checkpoint()
     # rows that share an id with another text join that text's class
     twins = signed.groupBy("id").agg(F.min("ha").alias("x"), F.max("ha").alias("y")).where("x != y").select("id")
     ties = signed.join(twins, "id").join(heads.select("ha", "hb", "node"), ["ha", "hb"]).select(F.col("id").alias("a"), F.col("node").alias("b"))
-    found, tested = ties.where("a != b").distinct().checkpoint(), None
-    labels = components(found)
-    for turn, centres in enumerate(CENTRES):
-        # centres of all buckets that hold more than one class
-        marked = rows if turn == 0 else open_rows  # noqa: F821
-        marked = marked.join(labels, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
-        if turn == 0:
-            picks = [F.min(F.col("node").bitwiseXOR(F.lit(x).cast("long"))).bitwiseXOR(F.lit(x).cast("long")) for x in centres]
-        else:
-            picks = [F.min(F.struct(F.xxhash64("class", F.lit(x).cast("long")), "node"))["node"] for x in centres]
-        heart = marked.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("members"), F.array_distinct(F.array(*picks)).alias("centres")).where("lo < hi")
-        marked = marked.drop("members").join(heart.select("key", "members", "centres"), "key")
-        marked = marked.checkpoint() if turn == 0 else marked
-        pairs = marked.select("node", F.explode("centres").alias("c")).where("node != c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-        # where all but one were centres, all pairs are compared
-        open_rows = marked.where(F.size("centres") < F.col("members") - 1).select("node", "n", "key", "members")
-        if tested is not None:
-            pairs = _apart(pairs.join(tested, ["a", "b"], "left_anti"), labels)
-        pairs = _comparable(pairs, heads, similarity).checkpoint()
-        if not pairs.take(1):
+    found = ties.where("a != b").distinct().checkpoint()
+    # the centre of a bucket: the member that sits in the largest buckets
+    fame = members.groupBy("node").agg(F.sum("members").alias("fame"))
+    centre = members.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", F.xxhash64("node").alias("h"), F.col("node").alias("to"), F.col("n").alias("size"))).alias("c"))
+    like = F.least("n", "c.size") >= F.lit(similarity) * F.greatest("n", "c.size")
+    options = members.join(centre, "key").where((F.col("node") != F.col("c.to")) & like).select("node", "c").distinct().checkpoint()
+    tested = labels = None
+    for turn in range(1 + TURNS):
+        left = options
+        if turn:
+            left = _named(_named(left.withColumn("to", F.col("c.to")), labels, "node", "class"), labels, "to", "other").where("class != other").select("node", "c")
+            left = left.withColumn("to", F.col("c.to")).join(tested, ["node", "to"], "left_anti").select("node", "c")
+        chosen = left.groupBy("node").agg(F.max("c").alias("c")).select("node", F.col("c.to").alias("to")).checkpoint()
+        if not chosen.take(1):
             break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = found.unionByName(_compared(pairs, docs)).checkpoint()
+        tested = chosen if tested is None else tested.unionByName(chosen)
+        found = found.unionByName(_compared(chosen.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")), sizes, words, similarity)).checkpoint()
         labels = components(found)
-    marked = open_rows.join(labels, "node", "left").withColumn("class", F.coalesce("root", "node"))
-    still = marked.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-    short = heads.where((F.col("n") * similarity < SHORT) & (F.floor(F.col("n") * (1 - similarity) + 1e-9) + F.floor(F.col("n") / similarity * (1 - similarity) + 1e-9) > 0))
-    open_rows = open_rows.join(still, "key").checkpoint()
-    left = open_rows.where(F.col("members") > FEW).select("node").union(short.select("node")).distinct()
-    words = _word_ids(left, docs).checkpoint()
-    few = open_rows.where(F.col("members") <= FEW).select("node", "n", "key")
-    pairs = _joined(_prefixes(words, similarity).unionByName(few), labels, similarity)
-    pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-    pairs = _comparable(pairs, heads, similarity).checkpoint()
-    labels = components(found.unionByName(_compared(pairs, docs)))
+    # what is open still
+    labels = components(found) if labels is None else labels
+    tuples = _open(_named(members.drop("members"), labels, "node", "class")).withColumn("once", F.lit(True))
+    short = _prefixes(words.join(ends, "node", "left_semi"), similarity)
+    common = short.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    brief = _open(_named(short.join(common, "key"), labels, "node", "class")).withColumn("once", F.lit(False))
+    still = tuples.unionByName(brief.select(tuples.columns)).checkpoint()
+    pairs = _across(still.where(F.col("outside") <= FEW), similarity)
+    if tested is not None:
+        pairs = pairs.join(tested.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")), ["a", "b"], "left_anti")
+    links = _compared(pairs, sizes, words, similarity)
+    links = links.unionByName(_blocked(still.where(F.col("outside") > FEW), heads.select("node", "bins", "tags"), words, similarity))
+    labels = components(found.unionByName(links))
     # documents -> their text's first document -> its class
-    named = heads.select("ha", "hb", "node").join(labels, "node", "left").select("ha", "hb", F.coalesce("root", "node").alias("class_id"))
-    return signed.select("id", "made", "ha", "hb").join(named, ["ha", "hb"]).select(F.col("id").alias("doc_id"), "class_id", "made")
+    heads = _named(heads.select("ha", "hb", "node"), labels, "node", "class_id")
+    return signed.join(heads.select("ha", "hb", "class_id"), ["ha", "hb"]).select(F.col("id").alias("doc_id"), "class_id", "made")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of those similar enough."""
-    words = _word_ids(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs).checkpoint()
-    full = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
-    return _verified(full.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").select("a", "b", "wa", "wb"))
+def _named(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """`rows` with the class of column `node`; a node without links is its own class."""
+    classes = labels.select(F.col("node").alias(node), F.col("root").alias(name))
+    return rows.join(classes, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different classes so far."""
-    for end in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
-    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+def _open(members: DataFrame) -> DataFrame:
+    """(key, node, n, class) of keys with several classes, with the largest class, `main`, the number of members `outside` it, and the number of `blocks` to cut the key into."""
+    members = members.checkpoint()
+    counts = members.groupBy("key", "class").agg(F.count("*").alias("rows"), F.sum("n").alias("words"))
+    split = counts.groupBy("key").agg(F.max(F.struct("rows", "class")).alias("main"), F.sum("rows").alias("all"), F.sum("words").alias("words"))
+    blocks = F.ceil(F.greatest(F.col("all") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
+    split = split.where(F.col("main.rows") < F.col("all")).select("key", F.col("main.class").alias("main"), (F.col("all") - F.col("main.rows")).alias("outside"), blocks.alias("blocks"))
+    return members.join(split, "key")
+
+
+def _across(members: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, n, class, main) -> (a, b): members outside the key's main class with all members of other classes and like length."""
+    small = members.where("class != main").select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "class")])
+    like = F.least("n", "n_") >= F.lit(similarity) * F.greatest("n", "n_")
+    return small.join(members, "key").where((F.col("class") != F.col("class_")) & like).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
+
+
+def _blocked(members: DataFrame, slim: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of those similar enough, a outside the main class of a key and b of another class than a.
+
+    Every block of members outside meets every block of all members. Where `once` is
+    set, a pair is looked at only in the first of all tuples that both texts share.
+    """
+
+    def candidates(key: tuple, table: pa.Table) -> pa.Table:
+        # numbers of the rows of each side, then one row of the left side against all of the right
+        low = np.uint32(key[0].as_py() & 0xFFFFFFFF)
+        node, n, group = (table.column(c).to_numpy() for c in ("node", "n", "class"))
+        side, once, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("side", "once", "in_main"))
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        tags = table.column("tags").combine_chunks().flatten().to_numpy().view(np.uint32).reshape(len(node), -1)
+        right = np.flatnonzero(side)
+        a, b = [], []
+        for i in np.flatnonzero(~side):
+            at = right[(group[right] != group[i]) & (np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i])) & (main[right] | (node[i] < node[right]))]
+            more = bins[at] - bins[i]
+            gain = np.maximum(more, 0).sum(axis=1)
+            apart = np.maximum(gain, gain - more.sum(axis=1))
+            at = at[apart <= np.floor((1 - similarity) * np.maximum(n[at], n[i]) + 1e-9)]
+            if once[i]:
+                same = tags[at] == tags[i]
+                at = at[tags[at, same.argmax(axis=1)] == low]
+            a.append(np.full(len(at), node[i]))
+            b.append(node[at])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        cuts = range(0, len(a), BLOCK_PAIRS)
+        name = hash(tuple(x.as_py() for x in key)) & (2**62 - 1)
+        parts = [pa.array([x[i : i + BLOCK_PAIRS] for i in cuts], pa.list_(pa.int64())) for x in (a, b)]
+        return pa.table({"block": pa.array([name ^ i for i in cuts], pa.int64()), "a": parts[0], "b": parts[1]})
+
+    def verified(table: pa.Table) -> pa.Table:
+        text = {k: np.frombuffer(v, np.uint32) for k, v in zip(table.column("node").to_pylist(), table.column("words").to_pylist(), strict=True) if k is not None}
+        a, b = (np.concatenate([np.zeros(0, np.int64), *[x for x in table.column(c).to_pylist() if x]]).astype(np.int64) for c in ("a", "b"))
+        keep = [np.zeros(0, bool)]
+        for i in range(0, len(a), 512):
+            keep.append(similarities([text[x] for x in a[i : i + 512].tolist()], [text[x] for x in b[i : i + 512].tolist()], similarity) > 0)
+        keep = np.concatenate(keep)
+        return pa.table({"a": a[keep], "b": b[keep]})
+
+    rows = members.withColumn("in_main", F.col("class") == F.col("main")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = F.sequence(F.lit(0), F.col("blocks") - 1)
+    rows = rows.join(slim, "node").select("key", "node", "n", "class", "once", "in_main", "bins", "tags", "mine", each.alias("each"))
+    left = rows.where("NOT in_main").select("*", F.lit(False).alias("side"), F.col("mine").alias("i"), F.explode("each").alias("j")).drop("mine", "each")
+    right = rows.select("*", F.lit(True).alias("side"), F.explode("each").alias("i"), F.col("mine").alias("j")).drop("mine", "each")
+    found = left.unionByName(right.select(left.columns)).groupBy("key", "i", "j").applyInArrow(candidates, "block long, a array<long>, b array<long>").checkpoint()
+    texts = found.select("block", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).join(words, "node").select("block", "node", "words")
+    none = F.lit(None)
+    both = found.select("block", none.cast("long").alias("node"), none.cast("binary").alias("words"), "a", "b").unionByName(texts.select("block", "node", "words", none.cast("array<long>").alias("a"), none.cast("array<long>").alias("b")))
+    return both.groupBy("block").applyInArrow(verified, "a long, b long")
+
+
+def _compared(pairs: DataFrame, sizes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of those similar enough."""
+    pairs = _comparable(pairs, sizes, similarity)
+    full = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
+    return _verified(full.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").select("a", "b", "wa", "wb"), similarity)
 
 
 def _comparable(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
@@ -436,7 +512,7 @@ def _comparable(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int64) for c in ("binsa", "binsb"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int64) for c in ("binsa", "binsb"))
             apart = np.maximum(np.maximum(a - b, 0).sum(axis=1), np.maximum(b - a, 0).sum(axis=1))
             longer = np.maximum(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
             yield batch.filter(pa.array(apart <= np.floor((1 - similarity) * longer + 1e-9))).select(["a", "b"])
@@ -453,6 +529,7 @@ def op10_order_minhash(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the document with the least id, once."""
-    classes = near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = Window.partitionBy("__id").orderBy(F.xxhash64("text"))
-    return docs.withColumn("__id", _id()).join(classes, "__id", "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    classes = near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__near_id")).distinct()
+    first = Window.partitionBy("__near_id").orderBy(F.xxhash64("text"))
+    once = docs.withColumn("__near_id", _id()).withColumn("__near_nth", F.row_number().over(first)).where("__near_nth = 1")
+    return once.join(classes, "__near_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
