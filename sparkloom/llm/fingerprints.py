@@ -2,8 +2,9 @@
 
 The hashes of all windows of five words (a shorter text is one window) are dealt
 once into BINS bins by their leading bits; a bin keeps its least hash. An empty
-bin borrows from another one, chosen by hashing (bin, attempt) until it is not
-empty (optimal densification), so that equal sets of empty bins borrow alike. Of
+bin borrows from the first full one on its own walk through all bins, whose start and
+step are hashes of the empty bin (optimal densification), so that equal sets of empty
+bins borrow alike and no full bin is favoured. Of
 every bin the lowest 8 bits are stored, eight bins to a 64-bit integer. Likeness
 is the share of equal bins, corrected for the 1 in 256 that agree by chance.
 
@@ -13,7 +14,9 @@ by bin is needed.
 
 Defined cases: a null text is an empty one; a text without words has the empty
 fingerprint, whose likeness is 1 to itself and 0 to others; equal texts have equal
-fingerprints; repeated rows are fingerprinted alike; extra columns pass through
+fingerprints; repeated rows are fingerprinted alike; of rows with equal ids the next
+document is told by a hash of the text; a text of any length is hashed whole, in one
+row's memory; an empty table gives an empty result; extra columns pass through
 `with_fingerprint` whatever their names, except those beginning with `__fp`.
 """
 
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import WORD, read
 
-BINS, WINDOW, ATTEMPTS = 256, 5, 12
+BINS, WINDOW = 256, 5
+#: Attempts written out, which end at the first full bin; the rest of the cycle follows if they all fail.
+FAST = 12
 _LOW = (1 << 56) - 1
 #: Most buckets that the neighbour search deals ids into.
 MAX_BUCKETS = 65_536
@@ -64,13 +69,14 @@ def fingerprint(text: Column) -> Column:
 
     def dense(bins: Column) -> Column:
         def borrow(x: Column, i: Column) -> Column:
-            tries = []
-            for a in range(ATTEMPTS):
-                y = F.get(bins, F.pmod(F.xxhash64(i, F.lit(a)), F.lit(BINS)).cast("int"))
-                tries.append(F.when(~empty(y), y))
-            turn = F.pmod(F.xxhash64(i, F.lit(ATTEMPTS)), F.lit(BINS)).cast("int")
-            rest = F.filter(F.concat(F.slice(bins, turn + 1, BINS), F.slice(bins, F.lit(1), turn)), lambda y: ~empty(y))
-            return F.when(~empty(x), x).otherwise(F.coalesce(*tries, F.get(rest, F.lit(0))))
+            def probe(h: Column) -> Column:
+                # bins (a + b t) mod BINS for t = 0, 1, ..., b odd: a cycle through all bins, its own for each empty bin
+                at = lambda t: F.get(bins, (h + (F.shiftright(h, 9) * 2 + 1) * t).bitwiseAND(F.lit(BINS - 1)))
+                tries = [F.when(~empty(at(t)), at(t)) for t in range(FAST)]
+                rest = F.filter(F.transform(F.sequence(F.lit(FAST), F.lit(BINS - 1)), at), lambda y: ~empty(y))
+                return F.coalesce(*tries, F.get(rest, F.lit(0)))
+
+            return F.when(~empty(x), x).otherwise(_let(F.xxhash64(i).bitwiseAND(F.lit((1 << 20) - 1)).cast("int"), probe))
 
         return F.transform(bins, borrow)
 
