@@ -17,15 +17,15 @@ the documents in it, so that any filesystem Spark reaches can hold it: part and
 seq give the order, local_start the ids before it in its part.
 
 Documents are dealt by ranges of the id and sorted, so parts follow each other in
-ascending order of ids. Texts are cut at spaces that follow another visible
-character, where byte-level pre-tokens always end; each distinct piece is encoded
-by the tokenizers library once per worker, and ids are gathered by piece.
-Pieces are told apart by 64-bit hashes.
+ascending order of ids. Texts are cut where byte-level pre-tokens always end; each
+distinct piece is encoded by the tokenizers library once per worker, and ids are
+gathered by piece. Pieces are told apart by 64-bit hashes.
 
 Defined cases: a null text is an empty one, which still gets the end id; null ids
-come last; equal ids follow a hash of the text; strings of special tokens in a
-text are ordinary text; an empty table gives an empty table; other columns are
-not read.
+come last; equal ids follow a hash of the text, equal rows are the same in any order;
+the string of a special token in a text becomes its id, as the library does it; a
+text of any length is one row of one segment, encoded whole; an empty table gives an
+empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -51,6 +51,7 @@ END_ID = 2
 #: Distinct pieces of text that a worker keeps, some 80 bytes each.
 MOST_PIECES = 3_000_000
 _MAGIC, _BLOCK = b"DAC1", 512
+_GAP, _POINT, _LETTER = (np.isin(np.arange(256), list(x)) for x in (b" \n", b".,;:!?", bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B))))
 
 
 def tokenizer_path() -> str:
@@ -150,16 +151,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cache, self.epoch, self.found = Interner(MOST_PIECES), -1, Ragged(np.int32)
 
     @staticmethod
     def cuts(texts: Texts) -> np.ndarray:
-        """Flags of the first bytes of pieces: starts of texts, and spaces after a character that is surely no white space."""
+        """Flags of the first bytes of pieces: starts of texts, and places where byte-level pre-tokens always end.
+
+        Those are a space or a line end after a character that is surely no white
+        space, an ASCII character that is visible after a single line end, and one
+        of .,;:!? after an ASCII letter. The end marker holds none of them.
+        """
         data, first = texts.data, texts.firsts()[:-1]
         cut = first.copy()
         if len(data) > 1:
-            before = data[:-1]
+            before, now = data[:-1], data[1:]
             sure = (before > 0x20) & (before < 0x7F)
             wide = before >= 0x80
             lead = np.zeros(len(before), np.uint8)
@@ -167,7 +172,9 @@ class Encoder:
             lead2 = np.zeros(len(before), np.uint8)
             lead2[2:] = data[:-3]
             odd = ((lead == 0xC2) & ((before == 0x85) | (before == 0xA0))) | ((lead2 >= 0xE1) & (lead2 <= 0xE3) & ((lead == 0x80) | (lead == 0x81) | (lead == 0x9A)))
-            cut[1:] |= (data[1:] == 0x20) & (sure | (wide & ~odd))
+            cut[1:] |= _GAP[now] & (sure | (wide & ~odd))
+            cut[1:] |= (before == 0x0A) & (lead > 0x20) & (lead < 0x7F) & (now > 0x20) & (now < 0x7F)
+            cut[1:] |= _POINT[now] & _LETTER[before]
         return cut
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
