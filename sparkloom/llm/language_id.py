@@ -13,11 +13,15 @@ expectation maximisation), shared out by each word's counts in the languages,
 with a Dirichlet prior around the common distribution.
 
 Words are runs of letters, folded to lower case; characters that no piece covers
-cost every language the same. Words above 64 characters are summed in parts.
+cost every language the same. Long words (scripts without spaces) are summed whole,
+a part at a time with the sums at the cut carried over; training counts the pieces of
+their parts of PART letters.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0; so is
 every text if there is nothing to learn from; ties go to the language that sorts
-first; repeated rows are scored alike; other columns are not read.
+first; repeated rows are scored alike; texts of any length are scored whole, in time
+linear in their letters; languages beyond the MAX_LANGUAGES most frequent aren't learnt;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,16 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import held_out, read
+from sparkloom.llm.common import bounded, fitted, held_out, read
 from sparkloom.llm.lattice import PieceTable, code_points, edges_by_end
 from sparkloom.llm.textbatch import Interner, Texts, pieces
 
-#: Bounds of the training sample: documents of each language, languages, characters of a document.
-TRAIN_ROWS, MAX_LANGUAGES, MAX_CHARS = 1_500, 200, 200_000
+#: Bounds of the training sample: documents of each language, and languages, the most frequent ones; TRAIN_CHARS of `common` bounds a language's characters.
+TRAIN_ROWS, MAX_LANGUAGES = 1_500, 400
 SEED, SPLIT = 7, (4, 2)
 #: Distinct words that a worker keeps between tasks.
 MOST_WORDS = 800_000
-ROUNDS, PRIOR, UNCOVERED, SCALE, PART = 2, 2_000.0, 1e-8, 32.0, 64
+#: Letters after which sums are scaled anew, and at which long words are cut for training.
+ROUNDS, PRIOR, UNCOVERED, SCALE, PART = 2, 2_000.0, 1e-8, 32.0, 32
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -89,18 +94,56 @@ def forward(table: PieceTable, points: np.ndarray, p: np.ndarray) -> tuple[np.nd
 
 def log_probabilities(table: PieceTable, words: list[str], p: np.ndarray) -> np.ndarray:
     """(words, languages): log of the sum over all segmentations."""
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        for k in range(0, len(w), PART):
-            parts.append(w[k : k + PART])
-            owner.append(i)
     out = np.zeros((len(words), p.shape[1]))
-    owner = np.array(owner, dtype=np.int64)
-    for where, points in code_points(parts):
+    long = [i for i, w in enumerate(words) if len(w) > PART]
+    short = [i for i, w in enumerate(words) if len(w) <= PART]
+    for where, points in code_points([words[i] for i in short]):
         step = max(1, 400_000 // max(1, points.shape[1] * p.shape[1]))
         for i in range(0, len(where), step):
             alpha, _ = forward(table, points[i : i + step], p)
-            np.add.at(out, owner[where[i : i + step]], np.log(alpha[:, -1]) - points.shape[1] * np.log(SCALE))
+            out[np.array(short, dtype=np.int64)[where[i : i + step]]] = np.log(alpha[:, -1]) - points.shape[1] * np.log(SCALE)
+    long.sort(key=lambda i: len(words[i]))
+    at = 0
+    while at < len(long):
+        group = [long[at]]
+        while at + len(group) < len(long) and len(words[long[at + len(group)]]) <= 1.2 * len(words[group[0]]) and len(group) * PART * p.shape[1] < 400_000:
+            group.append(long[at + len(group)])
+        out[group] = _log_long(table, [words[i] for i in group], p)
+        at += len(group)
+    return out
+
+
+def _log_long(table: PieceTable, words: list[str], p: np.ndarray) -> np.ndarray:
+    """The same for words above PART letters: a part at a time, with the sums at the last letters, as many as the longest piece has, carried over the cut and scaled by their largest."""
+    carry = table.longest
+    sizes = np.array([len(w) for w in words])
+    points = np.zeros((len(words), int(sizes.max())), dtype=np.uint32)  # no piece holds the character 0
+    for i, w in enumerate(words):
+        points[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out = np.zeros((len(words), p.shape[1]))
+    logs = np.zeros((len(words), p.shape[1]))
+    tail = np.zeros((len(words), carry, p.shape[1]))  # sums at the letters before the part, the last one at the end
+    tail[:, -1] = 1
+    for begin in range(0, points.shape[1], PART):
+        before = min(carry - 1, begin)
+        part = points[:, begin - before : begin + PART]
+        edges = edges_by_end(table, part)
+        width = part.shape[1] - before
+        alpha = np.concatenate([tail, np.zeros((len(words), width, p.shape[1]))], axis=1)  # alpha[:, carry - 1 + j] after j letters of the part
+        for j in range(1, width + 1):
+            bare = np.ones(len(words), dtype=bool)
+            for size, row, number in edges[before + j]:
+                alpha[row, carry - 1 + j] += alpha[row, carry - 1 + j - size] * p[number] * SCALE**size
+                if size == 1:
+                    bare[row] = False
+            alpha[bare, carry - 1 + j] += alpha[bare, carry - 2 + j] * (UNCOVERED * SCALE)
+        ends = np.flatnonzero((sizes > begin) & (sizes <= begin + width))
+        with np.errstate(divide="ignore"):
+            out[ends] = np.log(alpha[ends, carry - 1 + sizes[ends] - begin]) + logs[ends] - (sizes[ends] * np.log(SCALE))[:, None]
+        tail = alpha[:, -carry:]
+        top = np.maximum(tail.max(axis=1), 1e-300)
+        tail = tail / top[:, None]
+        logs += np.log(top)
     return out
 
 
@@ -156,8 +199,9 @@ def fit(texts: list[str], langs: list[str], pieces_: list[str]) -> LanguageModel
         keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         n = np.bincount(inverse * len(languages) + lang, minlength=len(keys) * len(languages)).reshape(-1, len(languages))
         for raw, row in zip(batch.strings(starts[first], ends[first]), n, strict=True):
-            w = normal_word(raw)[:PART]
-            if w:
+            whole = normal_word(raw)
+            for k in range(0, len(whole), PART):
+                w = whole[k : k + PART]
                 counts[w] = counts[w] + row if w in counts else row
     words = list(counts)
     by_lang = np.array([counts[w] for w in words], dtype=np.float64).reshape(-1, len(languages))
@@ -212,19 +256,30 @@ _scorers: dict[str, Scorer] = {}
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, path: str | None = None) -> LanguageModel:
-    """Per language the `rows` training documents of least seeded hash; only ids are shuffled to choose them."""
-    spark = docs.sparkSession
+    """Per language the `rows` training documents of least seeded hash.
+
+    Counts by language give a bound on the hash that leaves some more than `rows`
+    documents of each; only those ids are sent to their language's order. The
+    sample is fitted in one task.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), *SPLIT)).select(F.col("doc_id").alias("__id"), F.col("lang").cast("string").alias("__lang"))
-    order = Window.partitionBy("__lang").orderBy(F.xxhash64(F.lit(SEED), "__id"), "__id")
-    chosen = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).select("__id", "__lang")
-    found = chosen.limit(rows * MAX_LANGUAGES).collect()
-    if not found:
-        return LanguageModel([], np.zeros((0, 0)), np.zeros(0), [])
-    ids = spark.createDataFrame([(r[0],) for r in found], "__id long").distinct()
-    sample = docs.join(F.broadcast(ids), docs["doc_id"] == ids["__id"]).where(F.col("lang").isNotNull() & (F.length("text") <= MAX_CHARS)).select("__id", F.col("lang").cast("string").alias("lang"), "text").toArrow()
-    order = np.argsort(sample["__id"].to_numpy(), kind="stable")
-    text, lang = sample["text"].to_pylist(), sample["lang"].to_pylist()
-    return fit([text[i] for i in order], [lang[i] for i in order], vocabulary(path))
+    counts = known.groupBy("__lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "__lang").limit(MAX_LANGUAGES)
+    turn = F.xxhash64(F.lit(SEED), "__id")
+    share = (turn.cast("double") + 2.0**63) / 2.0**64
+    near = known.join(F.broadcast(counts), "__lang").where(share * F.col("n") <= rows + 8 * rows**0.5 + 64)
+    own = Window.partitionBy("__lang").orderBy(turn, "__id")
+    chosen = near.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= rows).select("__id", "__lang").distinct()
+    # at most `rows` ids of each of MAX_LANGUAGES languages are broadcast
+    found = docs.select(F.col("doc_id").alias("__id"), F.col("lang").cast("string").alias("__lang"), F.coalesce("text", F.lit("")).alias("text"))
+    sample = bounded(found.join(F.broadcast(chosen), ["__id", "__lang"]), ["__lang"], SEED)
+
+    def run(table: pa.Table) -> LanguageModel:
+        if not table.num_rows:
+            return LanguageModel([], np.zeros((0, 0)), np.zeros(0), [])
+        table = table.sort_by([("__id", "ascending"), ("text", "ascending")])
+        return fit(table["text"].to_pylist(), table["__lang"].to_pylist(), vocabulary(path))
+
+    return fitted(sample, run)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

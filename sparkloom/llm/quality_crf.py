@@ -12,8 +12,12 @@ then lines of bad documents that the first model finds good are relabelled (as
 long as a bad line remains) and the field is fitted again.
 
 Defined cases: null and empty texts are one empty line; lines of no bytes weigh
-as one byte; repeated rows score alike; a sample without both classes gives the
-constant score of its base rate (1 if there is none, so that nothing is lost).
+as one byte; repeated rows score alike; lines with equal potentials have equal
+marginals up to their neighbours'; texts of any length are scored whole, in time linear
+in bytes and lines; a sample without both classes gives the constant score of its base
+rate (1 if there is none, so that nothing is lost); an empty table gives an empty
+result; other columns pass through `score` and `stage` whatever their names, except
+those beginning with __.
 """
 
 from __future__ import annotations
@@ -27,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from sparkloom.llm.common import held_out, labelled_sample, read
+from sparkloom.llm.common import fitted, held_out, labelled_sample, read
 from sparkloom.llm.textbatch import Texts, pieces
 
 THRESHOLD = 0.3
-#: Bounds of the sample that the field is fitted on: documents, and lines in all.
+#: Bounds of the sample that the field is fitted on: documents, and lines in all; TRAIN_CHARS of `common` bounds its characters.
 TRAIN_ROWS, TRAIN_LINES = 4_000, 400_000
 SEED, SPLIT = 2, (5, 0)
 STEPS, RATE, RIDGE = 60, 0.15, 1e-3
@@ -239,11 +243,14 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
-    sample = labelled_sample(docs, labels, "quality", *SPLIT, rows, SEED).withColumn("__turn", F.xxhash64(F.lit(SEED), "__id")).toArrow()
-    # fit() may end early, so the order is that of the seeded hash
-    order = np.lexsort((sample["__id"].to_numpy(), sample["__turn"].to_numpy()))
-    text = sample["text"].to_pylist()
-    return fit([text[i] for i in order], sample["y"].to_numpy()[order])
+    def run(sample: pa.Table) -> QualityModel:
+        if not sample.num_rows:
+            return fit([], np.zeros(0))
+        # fit() may end early, so the order is that of the seeded hash
+        order = np.lexsort((sample["__id"].to_numpy(), sample["__turn"].to_numpy()))
+        return fit(sample["text"].take(order).to_pylist(), sample["y"].to_numpy()[order])
+
+    return fitted(labelled_sample(docs, labels, "quality", *SPLIT, rows, SEED).withColumn("__turn", F.xxhash64(F.lit(SEED), "__id")), run)
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:

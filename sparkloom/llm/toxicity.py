@@ -13,9 +13,11 @@ fitted to their best segments. A document's statistic is the largest
 fitted to the training documents maps it to a score in [0, 1].
 
 Defined cases: null and empty texts have no segment and get the score of the
-statistic 0; ties between segments keep text order; repeated rows score alike; a
-sample without both classes gives the constant score of its base rate (0 if
-there is none).
+statistic 0; ties between segments keep text order; repeated rows score alike; texts
+of any length are scored whole, in time linear in their tokens; a sample without both
+classes gives the constant score of its base rate (0 if there is none); an empty table
+gives an empty result; other columns pass through `score` and `stage` whatever their
+names, except those beginning with __.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import held_out, labelled_sample, read
+from sparkloom.llm.common import fitted, held_out, labelled_sample, read
 from sparkloom.llm.textbatch import LOWER, Texts, mix, pieces
 
 THRESHOLD = 0.3
-#: Bound of the sample that the model is fitted on.
+#: Bound of the sample that the model is fitted on, in rows; TRAIN_CHARS of `common` bounds its characters.
 TRAIN_ROWS = 12_000
 SEED = 6
 PREFIXES = (8, 7, 6, 5)
@@ -154,9 +156,9 @@ def _maximal(score: np.ndarray, drift: float, hits: np.ndarray | None = None) ->
     return [(x[2], x[3], x[1] - x[0]) for x in stack]
 
 
-def first_of_copies(texts: list[str], hashes: int = 6) -> np.ndarray:
-    """Indices of the texts without earlier near copies: those that share none of a few minima over five-word windows."""
-    seen: set[tuple[int, int]] = set()
+def first_of_copies(texts: list[str], labels: np.ndarray, hashes: int = 6) -> np.ndarray:
+    """Indices of the texts without an earlier near copy of the same label: one that shares all but one of a few minima over five-word windows."""
+    seen: set[tuple] = set()
     out = []
     for i in range(0, len(texts), 500):
         batch = Texts.of(texts[i : i + 500])
@@ -166,11 +168,16 @@ def first_of_copies(texts: list[str], hashes: int = 6) -> np.ndarray:
         for k in range(1, 5):
             shingle[:-k] = mix(shingle[:-k] * np.uint64(31) + word[k:])
         for d in range(batch.n):
-            own = shingle[at[d] : max(at[d] + 1, at[d + 1] - 4)] if at[d + 1] > at[d] else np.zeros(1, np.uint64)
-            mins = [(k, int(mix(own ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)).min())) for k in range(hashes)]
-            if not seen.intersection(mins):
+            n = at[d + 1] - at[d]
+            if n < 5:  # a text of fewer words is one window
+                own = np.array([hash(tuple(word[at[d] : at[d + 1]].tolist())) & (2**64 - 1)], dtype=np.uint64)
+            else:
+                own = shingle[at[d] : at[d + 1] - 4]
+            mins = [int(mix(own ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)).min()) for k in range(hashes)]
+            keys = [(k, int(labels[i + d]), *mins[:k], *mins[k + 1 :]) for k in range(hashes)]
+            if not seen.intersection(keys):
                 out.append(i + d)
-            seen.update(mins)
+                seen.update(keys)
     return np.array(out, dtype=np.int64)
 
 
@@ -188,9 +195,9 @@ def _document_features(texts: Texts) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
-    """Fit on a bounded sample held in memory; of near copies in it only the first counts."""
+    """Fit on a bounded sample held in memory; of near copies of one label in it only the first counts."""
     labels = np.asarray(labels, dtype=np.int64)
-    first = first_of_copies(texts)
+    first = first_of_copies(texts, labels)
     texts, labels = [texts[i] for i in first], labels[first]
     if not len(labels) or labels.min() == labels.max():
         return ToxicityModel(constant=float(labels.mean()) if len(labels) else 0.0)
@@ -271,11 +278,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
-    sample = labelled_sample(docs, labels, "toxic", *SPLIT, rows, SEED).toArrow()
-    sample = sample.sort_by("__id")
-    text, y = sample["text"].to_pylist(), sample["y"].to_numpy()
-    del sample
-    return fit(text, y)
+    def run(sample: pa.Table) -> ToxicityModel:
+        if not sample.num_rows:
+            return fit([], np.zeros(0))
+        order = np.argsort(sample["__id"].to_numpy(), kind="stable")
+        return fit(sample["text"].take(order).to_pylist(), sample["y"].to_numpy()[order])
+
+    return fitted(labelled_sample(docs, labels, "toxic", *SPLIT, rows, SEED), run)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
