@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from sparkloom.llm import fingerprints, language_id, license_scan, mixing, order_minhash, pieces, quality_crf, quality_rules, token_codes, toxicity
+from sparkloom.llm import fingerprints, language_id, license_scan, mixing, order_minhash, pieces, pipeline, quality_crf, quality_rules, token_codes, toxicity
 
 
 def queries() -> dict:
@@ -18,7 +17,7 @@ def queries() -> dict:
         "op8_mix": mixing.op8_mix,
         "op9_pieces": pieces.op9_pieces,
         "op10_order_minhash": order_minhash.op10_order_minhash,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

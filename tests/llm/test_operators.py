@@ -1,13 +1,16 @@
 """Every operator against a plain version, and on odd rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sparkloom.llm import fingerprints, language_id, license_scan, mixing, order_minhash, pieces, quality_crf, quality_rules, token_codes, toxicity
 from sparkloom.llm.textbatch import Interner, Texts
@@ -87,17 +90,18 @@ def test_forward_backward_is_exact():
     good, pair, logz = quality_crf.forward_backward(unary, at, trans)
     total, pairs = 0.0, np.zeros((2, 2))
     for d in range(3):
-        weights, marg = [], np.zeros(n[d])
+        weights, marg, two = [], np.zeros(n[d]), np.zeros((2, 2))
         for y in np.ndindex(*([2] * n[d])):
             w = np.exp(sum(unary[at[d] + i] * y[i] for i in range(n[d])) + sum(trans[y[i], y[i + 1]] for i in range(n[d] - 1)))
             weights.append(w)
             marg += w * np.array(y)
             for i in range(n[d] - 1):
-                pairs[y[i], y[i + 1]] += 0
+                two[y[i], y[i + 1]] += w
         z = sum(weights)
+        pairs += two / z
         total += np.log(z)
         assert np.allclose(good[at[d] : at[d + 1]], marg / z)
-    assert np.isclose(total, logz) and np.isclose(pair.sum(), sum(x - 1 for x in n))
+    assert np.isclose(total, logz) and np.allclose(pair, pairs)
 
 
 def quality_rows(rng, n):
@@ -161,6 +165,42 @@ def test_edited_texts(spark, tmp_path):
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
 
 
+def plain_fingerprint(text):
+    """The packed bins in hexadecimal, step by step."""
+    def h(raw, seed=42):
+        return xxhash.xxh64_intdigest(raw, seed)
+
+    words = [h(w.encode()) for w in WORD.findall(text or "")]
+    if not words:
+        return ""
+    windows = []
+    for i in range(max(1, len(words) - 4)):
+        seed = 42
+        for w in words[i : i + 5]:
+            seed = h(w.to_bytes(8, "little"), seed)
+        windows.append(seed)
+    bins = [None] * 256
+    for x in windows:
+        b = (x >> 56) ^ 128  # bins in the order of signed integers
+        if bins[b] is None or x < bins[b]:
+            bins[b] = x
+    out = list(bins)
+    for i in range(256):
+        if bins[i] is None:
+            start = h(i.to_bytes(4, "little")) & 0xFFFFF
+            step = 2 * (start >> 9) + 1
+            out[i] = next(bins[(start + step * t) % 256] for t in range(256) if bins[(start + step * t) % 256] is not None)
+    return "".join(f"{x & 255:02X}" for x in out)
+
+
+def test_fingerprint_matches_plain_version(spark):
+    rng = random.Random(31)
+    texts = [sentence(rng, n) for n in [*range(1, 61), 300, 900]] + ["", None, "é 漢字", "a a a a a a a a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fp for r in fingerprints.with_fingerprint(rows).select("doc_id", fingerprints.as_hex(F.col("__fp")).alias("fp")).collect()}
+    assert got == {i: plain_fingerprint(t) for i, t in enumerate(texts)}
+
+
 # ---- 4
 
 
@@ -226,7 +266,7 @@ def test_tokens_round_trip(spark, odd, nothing, tmp_path):
     token_codes.write_tokens(odd, f"{tmp_path}/t")
     table = token_codes.read_tokens(spark, f"{tmp_path}/t")
     got = sorted(((r.doc_id is None, r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in token_codes.document_ids(table).collect())
-    tok = token_codes.Encoder(token_codes.tokenizer_path()).tokenizer
+    tok = Tokenizer.from_file(token_codes.tokenizer_path())
     rows = sorted(((r.doc_id is None, r.doc_id), r.text or "") for r in odd.collect())
     start, every = 0, []
     for (i, t), g in zip(rows, got, strict=True):
@@ -240,11 +280,11 @@ def test_tokens_round_trip(spark, odd, nothing, tmp_path):
     assert token_codes.document_ids(token_codes.read_tokens(spark, f"{tmp_path}/e")).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a  b", " a\n b ", "x  y", "　 a", "it's 'tis", "é è <|endoftext|> x", "a\x1c b\x85 c", "12 345 .. ,,", "\t\t a"])
+@pytest.mark.parametrize("text", ["a  b", " a\n b ", "x  y", "　 a", "it's 'tis", "é è <|endoftext|> x", "a <|endoftext|> b", "a<|endoftext|>b.c", "x.\n\nY, z!\n é\n.", "q'.d", "a\x1c b\x85 c", "12 345 .. ,,", "\t\t a"])
 def test_cuts_never_change_ids(text):
     enc = token_codes.Encoder(token_codes.tokenizer_path())
     ids, counts = enc.encode(Texts.of([text, "", text]))
-    want = enc.tokenizer.encode(text, add_special_tokens=False).ids
+    want = Tokenizer.from_file(token_codes.tokenizer_path()).encode(text, add_special_tokens=False).ids
     assert ids.tolist() == want * 2 and counts.tolist() == [len(want), 0, len(want)]
 
 
@@ -315,6 +355,29 @@ def test_marginal_sums_all_segmentations():
     assert np.allclose(got, np.log([[plain(w, k) for k in (0, 1)] for w in words]))
 
 
+def test_long_runs_are_summed_whole():
+    rng = random.Random(7)
+    letters = "abcdef"
+    vocab = sorted({"▁", *letters, *("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60)), "▁ab", "▁fa"})
+    table = language_id.PieceTable(vocab)
+    p = np.array([[rng.random(), rng.random()] for _ in vocab])
+    p /= p.sum(axis=0)
+    words = ["▁" + "".join(rng.choice(letters + "z" * (i % 2)) for _ in range(n)) for i, n in enumerate([5, 31, 32, 33, 63, 64, 65, 200, 210, 500, 500])]
+    got = language_id.log_probabilities(table, words, p)
+    index = {w: i for i, w in enumerate(vocab)}
+    for w, row in zip(words, got, strict=True):
+        for k in (0, 1):
+            logs = [0.0]
+            for end in range(1, len(w) + 1):
+                ways = [logs[end - n] + math.log(p[index[w[end - n : end]], k]) for n in range(1, min(end, 8) + 1) if w[end - n : end] in index]
+                if w[end - 1] not in index:
+                    ways.append(logs[end - 1] + math.log(language_id.UNCOVERED))
+                top = max(ways)
+                logs.append(top + math.log(sum(math.exp(x - top) for x in ways)))
+            want = logs[-1]
+            assert abs(row[k] - want) < 1e-6 * abs(want)
+
+
 def test_languages(spark, odd, nothing):
     rng = random.Random(7)
     stock = {"en": ["the", "house", "with", "light", "thing"], "de": ["der", "haus", "mit", "licht", "schön"], "es": ["la", "casa", "con", "luz", "señor"]}
