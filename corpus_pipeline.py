@@ -1,43 +1,5 @@
-"""A corpus pipeline: five stages, each written as Parquet and read again by the next.
+"""The corpus pipeline of `sparkloom.llm.pipeline`: its stages, its run and its SQL."""
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents. The folder of the intermediate tables is below
-the one that driver and executors share.
-"""
+from sparkloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from sparkloom.llm import mixing, order_minhash, pieces, quality_crf, toxicity
-from sparkloom.llm.common import read, shared_dir
-
-
-def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document as often as its source's target asks."""
-    return mixing.mix_rows(docs)
-
-
-STAGES = [
-    ("toxicity", toxicity.stage),
-    ("quality", quality_crf.stage),
-    ("near_dedup", order_minhash.stage),
-    ("mix", mix_stage),
-    ("encode", pieces.stage),
-]
-
-#: No SQL expresses the classifiers, the alignment or the segmentation.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`."""
-    docs = read(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
