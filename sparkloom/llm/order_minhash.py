@@ -11,8 +11,8 @@ programming in a diagonal band that is widened until it is exact, is at most
 
 Pairs inside a bucket are never listed whole. Each text is compared with one
 centre: of the best members of its buckets, the one that sits in the largest
-buckets. What verifies is joined; TURNS such turns follow, with centres of other
-classes only. Then the rest is settled exactly. Where all members of a bucket but
+buckets; then with the centres of its other buckets, unless they met the same one. What
+verifies is joined. Then the rest is settled exactly. Where all members of a bucket but
 FEW or less are in one class, those few meet all the others. Other buckets are cut
 into blocks of about BLOCK texts or BLOCK_WORDS words; each member outside the
 largest class meets, block by block, all members of other classes, first by lengths
@@ -58,8 +58,8 @@ K, ELL, SKETCHES, SIMILARITY = 3, 2, 48, 0.8
 PLACE = np.uint64(30)
 #: Texts that are alike to texts of less than SHORT words are compared by the exact join.
 SHORT = 16
-#: Turns in which a text meets one more centre. Buckets with at most FEW members outside their largest class are settled by pairs, others by blocks.
-TURNS, FEW = 2, 32
+#: Buckets with at most FEW members outside their largest class are settled by pairs, others by blocks.
+FEW = 32
 BLOCK, BLOCK_WORDS, BLOCK_PAIRS = 1024, 2_000_000, 32_768
 #: Counts of words by hash, 255 at most, for a quick lower bound of the distance.
 BINS = 64
@@ -362,7 +362,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         now = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct().checkpoint()
@@ -393,33 +393,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     centre = members.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", F.xxhash64("node").alias("h"), F.col("node").alias("to"), F.col("n").alias("size"))).alias("c"))
     like = F.least("n", "c.size") >= F.lit(similarity) * F.greatest("n", "c.size")
     options = members.join(centre, "key").where((F.col("node") != F.col("c.to")) & like).select("node", "c").distinct().checkpoint()
-    tested = labels = None
-    for turn in range(1 + TURNS):
-        left = options
-        if turn:
-            left = _named(_named(left.withColumn("to", F.col("c.to")), labels, "node", "class"), labels, "to", "other").where("class != other").select("node", "c")
-            left = left.withColumn("to", F.col("c.to")).join(tested, ["node", "to"], "left_anti").select("node", "c")
-        chosen = left.groupBy("node").agg(F.max("c").alias("c")).select("node", F.col("c.to").alias("to")).checkpoint()
-        if not chosen.take(1):
-            break
-        tested = chosen if tested is None else tested.unionByName(chosen)
-        found = found.unionByName(_compared(chosen.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")), sizes, words, similarity)).checkpoint()
-        labels = components(found)
+    best = options.groupBy("node").agg(F.max("c").alias("c")).select("node", F.col("c.to").alias("to")).checkpoint()
+    linked = _compared(_pairs(best), sizes, words, similarity).checkpoint()
+    # a text and the centres it has met are one class so far; the other centres of its buckets follow
+    near = best.withColumn("a", F.least("node", "to")).withColumn("b", F.greatest("node", "to")).join(linked, ["a", "b"], "left_semi").select("node", F.col("to").alias("root"))
+    rest = _named(_named(options.select("node", F.col("c.to").alias("to")), near, "node", "class"), near, "to", "other").where("class != other AND class != to").select("node", "to")
+    rest = rest.join(best, ["node", "to"], "left_anti").checkpoint()
+    found = found.unionByName(linked).unionByName(_compared(_pairs(rest), sizes, words, similarity)).checkpoint()
+    tested, labels = _pairs(best.unionByName(rest)), components(found)
     # what is open still
-    labels = components(found) if labels is None else labels
     tuples = _open(_named(members.drop("members"), labels, "node", "class")).withColumn("once", F.lit(True))
     short = _prefixes(words.join(ends, "node", "left_semi"), similarity)
     common = short.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     brief = _open(_named(short.join(common, "key"), labels, "node", "class")).withColumn("once", F.lit(False))
     still = tuples.unionByName(brief.select(tuples.columns)).checkpoint()
-    pairs = _across(still.where(F.col("outside") <= FEW), similarity)
-    if tested is not None:
-        pairs = pairs.join(tested.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")), ["a", "b"], "left_anti")
+    pairs = _across(still.where(F.col("outside") <= FEW), similarity).join(tested, ["a", "b"], "left_anti")
     links = _compared(pairs, sizes, words, similarity)
     links = links.unionByName(_blocked(still.where(F.col("outside") > FEW), heads.select("node", "bins", "tags"), words, similarity))
-    labels = components(found.unionByName(links))
+    # the classes of classes
+    between = _named(_named(links, labels, "a", "x"), labels, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    classes = components(between).select(F.col("node").alias("class"), F.col("root").alias("top"))
     # documents -> their text's first document -> its class
-    heads = _named(heads.select("ha", "hb", "node"), labels, "node", "class_id")
+    heads = _named(heads.select("ha", "hb", "node"), labels, "node", "class").join(classes, "class", "left").withColumn("class_id", F.coalesce("top", "class"))
     return signed.join(heads.select("ha", "hb", "class_id"), ["ha", "hb"]).select(F.col("id").alias("doc_id"), "class_id", "made")
 
 
@@ -439,6 +434,11 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(split, "key")
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(node, to) -> (a, b), the lesser node first."""
+    return rows.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
+
+
 def _across(members: DataFrame, similarity: float) -> DataFrame:
     """(key, node, n, class, main) -> (a, b): members outside the key's main class with all members of other classes and like length."""
     small = members.where("class != main").select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "class")])
