@@ -40,6 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found or jvm.getCheckpointDir().get()
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver to collect garbage: Spark drops the shuffle files of finished steps only then, and until then disks hold them all."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder in whichever store holds it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import read, shared_dir
+from sparkloom.llm.common import read, release, shared_dir
 from sparkloom.llm.textbatch import LOWER, Texts, mix, pieces, ranges
 
 #: Where one word in five is edited nearly no window of five words is left whole; with three words, 48 tuples of two find pairs at the very threshold.
@@ -384,6 +384,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     members = rows.join(shared, "key").join(sizes.select("node", "n"), "node").checkpoint()
     ends = heads.where((F.col("n") * similarity < SHORT) & (F.floor(F.col("n") * (1 - similarity) + 1e-9) + F.floor(F.col("n") / similarity * (1 - similarity) + 1e-9) > 0)).select("node")
     words = _word_ids(members.select("node").unionByName(ends).distinct(), docs).checkpoint()
+    release(docs.sparkSession)
     # rows that share an id with another text join that text's class
     twins = signed.groupBy("id").agg(F.min("ha").alias("x"), F.max("ha").alias("y")).where("x != y").select("id")
     ties = signed.join(twins, "id").join(heads.select("ha", "hb", "node"), ["ha", "hb"]).select(F.col("id").alias("a"), F.col("node").alias("b"))
@@ -401,12 +402,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rest = rest.join(best, ["node", "to"], "left_anti").checkpoint()
     found = found.unionByName(linked).unionByName(_compared(_pairs(rest), sizes, words, similarity)).checkpoint()
     tested, labels = _pairs(best.unionByName(rest)), components(found)
+    release(docs.sparkSession)
     # what is open still
     tuples = _open(_named(members.drop("members"), labels, "node", "class")).withColumn("once", F.lit(True))
     short = _prefixes(words.join(ends, "node", "left_semi"), similarity)
     common = short.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     brief = _open(_named(short.join(common, "key"), labels, "node", "class")).withColumn("once", F.lit(False))
     still = tuples.unionByName(brief.select(tuples.columns)).checkpoint()
+    release(docs.sparkSession)
     pairs = _across(still.where(F.col("outside") <= FEW), similarity).join(tested, ["a", "b"], "left_anti")
     links = _compared(pairs, sizes, words, similarity)
     links = links.unionByName(_blocked(still.where(F.col("outside") > FEW), heads.select("node", "bins", "tags"), words, similarity))
@@ -494,6 +497,7 @@ def _blocked(members: DataFrame, slim: DataFrame, words: DataFrame, similarity:
     left = rows.where("NOT in_main").select("*", F.lit(False).alias("side"), F.col("mine").alias("i"), F.explode("each").alias("j")).drop("mine", "each")
     right = rows.select("*", F.lit(True).alias("side"), F.explode("each").alias("i"), F.col("mine").alias("j")).drop("mine", "each")
     found = left.unionByName(right.select(left.columns)).groupBy("key", "i", "j").applyInArrow(candidates, "block long, a array<long>, b array<long>").checkpoint()
+    release(members.sparkSession)
     texts = found.select("block", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).join(words, "node").select("block", "node", "words")
     none = F.lit(None)
     both = found.select("block", none.cast("long").alias("node"), none.cast("binary").alias("words"), "a", "b").unionByName(texts.select("block", "node", "words", none.cast("array<long>").alias("a"), none.cast("array<long>").alias("b")))
