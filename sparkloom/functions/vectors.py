@@ -2,37 +2,62 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def unpack_floats(packed: pd.Series) -> pd.Series:
-    """Little-endian float32 bytes to an array; null stays null."""
-    return packed.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
+def _bytes(packed: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Offsets from 0, and the bytes of all values."""
+    wide = pa.types.is_large_binary(packed.type)
+    _, offsets, data = packed.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64) if len(packed) else np.zeros(1, np.int64)
+    return at - at[0], (data.to_pybytes() if data is not None else b"")[at[0] : at[-1]]
 
 
-@F.pandas_udf(T.BinaryType())
-def pack_floats(values: pd.Series) -> pd.Series:
+def _binary(sizes: np.ndarray, data: bytes, valid: pa.Array) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    out = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+    return pc.if_else(valid, out, pa.scalar(None, pa.binary()))
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def unpack_floats(packed: pa.Array) -> pa.Array:
+    """Little-endian float32 bytes to an array; null stays null. A batch is one buffer."""
+    at, data = _bytes(packed)
+    return pa.ListArray.from_arrays(pa.array((at // 4).astype(np.int32)), pa.array(np.frombuffer(data, "<f4")), mask=packed.is_null())
+
+
+@F.arrow_udf(T.BinaryType())
+def pack_floats(values: pa.Array) -> pa.Array:
     """An array to little-endian float32 bytes; null stays null."""
-    return values.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+    sizes = pc.list_value_length(values).fill_null(0).to_numpy() * 4
+    return _binary(sizes, values.flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes(), values.is_valid())
 
 
-@F.pandas_udf(T.BinaryType())
-def pack_label(label: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def pack_label(label: pa.Array) -> pa.Array:
     """A label to 8 little-endian bytes."""
-    return label.map(lambda v: None if pd.isna(v) else struct.pack("<q", int(v)))
+    return _binary(np.full(len(label), 8), label.fill_null(0).to_numpy().astype("<i8").tobytes(), label.is_valid())
+
+
+@F.arrow_udf(T.LongType())
+def unpack_label(packed: pa.Array) -> pa.Array:
+    valid = packed.is_valid().to_numpy(zero_copy_only=False)
+    at, data = _bytes(packed)
+    out = np.zeros(len(packed), np.int64)
+    out[valid] = np.frombuffer(data, "<i8")[at[:-1][valid] // 8]
+    return pa.array(out, mask=~valid)
 
 
-@F.pandas_udf(T.LongType())
-def unpack_label(packed: pd.Series) -> pd.Series:
-    return packed.map(lambda b: None if b is None else struct.unpack("<q", b)[0])
+def total(vector: Column) -> Column:
+    """Sum of a vector."""
+    return F.aggregate(vector, F.lit(0.0), lambda s, x: s + x)
 
 
 def wide(vector: Column, dim: int, prefix: str = "f") -> list[Column]:

@@ -29,17 +29,21 @@ class PropertyGraph:
             return e.unionByName(swapped).where("src <> dst").distinct()
         raise ValueError(f"no such direction: {direction}")
 
-    def degrees(self, direction: str = "incoming", neighbor_label: str | None = None) -> DataFrame:
-        """(node_id, degree) of every node, 0 without edges."""
-        view = self.view(direction)
+    def degrees(self, direction: str = "incoming", neighbor_label: str | None = None, only: DataFrame | None = None) -> DataFrame:
+        """(node_id, degree) of every node, or of those in only(node_id); 0 without edges."""
+        view, nodes = self.view(direction), self.nodes.select("node_id")
+        if only is not None:
+            ids = only.select("node_id").distinct()
+            view = view.join(ids.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+            nodes = nodes.join(ids, "node_id", "left_semi")
         if neighbor_label is not None:
             view = view.join(self.nodes.where(F.col("label") == neighbor_label).select(F.col("node_id").alias("src")), "src", "left_semi")
         counted = view.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("n"))
-        return self.nodes.select("node_id").join(counted, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).cast("long").alias("degree"))
+        return nodes.join(counted, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).cast("long").alias("degree"))
 
-    def resolved_degrees(self, stored: str | None = None) -> DataFrame:
+    def resolved_degrees(self, stored: str | None = None, only: DataFrame | None = None) -> DataFrame:
         """Degrees from a stored numeric property where there is one, else counted."""
-        counted = self.degrees()
+        counted = self.degrees(only=only)
         if stored is None or stored not in self.nodes.columns:
             return counted
         own = self.nodes.select("node_id", F.expr(f"try_cast(`{stored}` AS bigint)").alias("own"))

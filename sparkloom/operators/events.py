@@ -104,20 +104,31 @@ def boxcar(rows: DataFrame, by: list[str], width: float) -> DataFrame:
     return rows.withColumn("__us", F.round(F.col("time") * 1_000_000).cast("long")).withColumn("smooth", F.avg("value").over(around)).drop("__us")
 
 
-def on_grid(rows: DataFrame, by: str, points: int) -> DataFrame:
+def on_grid(rows: DataFrame, by: str, points: int, bins: int = 64) -> DataFrame:
     """(by, i, t, value): linear interpolation at `points` even times between each series' ends; null where undefined.
 
     The grid joins the series in time order: for each grid point the last sample
-    before and the first after it are carried by windows (an as-of join both ways).
+    before and the first after it are carried by running windows (an as-of join
+    both ways). A series is cut into `bins` spans of time, so that no task holds a
+    whole one; each span's first and last samples, one row a span, are carried to
+    the spans after and before.
     """
     ends = rows.groupBy(by).agg(F.min("time").alias("t0"), F.max("time").alias("t1"))
     grid = ends.select(by, "t0", "t1", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).select(by, "i", (F.col("t0") + (F.col("t1") - F.col("t0")) * F.col("i") / F.lit(float(points - 1))).alias("time"))
     sample = rows.groupBy(by, "time").agg(F.avg("value").alias("value"))
     every = sample.select(by, "time", "value", F.lit(None).cast("int").alias("i"), F.lit(0).alias("kind")).unionByName(grid.select(by, "time", F.lit(None).cast("double").alias("value"), "i", F.lit(1).alias("kind")))
-    before = Window.partitionBy(by).orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(by).orderBy("time", F.col("kind").desc()).rowsBetween(0, Window.unboundedFollowing)
+    span = F.when(F.col("t1") > F.col("t0"), F.floor((F.col("time") - F.col("t0")) / (F.col("t1") - F.col("t0")) * bins)).otherwise(F.lit(0))
+    every = every.join(ends, by).withColumn("bin", span.cast("long")).drop("t0", "t1")
     point = F.when(F.col("kind") == 0, F.struct("time", "value"))
-    out = every.withColumn("b", F.last(point, ignorenulls=True).over(before)).withColumn("a", F.first(point, ignorenulls=True).over(after)).where("kind = 1")
+    spans = every.where("kind = 0").groupBy(by, "bin").agg(F.min(F.struct("time", "value")).alias("head"), F.max(F.struct("time", "value")).alias("tail"))
+    near = every.select(by, "bin").distinct().join(spans, [by, "bin"], "left")
+    earlier = Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(by).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    near = near.select(by, "bin", F.last("tail", ignorenulls=True).over(earlier).alias("b0"), F.last("head", ignorenulls=True).over(later).alias("a0"))
+    before = Window.partitionBy(by, "bin").orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(by, "bin").orderBy(F.col("time").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = every.withColumn("b", F.last(point, ignorenulls=True).over(before)).withColumn("a", F.last(point, ignorenulls=True).over(after)).where("kind = 1").join(near, [by, "bin"])
+    out = out.withColumn("b", F.coalesce("b", "b0")).withColumn("a", F.coalesce("a", "a0"))
     slope = F.when(F.col("a.time") > F.col("b.time"), F.col("b.value") + (F.col("a.value") - F.col("b.value")) * (F.col("time") - F.col("b.time")) / (F.col("a.time") - F.col("b.time"))).otherwise(F.col("b.value"))
     return out.select(by, F.col("i").cast("long").alias("i"), F.col("time").alias("t"), slope.alias("value"))
 
@@ -133,11 +144,11 @@ def top_operators(rows: DataFrame, by: str, value: str, k: int = 5) -> DataFrame
     return rows.groupBy(by).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).orderBy(F.col("mean").desc(), by).limit(k)
 
 
-def flatten_profile(profile: DataFrame, depth: int = 8) -> DataFrame:
-    """(query, path, operator, time, hits) of nested operator trees (operator, time, hits, children), one level a step."""
+def flatten_profile(profile: DataFrame) -> DataFrame:
+    """(query, path, operator, time, hits) of nested operator trees (operator, time, hits, children), one level of the schema a step, to its end."""
     now = profile.select("query", F.col("plan").alias("p"), F.lit("0").alias("path"))
     out = None
-    for _ in range(depth):
+    while True:
         one = now.select("query", "path", F.col("p.operator").alias("operator"), F.col("p.time").alias("time"), F.col("p.hits").alias("hits"))
         out = one if out is None else out.unionByName(one)
         if "children" not in now.schema["p"].dataType.fieldNames():

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.lineage import cut
 from sparkloom.graph import PropertyGraph
 from sparkloom.operators.sampling import dense_index
 
@@ -20,19 +21,17 @@ def fetch(requests: DataFrame, nodes: DataFrame, *, features: bool = True, label
     return requests.join(have.select(*cols), "node_id").select("pos", *cols)
 
 
-def gather(requests: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
-    """Dense batch in request order: zeros and -1 for what is missing."""
+def gather(requests: DataFrame, nodes: DataFrame, dim: int, missing_label: int = -1) -> DataFrame:
+    """Dense batch in request order: zeros and `missing_label` for what is missing."""
     zeros = F.array(*[F.lit(0.0)] * dim)
     out = requests.join(nodes.select("node_id", "features", "target"), "node_id", "left")
-    return out.select("pos", "node_id", F.coalesce(F.col("features").cast("array<double>"), zeros).alias("h"), F.coalesce(F.col("target").cast("long"), F.lit(-1)).alias("target"))
+    return out.select("pos", "node_id", F.coalesce(F.col("features").cast("array<double>"), zeros).alias("h"), F.coalesce(F.col("target").cast("long"), F.lit(missing_label)).alias("target"))
 
 
 def gather_cached(requests: DataFrame, hot: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
     """gather() with a flag for the requests that a hot set(node_id) answers."""
-    hits = requests.join(hot.select("node_id"), "node_id", "left_semi").withColumn("hit", F.lit(True))
-    misses = requests.join(hot.select("node_id"), "node_id", "left_anti").withColumn("hit", F.lit(False))
-    flags = hits.unionByName(misses)
-    return gather(requests, nodes, dim).join(flags.select("pos", "hit"), "pos")
+    flags = hot.select("node_id").distinct().withColumn("hit", F.lit(True))
+    return gather(requests, nodes, dim).join(flags, "node_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def hybrid_bundle(nodes: DataFrame, frontier: DataFrame, aggregated: DataFrame, dim: int) -> DataFrame:
@@ -59,22 +58,18 @@ def top_out_degree(graph: PropertyGraph, k: int) -> DataFrame:
 def pagerank(graph: PropertyGraph, rounds: int = 20, damping: float = 0.85, checkpoint_every: int = 5) -> DataFrame:
     """(node_id, rank) on the undirected graph: (1 - d) + d sum PR(u) / deg(u), a fixed number of rounds.
 
-    Lineage is cut by a reliable checkpoint where the session has a checkpoint
-    folder.
+    Lineage is cut by a reliable checkpoint every few rounds.
     """
     view = graph.view("undirected")
     degree = view.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("degree"))
-    links = view.join(degree.withColumnRenamed("node_id", "src"), "src").select("src", "dst", "degree")
+    # links are computed once and dealt by src, as every round joins them on it
+    links = cut(view.join(degree.withColumnRenamed("node_id", "src"), "src").select("src", "dst", "degree").repartition("src"))
     rank = graph.nodes.select("node_id", F.lit(1.0).alias("rank"))
-    reliable = graph.nodes.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if reliable and graph.nodes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        graph.nodes.sparkSession.sparkContext.setCheckpointDir(reliable)
-    can_cut = graph.nodes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     for i in range(1, rounds + 1):
         sent = links.join(rank.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("s"))
         rank = graph.nodes.select("node_id").join(sent, "node_id", "left").select("node_id", (F.lit(1 - damping) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("rank"))
-        if can_cut and i % checkpoint_every == 0 and i < rounds:
-            rank = rank.checkpoint()
+        if i % checkpoint_every == 0 and i < rounds:
+            rank = cut(rank)
     return rank
 
 
@@ -85,7 +80,7 @@ def cache_capacity(size_bytes: int, dim: int, label_bytes: int = 8) -> int:
 
 def hit_summary(requests: DataFrame, hot: DataFrame) -> DataFrame:
     """(hits, misses, hit_rate) of a static hot set over all requests."""
-    flags = requests.select("node_id").join(F.broadcast(hot.select("node_id").withColumn("h", F.lit(1))), "node_id", "left")
+    flags = requests.select("node_id").join(hot.select("node_id").distinct().withColumn("h", F.lit(1)), "node_id", "left")
     return flags.agg(F.count("h").alias("hits"), (F.count("*") - F.count("h")).alias("misses"), (F.count("h") / F.count("*")).alias("hit_rate"))
 
 

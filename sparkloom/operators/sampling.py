@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.lineage import cut
 from sparkloom.functions.tape import tape, uniform
 from sparkloom.graph import PropertyGraph
 
@@ -107,11 +108,13 @@ def dense_index(rows: DataFrame, *order: str, parts: int | None = None) -> DataF
     """`rows` with local_id = 0, 1, ... in this order, without a window over the table.
 
     Rows are dealt by ranges of the order; each part numbers its own rows, and
-    part totals (one row for each part) give the offsets.
+    part totals (one row for each part) give the offsets. The dealt rows are
+    checkpointed: bounds of ranges are drawn from a sample, so totals and numbers
+    must not each deal the rows anew.
     """
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    dealt = cut(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     within = Window.partitionBy("__part").orderBy(*order)
     totals = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = totals.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))

@@ -18,8 +18,8 @@ from sparkloom.operators import sampling as smp
 from sparkloom.operators import walks
 from sparkloom.plans import fixtures as fx
 from sparkloom.plans.fixtures import DIM, sql
-from sparkloom.plans.planner import infer, predict
-from sparkloom.plans.spec import ModelSpec, compile_layers
+from sparkloom.plans.planner import dense, infer, predict
+from sparkloom.plans.spec import Layer, ModelSpec, compile_layers
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -385,34 +385,34 @@ def walk_ctes(g: str, start: str, length: int, *, back: bool = True, weight: str
     return [*out, f"{name} AS (" + " UNION ALL ".join(f"SELECT walker, {s} AS step, here AS node_id FROM {name}{s}" for s in range(length + 1)) + ")"]
 
 
-@query("random_walk", sql("g2 seeds", "SELECT walker, step, node_id FROM w", *walk_ctes("g2", "seeds", 4)))
+@query("random_walk", sql("g1 seeds", "SELECT walker, step, node_id FROM w", *walk_ctes("g1", "seeds", 4)))
 def random_walk(spark, d):
-    return walks.walk(fx.graph(spark, d, True), fx.seeds(spark, d), 4)
+    return walks.walk(fx.graph(spark, d), fx.seeds(spark, d), 4)
 
 
-@query("random_walk_nb", sql("g2 und2 seeds", "SELECT walker, step, node_id FROM w", *walk_ctes("und2", "seeds", 4, back=False)))
+@query("random_walk_nb", sql("g1 und1 seeds", "SELECT walker, step, node_id FROM w", *walk_ctes("und1", "seeds", 4, back=False)))
 def random_walk_nb(spark, d):
-    g = fx.graph(spark, d, True)
+    g = fx.graph(spark, d)
     return walks.walk(PropertyGraph(g.nodes, g.view("undirected")), fx.seeds(spark, d), 4, backtrack=False)
 
 
-@query("biased_walk", sql("g2 seeds", "SELECT walker, step, node_id FROM w", *walk_ctes("g2", "seeds", 4, weight="CAST(1 + (e.src * 7 + e.dst) % 5 AS DOUBLE)")))
+@query("biased_walk", sql("g1 seeds", "SELECT walker, step, node_id FROM w", *walk_ctes("g1", "seeds", 4, weight="CAST(1 + (e.src * 7 + e.dst) % 5 AS DOUBLE)")))
 def biased_walk(spark, d):
-    return walks.walk(fx.graph(spark, d, True), fx.seeds(spark, d), 4, weight=(1 + (F.col("src") * 7 + F.col("dst")) % 5).cast("double"))
+    return walks.walk(fx.graph(spark, d), fx.seeds(spark, d), 4, weight=(1 + (F.col("src") * 7 + F.col("dst")) % 5).cast("double"))
 
 
-@query("coalesced_walk", sql("g2 seeds", "SELECT walker, 0 AS step, walker AS node_id FROM c0 UNION ALL SELECT walker, 1, here FROM c1 UNION ALL SELECT walker, 2, here FROM c2",
+@query("coalesced_walk", sql("g1 seeds", "SELECT walker, 0 AS step, walker AS node_id FROM c0 UNION ALL SELECT walker, 1, here FROM c1 UNION ALL SELECT walker, 2, here FROM c2",
     "c0 AS (SELECT node_id AS walker, node_id AS here FROM seeds)",
-    *[f"c{s} AS (SELECT a.walker, coalesce(b.dest, a.here) AS here FROM c{s - 1} a LEFT JOIN (SELECT dst, src AS dest FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY {_tape(s, 'dst', 'src')}) AS rn FROM g2) WHERE rn = 1) b ON b.dst = a.here)" for s in (1, 2)]))
+    *[f"c{s} AS (SELECT a.walker, coalesce(b.dest, a.here) AS here FROM c{s - 1} a LEFT JOIN (SELECT dst, src AS dest FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY {_tape(s, 'dst', 'src')}) AS rn FROM g1) WHERE rn = 1) b ON b.dst = a.here)" for s in (1, 2)]))
 def coalesced_walk(spark, d):
-    return walks.walk(fx.graph(spark, d, True), fx.seeds(spark, d), 2, coalesce=True)
+    return walks.walk(fx.graph(spark, d), fx.seeds(spark, d), 2, coalesce=True)
 
 
-@query("pinsage_topk", sql("g2 und2 seeds", "SELECT root, node_id, visits FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY visits DESC, node_id) AS rn FROM counts) WHERE rn <= 4",
-    *[x for i in range(4) for x in walk_ctes("und2", "seeds", 3, seed=100 + i, name=f"k{i}")],
+@query("pinsage_topk", sql("g1 und1 seeds", "SELECT root, node_id, visits FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY visits DESC, node_id) AS rn FROM counts) WHERE rn <= 4",
+    *[x for i in range(4) for x in walk_ctes("und1", "seeds", 3, seed=100 + i, name=f"k{i}")],
     "counts AS (SELECT walker AS root, node_id, count(*) AS visits FROM (" + " UNION ALL ".join(f"SELECT * FROM k{i}" for i in range(4)) + ") WHERE step > 0 AND node_id <> walker GROUP BY walker, node_id)"))
 def pinsage_topk(spark, d):
-    g = fx.graph(spark, d, True)
+    g = fx.graph(spark, d)
     g = PropertyGraph(g.nodes, g.view("undirected"))
     return walks.most_visited(walks.visit_counts([walks.walk(g, fx.seeds(spark, d), 3, seed=100 + i) for i in range(4)]), 4).select("root", "node_id", "visits")
 
@@ -427,16 +427,16 @@ def saint_edge(spark, d):
     return walks.weighted_edges(walks.edge_importance(fx.graph(spark, d)), 100)
 
 
-@query("saint_rw_nodes", sql("g2 seeds", "SELECT DISTINCT node_id FROM w", *walk_ctes("g2", "seeds", 3)))
+@query("saint_rw_nodes", sql("g1 seeds", "SELECT DISTINCT node_id FROM w", *walk_ctes("g1", "seeds", 3)))
 def saint_rw_nodes(spark, d):
-    return walks.walk(fx.graph(spark, d, True), fx.seeds(spark, d), 3).select("node_id").distinct()
+    return walks.walk(fx.graph(spark, d), fx.seeds(spark, d), 3).select("node_id").distinct()
 
 
-@query("saint_norm", sql("g2 seeds nodes", f"SELECT node_id, {_round('3.0::DOUBLE / greatest(CAST(coalesce(n, 0) AS DOUBLE), 0.1::DOUBLE) / (SELECT count(*) FROM nodes)', 9)} AS norm FROM nodes LEFT JOIN cnt USING (node_id)",
-    *[x for i in range(3) for x in walk_ctes("g2", "seeds", 2, seed=200 + i, name=f"k{i}")],
+@query("saint_norm", sql("g1 seeds nodes", f"SELECT node_id, {_round('3.0::DOUBLE / greatest(CAST(coalesce(n, 0) AS DOUBLE), 0.1::DOUBLE) / (SELECT count(*) FROM nodes)', 9)} AS norm FROM nodes LEFT JOIN cnt USING (node_id)",
+    *[x for i in range(3) for x in walk_ctes("g1", "seeds", 2, seed=200 + i, name=f"k{i}")],
     "cnt AS (SELECT node_id, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT DISTINCT {i} AS s, node_id FROM k{i}" for i in range(3)) + ") GROUP BY node_id)"))
 def saint_norm(spark, d):
-    g, s = fx.graph(spark, d, True), fx.seeds(spark, d)
+    g, s = fx.graph(spark, d), fx.seeds(spark, d)
     samples = None
     for i in range(3):
         one = walks.walk(g, s, 2, seed=200 + i).select(F.lit(i).alias("sample"), "node_id")
@@ -471,9 +471,9 @@ for _how in ("sum", "max", "min"):
     query(f"agg_{_how}", _agg_sql(_how))(_agg(_how))
 
 
-@query("agg_mean", sql("g2 x", f"SELECT x.node_id, x.dim, {_round('coalesce(m.m, x.v)')} AS h FROM x LEFT JOIN (SELECT e.dst, x.dim, avg(x.v) AS m FROM g2 e JOIN x ON x.node_id = e.src GROUP BY e.dst, x.dim) m ON m.dst = x.node_id AND m.dim = x.dim"))
+@query("agg_mean", sql("g1 x", f"SELECT x.node_id, x.dim, {_round('coalesce(m.m, x.v)')} AS h FROM x LEFT JOIN (SELECT e.dst, x.dim, avg(x.v) AS m FROM g1 e JOIN x ON x.node_id = e.src GROUP BY e.dst, x.dim) m ON m.dst = x.node_id AND m.dim = x.dim"))
 def agg_mean(spark, d):
-    g = fx.graph(spark, d, True)
+    g = fx.graph(spark, d)
     return vec.long_form(agg.mean_or_self(g.edges, _x(spark, d), g.nodes, DIM), "h")
 
 
@@ -495,9 +495,9 @@ def agg_gcnnorm(spark, d):
     return vec.long_form(agg.gcn_norm(g.edges, _x(spark, d), g.degrees(), g.nodes, DIM), "h")
 
 
-@query("agg_gcnnorm_improved", sql("g2 x deg2", out_sql("y"), f"y AS ({gcn_sql('g2', 'deg2', 'x', 'x', 2.0)})"))
+@query("agg_gcnnorm_improved", sql("g1 x deg1", out_sql("y"), f"y AS ({gcn_sql('g1', 'deg1', 'x', 'x', 2.0)})"))
 def agg_gcnnorm_improved(spark, d):
-    g = fx.graph(spark, d, True)
+    g = fx.graph(spark, d)
     return vec.long_form(agg.gcn_norm(g.edges, _x(spark, d), g.degrees(), g.nodes, DIM, improved=True), "h")
 
 
@@ -513,9 +513,9 @@ def agg_sampled_gcnnorm(spark, d):
     return vec.long_form(agg.gcn_norm(into, _x(spark, d), degrees, targets, DIM), "h")
 
 
-@query("agg_gin", sql("g2 x", f"SELECT x.node_id, x.dim, {_round('1.1::DOUBLE * x.v + coalesce(m.m, 0.0)')} AS h FROM x LEFT JOIN (SELECT e.dst, x.dim, sum(x.v) AS m FROM g2 e JOIN x ON x.node_id = e.src GROUP BY e.dst, x.dim) m ON m.dst = x.node_id AND m.dim = x.dim"))
+@query("agg_gin", sql("g1 x", f"SELECT x.node_id, x.dim, {_round('1.1::DOUBLE * x.v + coalesce(m.m, 0.0)')} AS h FROM x LEFT JOIN (SELECT e.dst, x.dim, sum(x.v) AS m FROM g1 e JOIN x ON x.node_id = e.src GROUP BY e.dst, x.dim) m ON m.dst = x.node_id AND m.dim = x.dim"))
 def agg_gin(spark, d):
-    g = fx.graph(spark, d, True)
+    g = fx.graph(spark, d)
     return vec.long_form(agg.gin(g.edges, _x(spark, d), g.nodes, DIM, 0.1), "h")
 
 
@@ -526,9 +526,9 @@ JOIN (SELECT src, dst, exp(s - max(s) OVER (PARTITION BY dst)) AS w, sum(exp(s -
 JOIN {h} u ON u.node_id = e.src GROUP BY e.dst, u.dim"""
 
 
-@query("agg_attention", sql("g2 x", out_sql("y"), "sc AS (SELECT node_id, sum(v * ((dim % 5) - 2) / 10.0::DOUBLE) AS t, sum(v * ((dim % 7) - 3) / 10.0::DOUBLE) AS s FROM x GROUP BY node_id)", f"y AS ({attention_sql('g2', 'x', 64)})"))
+@query("agg_attention", sql("g1 x", out_sql("y"), "sc AS (SELECT node_id, sum(v * ((dim % 5) - 2) / 10.0::DOUBLE) AS t, sum(v * ((dim % 7) - 3) / 10.0::DOUBLE) AS s FROM x GROUP BY node_id)", f"y AS ({attention_sql('g1', 'x', 64)})"))
 def agg_attention(spark, d):
-    g = fx.graph(spark, d, True)
+    g = fx.graph(spark, d)
     return vec.long_form(agg.attention(g.edges, _x(spark, d), [((i % 5) - 2) / 10 for i in range(DIM)], [((i % 7) - 3) / 10 for i in range(DIM)], DIM), "h")
 
 
@@ -551,12 +551,60 @@ def msg_linear(spark, d):
     return vec.long_form(_x(spark, d).select("node_id", agg.MESSAGES["linear"](F.col("h"), weight(16, DIM), bias(16)).alias("h")), "h")
 
 
-@query("msg_degree_norm", sql("g2 x deg2", f"SELECT e.src, e.dst, x.dim, {_round('x.v / sqrt((a.d + 1.0::DOUBLE) * (b.d + 1.0::DOUBLE))')} AS h FROM g2 e JOIN x ON x.node_id = e.src JOIN deg2 a ON a.node_id = e.dst JOIN deg2 b ON b.node_id = e.src"))
+@query("msg_degree_norm", sql("g1 x deg1", f"SELECT e.src, e.dst, {_round('sum(x.v / sqrt((a.d + 1.0::DOUBLE) * (b.d + 1.0::DOUBLE)))')} AS total FROM g1 e JOIN x ON x.node_id = e.src JOIN deg1 a ON a.node_id = e.dst JOIN deg1 b ON b.node_id = e.src GROUP BY e.src, e.dst"))
 def msg_degree_norm(spark, d):
-    g = fx.graph(spark, d, True)
+    g = fx.graph(spark, d)
     dg = g.degrees()
     rows = g.edges.join(_x(spark, d).withColumnRenamed("node_id", "src"), "src").join(dg.select(F.col("node_id").alias("dst"), F.col("degree").alias("dv")), "dst").join(dg.select(F.col("node_id").alias("src"), F.col("degree").alias("du")), "src")
-    return vec.long_form(rows.select("src", "dst", agg.MESSAGES["degree_norm"](F.col("h"), F.col("dv"), F.col("du")).alias("h")), "h")
+    return rows.select("src", "dst", rounded(vec.total(agg.MESSAGES["degree_norm"](F.col("h"), F.col("dv"), F.col("du")))).alias("total"))
+
+
+@query("msg_scalar", sql("g1 x", f"SELECT e.src, e.dst, {_round('sum(x.v * (1 + (e.src * 7 + e.dst) % 5) / 10.0::DOUBLE)')} AS total FROM g1 e JOIN x ON x.node_id = e.src GROUP BY e.src, e.dst"))
+def msg_scalar(spark, d):
+    """Neighbours' vectors times an edge weight."""
+    w = (1 + (F.col("src") * 7 + F.col("dst")) % 5) / F.lit(10.0)
+    rows = fx.graph(spark, d).edges.join(_x(spark, d).withColumnRenamed("node_id", "src"), "src")
+    return rows.select("src", "dst", rounded(vec.total(agg.MESSAGES["scalar"](F.col("h"), w))).alias("total"))
+
+
+@query("msg_edge_linear", sql("g1 x", f"SELECT e.src, e.dst, {_round('sum(x.v * ((x.dim * 17) % 13 - 6) / 10.0::DOUBLE) + ((e.src + e.dst) % 3) * ((64 * 17) % 13 - 6) / 10.0::DOUBLE - 0.3::DOUBLE')} AS h0 FROM g1 e JOIN x ON x.node_id = e.src GROUP BY e.src, e.dst"))
+def msg_edge_linear(spark, d):
+    """W [h_u | e] + b with one edge feature."""
+    e = F.array(((F.col("src") + F.col("dst")) % 3).cast("double"))
+    rows = fx.graph(spark, d).edges.join(_x(spark, d).withColumnRenamed("node_id", "src"), "src")
+    return rows.select("src", "dst", rounded(agg.MESSAGES["edge_linear"](F.col("h"), e, weight(1, DIM + 1), bias(1))[0]).alias("h0"))
+
+
+@query("msg_identity", sql("g1 x", f"SELECT e.src, e.dst, {_round('sum(x.v)')} AS total FROM g1 e JOIN x ON x.node_id = e.src GROUP BY e.src, e.dst"))
+def msg_identity(spark, d):
+    rows = fx.graph(spark, d).edges.join(_x(spark, d).withColumnRenamed("node_id", "src"), "src")
+    return rows.select("src", "dst", rounded(vec.total(agg.MESSAGES["identity"](F.col("h")))).alias("total"))
+
+
+@query("upd_gin_mlp", sql("g1 x", out_sql("y"), "s AS (SELECT x.node_id, x.dim, 1.1::DOUBLE * x.v + coalesce(m.m, 0.0) AS v FROM x LEFT JOIN (SELECT e.dst, x.dim, sum(x.v) AS m FROM g1 e JOIN x ON x.node_id = e.src GROUP BY e.dst, x.dim) m ON m.dst = x.node_id AND m.dim = x.dim)",
+    f"l1 AS ({linear_sql('s', 8)})", "r1 AS (SELECT node_id, dim, CASE WHEN v < 0 THEN 0.0 ELSE v END AS v FROM l1)", f"y AS ({linear_sql('r1', 4, 1)})"))
+def upd_gin_mlp(spark, d):
+    """Two dense layers over (1 + eps) h + sum, as one pass of matrix products."""
+    g = fx.graph(spark, d)
+    s = agg.gin(g.edges, _x(spark, d), g.nodes, DIM, 0.1)
+    layers = [Layer("linear", weight="a", bias="p"), Layer("relu"), Layer("linear", weight="b", bias="q")]
+    return vec.long_form(dense(s, layers, {"a": weight(8, DIM), "p": bias(8), "b": weight(4, 8, 1), "q": bias(4, 1)}), "h")
+
+
+@query("degree_stored", sql("g1 deg1", "SELECT node_id, CASE WHEN node_id % 2 = 0 THEN node_id % 11 ELSE d END AS degree FROM deg1"))
+def degree_stored(spark, d):
+    """The stored degree where a node has one, else the counted one."""
+    g = fx.graph(spark, d)
+    stored = F.when(F.col("node_id") % 2 == 0, (F.col("node_id") % 11).cast("string"))
+    return PropertyGraph(g.nodes.withColumn("in_degree", stored), g.edges).resolved_degrees("in_degree")
+
+
+@query("degree_labelled", sql("g1 nodes", "SELECT n.node_id, count(e.src) AS degree FROM nodes n LEFT JOIN (SELECT g1.* FROM g1 JOIN nodes a ON a.node_id = src WHERE a.target % 2 = 0) e ON e.dst = n.node_id GROUP BY n.node_id"))
+def degree_labelled(spark, d):
+    """In-degrees over neighbours of one label."""
+    g = fx.graph(spark, d)
+    labelled = g.nodes.withColumn("label", F.when(F.col("target") % 2 == 0, "even").otherwise("odd"))
+    return PropertyGraph(labelled, g.edges).degrees(neighbor_label="even")
 
 
 @query("upd_relu", sql("x", f"SELECT node_id, dim, {_round('CASE WHEN v < 0 THEN 0.0 ELSE v END')} AS h FROM x"))
@@ -579,26 +627,26 @@ def upd_softmax(spark, d):
     return vec.long_form(_x(spark, d).select("node_id", agg.softmax(F.col("h")).alias("h")), "h")
 
 
-_MEAN2 = "m AS (SELECT x.node_id, x.dim, coalesce(a.v, x.v) AS v FROM x LEFT JOIN (SELECT e.dst, x.dim, avg(x.v) AS v FROM g2 e JOIN x ON x.node_id = e.src GROUP BY e.dst, x.dim) a ON a.dst = x.node_id AND a.dim = x.dim)"
+_MEAN2 = "m AS (SELECT x.node_id, x.dim, coalesce(a.v, x.v) AS v FROM x LEFT JOIN (SELECT e.dst, x.dim, avg(x.v) AS v FROM g1 e JOIN x ON x.node_id = e.src GROUP BY e.dst, x.dim) a ON a.dst = x.node_id AND a.dim = x.dim)"
 
 
 def _own_and_mean(spark, d):
-    g = fx.graph(spark, d, True)
+    g = fx.graph(spark, d)
     m = agg.mean_or_self(g.edges, _x(spark, d), g.nodes, DIM).withColumnRenamed("h", "m")
     return _x(spark, d).join(m, "node_id")
 
 
-@query("upd_sage", sql("g2 x", out_sql("y"), _MEAN2, "cat AS (SELECT * FROM x UNION ALL SELECT node_id, dim + 64, v FROM m)", f"y AS ({linear_sql('cat', 8)})"))
+@query("upd_sage", sql("g1 x", out_sql("y"), _MEAN2, "cat AS (SELECT * FROM x UNION ALL SELECT node_id, dim + 64, v FROM m)", f"y AS ({linear_sql('cat', 8)})"))
 def upd_sage(spark, d):
     return vec.long_form(_own_and_mean(spark, d).select("node_id", agg.UPDATES["concat_linear"](F.col("h"), F.col("m"), weight(8, 2 * DIM), bias(8)).alias("h")), "h")
 
 
-@query("upd_residual", sql("g2 x", f"SELECT node_id, dim, {_round('x.v + m.v')} AS h FROM x JOIN m USING (node_id, dim)", _MEAN2))
+@query("upd_residual", sql("g1 x", f"SELECT node_id, dim, {_round('x.v + m.v')} AS h FROM x JOIN m USING (node_id, dim)", _MEAN2))
 def upd_residual(spark, d):
     return vec.long_form(_own_and_mean(spark, d).select("node_id", agg.UPDATES["residual"](F.col("h"), F.col("m")).alias("h")), "h")
 
 
-@query("upd_gated", sql("g2 x", f"SELECT node_id, dim, {_round('1 / (1 + exp(-x.v)) * tanh(m.v) + (1 - 1 / (1 + exp(-x.v))) * x.v')} AS h FROM x JOIN m USING (node_id, dim)", _MEAN2))
+@query("upd_gated", sql("g1 x", f"SELECT node_id, dim, {_round('1 / (1 + exp(-x.v)) * tanh(m.v) + (1 - 1 / (1 + exp(-x.v))) * x.v')} AS h FROM x JOIN m USING (node_id, dim)", _MEAN2))
 def upd_gated(spark, d):
     return vec.long_form(_own_and_mean(spark, d).select("node_id", agg.UPDATES["gated"](F.col("h"), F.col("m"), F.col("h")).alias("h")), "h")
 
@@ -632,10 +680,10 @@ def gcn_infer_full(spark, d):
     return vec.long_form(infer(fx.graph(spark, d), None, gcn_spec()), "h")
 
 
-@query("gcn_infer_naive", sql("g2 x deg2", out_sql("y"), *gcn_ctes("g2", "g2", "deg2", "x", "x", "x")))
+@query("gcn_infer_naive", sql("g1 x deg1", out_sql("y"), *gcn_ctes("g1", "g1", "deg1", "x", "x", "x")))
 def gcn_infer_naive(spark, d):
     """Without the planner's rewrites."""
-    return vec.long_form(infer(fx.graph(spark, d, True), None, gcn_spec(), rewrite=False), "h")
+    return vec.long_form(infer(fx.graph(spark, d), None, gcn_spec(), rewrite=False), "h")
 
 
 @query("gcn_infer_preagg", sql("g1 x seeds", out_sql("y"), *sample_ctes("g1", [10, 5]), "degs AS (SELECT v.node_id, count(s.src) AS d FROM visited v LEFT JOIN sampled s ON s.dst = v.node_id GROUP BY v.node_id)",
@@ -645,19 +693,17 @@ def gcn_infer_preagg(spark, d):
     return vec.long_form(infer(fx.graph(spark, d), fx.seeds(spark, d), gcn_spec(), degree="sampled"), "h")
 
 
-@query("mean_infer", sql("g2 x", out_sql("y"), _MEAN2, f"l1 AS ({linear_sql('m', 10)})", f"y AS ({relu_sql('l1')})"))
+@query("mean_infer", sql("g1 x", out_sql("y"), _MEAN2, f"l1 AS ({linear_sql('m', 10)})", f"y AS ({relu_sql('l1')})"))
 def mean_infer(spark, d):
-    from sparkloom.plans.spec import Layer
-
     spec = ModelSpec(1, [-1], [Layer("aggregate", "mean"), Layer("linear", weight="w", bias="b"), Layer("relu")], {"w": weight(10, DIM), "b": bias(10)})
-    return vec.long_form(infer(fx.graph(spark, d, True), None, spec), "h")
+    return vec.long_form(infer(fx.graph(spark, d), None, spec), "h")
 
 
-@query("gat_gcn_infer", sql("g2 x deg2", out_sql("y"), f"p AS ({linear_sql('x', 8)})", "sc AS (SELECT node_id, sum(v * ((dim % 5) - 2) / 10.0::DOUBLE) AS t, sum(v * ((dim % 7) - 3) / 10.0::DOUBLE) AS s FROM p GROUP BY node_id)",
-    f"ga AS ({attention_sql('g2', 'p', 8)})", "el AS (SELECT node_id, dim, CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END AS v FROM ga)", f"gc AS ({gcn_sql('g2', 'deg2', 'el', 'el')})", f"y AS ({linear_sql('gc', 4, 1)})"))
+@query("gat_gcn_infer", sql("g1 x deg1", out_sql("y"), f"p AS ({linear_sql('x', 8)})", "sc AS (SELECT node_id, sum(v * ((dim % 5) - 2) / 10.0::DOUBLE) AS t, sum(v * ((dim % 7) - 3) / 10.0::DOUBLE) AS s FROM p GROUP BY node_id)",
+    f"ga AS ({attention_sql('g1', 'p', 8)})", "el AS (SELECT node_id, dim, CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END AS v FROM ga)", f"gc AS ({gcn_sql('g1', 'deg1', 'el', 'el')})", f"y AS ({linear_sql('gc', 4, 1)})"))
 def gat_gcn_infer(spark, d):
     """Attention, ELU, normalised aggregation and a linear layer."""
-    g = fx.graph(spark, d, True)
+    g = fx.graph(spark, d)
     p = _x(spark, d).select("node_id", vec.linear(F.col("h"), weight(8, DIM), bias(8)).alias("h"))
     a = agg.attention(g.edges, p, [((i % 5) - 2) / 10 for i in range(8)], [((i % 7) - 3) / 10 for i in range(8)], 8)
     e = a.select("node_id", agg.UPDATES["elu"](F.col("h")).alias("h"))
@@ -713,15 +759,15 @@ def saint_weighted_loss(spark, d):
 
 
 def pagerank_ctes(rounds: int) -> list[str]:
-    out = ["dg AS (SELECT src AS node_id, count(*) AS d FROM und2 GROUP BY src)", "p0 AS (SELECT vec_id AS node_id, 1.0::DOUBLE AS r FROM embeddings)"]
+    out = ["dg AS (SELECT src AS node_id, count(*) AS d FROM und1 GROUP BY src)", "p0 AS (SELECT vec_id AS node_id, 1.0::DOUBLE AS r FROM embeddings)"]
     for i in range(1, rounds + 1):
-        out.append(f"p{i} AS MATERIALIZED (SELECT n.node_id, (1 - 0.85::DOUBLE) + 0.85::DOUBLE * coalesce(s.s, 0.0) AS r FROM p0 n LEFT JOIN (SELECT e.dst, sum(p.r / g.d) AS s FROM und2 e JOIN p{i - 1} p ON p.node_id = e.src JOIN dg g ON g.node_id = e.src GROUP BY e.dst) s ON s.dst = n.node_id)")
+        out.append(f"p{i} AS MATERIALIZED (SELECT n.node_id, (1 - 0.85::DOUBLE) + 0.85::DOUBLE * coalesce(s.s, 0.0) AS r FROM p0 n LEFT JOIN (SELECT e.dst, sum(p.r / g.d) AS s FROM und1 e JOIN p{i - 1} p ON p.node_id = e.src JOIN dg g ON g.node_id = e.src GROUP BY e.dst) s ON s.dst = n.node_id)")
     return out
 
 
-@query("pagerank_topk", sql("g2 und2", f"SELECT node_id, {_round('r')} AS rank FROM p10 ORDER BY round(r, 6) DESC, node_id LIMIT 50", *pagerank_ctes(10)))
+@query("pagerank_topk", sql("g1 und1", f"SELECT node_id, {_round('r')} AS rank FROM p10 ORDER BY round(r, 6) DESC, node_id LIMIT 50", *pagerank_ctes(10)))
 def pagerank_topk(spark, d):
-    r = feat.pagerank(fx.graph(spark, d, True), 10)
+    r = feat.pagerank(fx.graph(spark, d), 10)
     return r.select("node_id", rounded(F.col("rank")).alias("rank")).orderBy(F.col("rank").desc(), "node_id").limit(50)
 
 
@@ -747,22 +793,22 @@ def lru_sim(spark, d):
     return feat.lru(rows, 200).groupBy("cache_id").agg(F.count("*").alias("requests"), F.count(F.when(F.col("hit"), 1)).alias("hits"))
 
 
-@query("edge_cut", sql("g2", "SELECT c.cut, c.edges, s.balance FROM (SELECT count(CASE WHEN a % 4 <> b % 4 THEN 1 END) AS cut, count(*) AS edges FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM g2)) c, (SELECT max(n) / avg(n) AS balance FROM (SELECT vec_id % 4 AS p, count(*) AS n FROM embeddings GROUP BY 1)) s"))
+@query("edge_cut", sql("g1", "SELECT c.cut, c.edges, s.balance FROM (SELECT count(CASE WHEN a % 4 <> b % 4 THEN 1 END) AS cut, count(*) AS edges FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM g1)) c, (SELECT max(n) / avg(n) AS balance FROM (SELECT vec_id % 4 AS p, count(*) AS n FROM embeddings GROUP BY 1)) s"))
 def edge_cut(spark, d):
-    g = fx.graph(spark, d, True)
+    g = fx.graph(spark, d)
     return feat.edge_cut(g.edges, feat.partition_ids(g.nodes, 4))
 
 
 def propagate_ctes(rounds: int) -> list[str]:
     out = ["q0 AS (SELECT vec_id AS node_id, vec_id % 4 AS part FROM embeddings)"]
     for i in range(1, rounds + 1):
-        out.append(f"q{i} AS MATERIALIZED (SELECT n.node_id, coalesce(w.part, n.part) AS part FROM q{i - 1} n LEFT JOIN (SELECT dst, part FROM (SELECT dst, part, row_number() OVER (PARTITION BY dst ORDER BY count(*) DESC, part) AS rn FROM und2 JOIN q{i - 1} q ON q.node_id = src GROUP BY dst, part) WHERE rn = 1) w ON w.dst = n.node_id)")
+        out.append(f"q{i} AS MATERIALIZED (SELECT n.node_id, coalesce(w.part, n.part) AS part FROM q{i - 1} n LEFT JOIN (SELECT dst, part FROM (SELECT dst, part, row_number() OVER (PARTITION BY dst ORDER BY count(*) DESC, part) AS rn FROM und1 JOIN q{i - 1} q ON q.node_id = src GROUP BY dst, part) WHERE rn = 1) w ON w.dst = n.node_id)")
     return out
 
 
-@query("partition_propagation", sql("g2 und2", "SELECT node_id, part FROM q3", *propagate_ctes(3)))
+@query("partition_propagation", sql("g1 und1", "SELECT node_id, part FROM q3", *propagate_ctes(3)))
 def partition_propagation(spark, d):
-    return feat.propagate_labels(fx.graph(spark, d, True), 4, 3)
+    return feat.propagate_labels(fx.graph(spark, d), 4, 3)
 
 
 # ---- measurements
@@ -895,31 +941,31 @@ def early_stop(spark, d):
 
 
 def _visits(spark, d, seed: int) -> DataFrame:
-    w = walks.walk(fx.graph(spark, d, True), fx.nodes(spark, d), 3, seed=seed)
+    w = walks.walk(fx.graph(spark, d), fx.nodes(spark, d), 3, seed=seed)
     return w.groupBy("node_id").agg(F.count("*").alias("n"))
 
 
-_VISITS = [*walk_ctes("g2", "embeds", 3, seed=1, name="ka"), *walk_ctes("g2", "embeds", 3, seed=2, name="kb"), "ca AS (SELECT node_id, count(*) AS n FROM ka GROUP BY node_id)", "cb AS (SELECT node_id, count(*) AS n FROM kb GROUP BY node_id)",
+_VISITS = [*walk_ctes("g1", "embeds", 3, seed=1, name="ka"), *walk_ctes("g1", "embeds", 3, seed=2, name="kb"), "ca AS (SELECT node_id, count(*) AS n FROM ka GROUP BY node_id)", "cb AS (SELECT node_id, count(*) AS n FROM kb GROUP BY node_id)",
     "both_ AS (SELECT node_id, coalesce(ca.n, 0) AS na, coalesce(cb.n, 0) AS nb FROM ca FULL OUTER JOIN cb USING (node_id))", "tot AS (SELECT sum(na)::DOUBLE AS ta, sum(nb)::DOUBLE AS tb, count(*) AS k FROM both_)"]
 _EMBEDS = "embeds AS (SELECT vec_id AS node_id FROM embeddings)"
 
 
-@query("visit_topn", sql("g2", "SELECT node_id, n, n / (SELECT sum(n) FROM ca)::DOUBLE AS share FROM ca ORDER BY n DESC, node_id LIMIT 25", _EMBEDS, *_VISITS))
+@query("visit_topn", sql("g1", "SELECT node_id, n, n / (SELECT sum(n) FROM ca)::DOUBLE AS share FROM ca ORDER BY n DESC, node_id LIMIT 25", _EMBEDS, *_VISITS))
 def visit_topn(spark, d):
     return div.top_visited(_visits(spark, d, 1), "node_id", 25)
 
 
-@query("kl_div", sql("g2", f"SELECT {_round('sum(p * ln(p / q))')} AS kl FROM (SELECT (na / ta + 1e-9) / (1 + 1e-9 * k) AS p, (nb / tb + 1e-9) / (1 + 1e-9 * k) AS q FROM both_, tot)", _EMBEDS, *_VISITS))
+@query("kl_div", sql("g1", f"SELECT {_round('sum(p * ln(p / q))')} AS kl FROM (SELECT (na / ta + 1e-9) / (1 + 1e-9 * k) AS p, (nb / tb + 1e-9) / (1 + 1e-9 * k) AS q FROM both_, tot)", _EMBEDS, *_VISITS))
 def kl_div(spark, d):
     return div.kl(_visits(spark, d, 1), _visits(spark, d, 2), "node_id").select(rounded(F.col("kl")).alias("kl"))
 
 
-@query("js_div", sql("g2", f"SELECT {_round('sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2')} AS js FROM (SELECT na / ta AS p, nb / tb AS q FROM both_, tot)", _EMBEDS, *_VISITS))
+@query("js_div", sql("g1", f"SELECT {_round('sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2')} AS js FROM (SELECT na / ta AS p, nb / tb AS q FROM both_, tot)", _EMBEDS, *_VISITS))
 def js_div(spark, d):
     return div.js(_visits(spark, d, 1), _visits(spark, d, 2), "node_id").select(rounded(F.col("js")).alias("js"))
 
 
-@query("ztest_nodes", sql("g2", f"SELECT node_id, {_round('(na / ta - nb / tb) / sqrt(pool * (1 - pool) * (1 / ta + 1 / tb))')} AS z FROM (SELECT *, (na + nb) / (ta + tb) AS pool FROM both_, tot) WHERE pool > 0 AND pool < 1", _EMBEDS, *_VISITS))
+@query("ztest_nodes", sql("g1", f"SELECT node_id, {_round('(na / ta - nb / tb) / sqrt(pool * (1 - pool) * (1 / ta + 1 / tb))')} AS z FROM (SELECT *, (na + nb) / (ta + tb) AS pool FROM both_, tot) WHERE pool > 0 AND pool < 1", _EMBEDS, *_VISITS))
 def ztest_nodes(spark, d):
     return div.two_proportions(_visits(spark, d, 1), _visits(spark, d, 2), "node_id").select("node_id", rounded(F.col("z")).alias("z"))
 
@@ -930,18 +976,18 @@ def ztest_bonf(spark, d):
     return div.two_proportions(_visits(spark, d, 1), _visits(spark, d, 2), "node_id").select("node_id", "significant")
 
 
-@query("edge_visits", sql("g2 seeds", "SELECT edge, count(*) AS n FROM (SELECT concat_ws('_', least(src, dst), greatest(src, dst)) AS edge FROM sampled) GROUP BY edge", *sample_ctes("g2", [4, 3])))
+@query("edge_visits", sql("g1 seeds", "SELECT edge, count(*) AS n FROM (SELECT concat_ws('_', least(src, dst), greatest(src, dst)) AS edge FROM sampled) GROUP BY edge", *sample_ctes("g1", [4, 3])))
 def edge_visits(spark, d):
-    edges = smp.fanout(fx.graph(spark, d, True), fx.seeds(spark, d), [4, 3])[1]
+    edges = smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [4, 3])[1]
     return edges.groupBy(div.undirected_key().alias("edge")).agg(F.count("*").alias("n"))
 
 
 # ---- set operations that the samplers are built of
 
 
-@query("set_union", sql("g1 g2", "SELECT src, dst FROM (SELECT dst AS src, src AS dst FROM g2 UNION ALL SELECT src, dst FROM g2)"))
+@query("set_union", sql("g1", "SELECT src, dst FROM (SELECT dst AS src, src AS dst FROM g1 UNION ALL SELECT src, dst FROM g1)"))
 def set_union(spark, d):
-    e = fx.graph(spark, d, True).edges
+    e = fx.graph(spark, d).edges
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
@@ -950,9 +996,9 @@ def set_except(spark, d):
     return fx.graph(spark, d).edges.join(fx.graph(spark, d, True).edges, ["src", "dst"], "left_anti").distinct()
 
 
-@query("set_intersect", sql("g2", "SELECT src, dst FROM g2 INTERSECT SELECT dst, src FROM g2"))
+@query("set_intersect", sql("g1", "SELECT src, dst FROM g1 INTERSECT SELECT dst, src FROM g1"))
 def set_intersect(spark, d):
-    e = fx.graph(spark, d, True).edges
+    e = fx.graph(spark, d).edges
     return e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi").distinct()
 
 
@@ -983,15 +1029,15 @@ def hybrid_forward(spark, d):
     return vec.long_form(rows.select("node_id", vec.linear(F.col("h"), weight(8, DIM), bias(8)).alias("h")), "h")
 
 
-@query("mean_store", sql("g2 x seeds", f"SELECT s.node_id, x.dim, {_round('coalesce(m.v, 0.0)')} AS h, coalesce(CAST(e.label AS BIGINT), -1) AS target FROM seeds s JOIN x ON x.node_id = s.node_id LEFT JOIN (SELECT p.dst, x.dim, avg(x.v) AS v FROM sampled p JOIN x ON x.node_id = p.src GROUP BY p.dst, x.dim) m ON m.dst = s.node_id AND m.dim = x.dim LEFT JOIN embeddings e ON e.vec_id = s.node_id", *sample_ctes("g2", [3])))
+@query("mean_store", sql("g1 x seeds", f"SELECT s.node_id, x.dim, {_round('coalesce(m.v, 0.0)')} AS h, coalesce(CAST(e.label AS BIGINT), 0) AS target FROM seeds s JOIN x ON x.node_id = s.node_id LEFT JOIN (SELECT p.dst, x.dim, avg(x.v) AS v FROM sampled p JOIN x ON x.node_id = p.src GROUP BY p.dst, x.dim) m ON m.dst = s.node_id AND m.dim = x.dim LEFT JOIN embeddings e ON e.vec_id = s.node_id", *sample_ctes("g1", [3])))
 def mean_store(spark, d):
-    """Means over the sampled neighbours, zeros without one, with labels."""
+    """Means over the sampled neighbours, zeros without one, with labels, 0 for an absent one."""
     seeds = fx.seeds(spark, d)
-    edges = smp.fanout(fx.graph(spark, d, True), seeds, [3])[1]
+    edges = smp.fanout(fx.graph(spark, d), seeds, [3])[1]
     means = agg.aggregate(edges, _x(spark, d), DIM, "mean").select("node_id", F.col("h").alias("features"))
     labels = fx.nodes(spark, d).select("node_id", "target")
     requests = seeds.select(F.col("node_id").alias("pos"), "node_id")
-    return vec.long_form(feat.gather(requests, labels.join(means, "node_id", "left"), DIM).drop("pos"), "h")
+    return vec.long_form(feat.gather(requests, labels.join(means, "node_id", "left"), DIM, missing_label=0).drop("pos"), "h")
 
 
 @query("status_counts", sql("log", "SELECT user_id, count(*) FILTER (event = 'purchase') AS ok, count(*) FILTER (event = 'error') AS failed, count(*) AS runs FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM log) WHERE rn > 1 GROUP BY user_id"))
@@ -1021,11 +1067,11 @@ def profile_totals(spark, d):
     return profile_flatten(spark, d).groupBy("query").agg(F.sum("hits").alias("hits"))
 
 
-@query("ztest_edges", sql("g2 und2 seeds", f"SELECT edge, {_round('(na / ta - nb / tb) / sqrt(pool * (1 - pool) * (1 / ta + 1 / tb))')} AS z FROM (SELECT *, (na + nb) / (ta + tb) AS pool FROM both_, tot) WHERE pool > 0 AND pool < 1", *sample_ctes("g2", [4, 3]),
-    "ca AS (SELECT concat_ws('_', least(src, dst), greatest(src, dst)) AS edge, count(*) AS n FROM sampled GROUP BY 1)", "cb AS (SELECT concat_ws('_', least(src, dst), greatest(src, dst)) AS edge, count(*) AS n FROM g2 WHERE dst IN (SELECT node_id FROM seeds) GROUP BY 1)",
+@query("ztest_edges", sql("g1 und1 seeds", f"SELECT edge, {_round('(na / ta - nb / tb) / sqrt(pool * (1 - pool) * (1 / ta + 1 / tb))')} AS z FROM (SELECT *, (na + nb) / (ta + tb) AS pool FROM both_, tot) WHERE pool > 0 AND pool < 1", *sample_ctes("g1", [4, 3]),
+    "ca AS (SELECT concat_ws('_', least(src, dst), greatest(src, dst)) AS edge, count(*) AS n FROM sampled GROUP BY 1)", "cb AS (SELECT concat_ws('_', least(src, dst), greatest(src, dst)) AS edge, count(*) AS n FROM g1 WHERE dst IN (SELECT node_id FROM seeds) GROUP BY 1)",
     "both_ AS (SELECT edge, coalesce(ca.n, 0) AS na, coalesce(cb.n, 0) AS nb FROM ca FULL OUTER JOIN cb USING (edge))", "tot AS (SELECT sum(na)::DOUBLE AS ta, sum(nb)::DOUBLE AS tb FROM both_)"))
 def ztest_edges(spark, d):
-    g, s = fx.graph(spark, d, True), fx.seeds(spark, d)
+    g, s = fx.graph(spark, d), fx.seeds(spark, d)
     count = lambda e: e.groupBy(div.undirected_key().alias("edge")).agg(F.count("*").alias("n"))
     out = div.two_proportions(count(smp.fanout(g, s, [4, 3])[1]), count(smp.fanout(g, s, [-1])[1]), "edge")
     return out.select("edge", rounded(F.col("z")).alias("z"))

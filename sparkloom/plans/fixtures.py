@@ -58,6 +58,7 @@ CTES = {
     "x": "x AS (SELECT vec_id AS node_id, CAST(d - 1 AS BIGINT) AS dim, CAST(embedding[d] AS DOUBLE) AS v FROM embeddings, unnest(range(1, 65)) t(d))",
     "deg1": "deg1 AS (SELECT vec_id AS node_id, count(src) AS d FROM embeddings LEFT JOIN g1 ON dst = vec_id GROUP BY vec_id)",
     "deg2": "deg2 AS (SELECT vec_id AS node_id, count(src) AS d FROM embeddings LEFT JOIN g2 ON dst = vec_id GROUP BY vec_id)",
+    "und1": "und1 AS (SELECT src, dst FROM g1 UNION SELECT dst, src FROM g1)",
     "und2": "und2 AS (SELECT src, dst FROM g2 UNION SELECT dst, src FROM g2)",
     "log": "log AS (SELECT event_id, user_id, event_type AS event, (epoch_us(ts) - epoch_us(TIMESTAMP '2020-01-01 00:00:00')) / 1e6 AS time, value FROM events)",
 }

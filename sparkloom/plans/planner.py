@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.lineage import cut
 from sparkloom.functions.vectors import argmax
 from sparkloom.graph import PropertyGraph
 from sparkloom.operators import aggregate as agg
 from sparkloom.operators.sampling import fanout
 from sparkloom.plans.spec import Layer, ModelSpec
 
+
 def commute(spec: ModelSpec) -> list[Layer]:
     """Linear layers that shrink vectors go below a gcn_norm or sum aggregation: W(AX) = A(XW)."""
     layers, i = list(spec.layers), 0
@@ -69,17 +71,20 @@ def infer(graph: PropertyGraph, seeds: DataFrame | None, spec: ModelSpec, *, deg
     degree: `full`, `sampled`, or the name of a stored node property.
     """
     spec.check()
-    dim = graph.nodes.select(F.size("features").alias("n")).where("n > 0").limit(1).collect()
-    width = dim[0][0] if dim else 0
+    width = spec.width()
+    if width is None:  # no linear layer tells it
+        dim = graph.nodes.select(F.size("features").alias("n")).where("n > 0").limit(1).collect()
+        width = dim[0][0] if dim else 0
     if seeds is None:
         nodes, edges = graph.nodes.select("node_id").withColumn("hop", F.lit(0)), graph.edges
     else:
-        nodes, edges = fanout(graph, seeds, spec.fanouts, seed=seed)
+        # every layer reads the sample: it is drawn once
+        nodes, edges = (cut(x) for x in fanout(graph, seeds, spec.fanouts, seed=seed))
     if degree == "sampled":
         counted = edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("degree"))
         degrees = nodes.select("node_id").join(counted, "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"))
     else:
-        degrees = graph.resolved_degrees(None if degree == "full" else degree)
+        degrees = graph.resolved_degrees(None if degree == "full" else degree, None if seeds is None else nodes)
     h = nodes.select("node_id").join(graph.nodes.where(F.col("features").isNotNull()).select("node_id", F.col("features").cast("array<double>").alias("h")), "node_id")
     level = spec.num_hops
     for is_aggregate, run in groupby(commute(spec) if rewrite else spec.layers, key=lambda x: x.op == "aggregate"):

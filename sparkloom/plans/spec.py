@@ -42,6 +42,11 @@ class ModelSpec:
                     raise ValueError(f"no such tensor: {name}")
         return self
 
+    def width(self) -> int | None:
+        """Length of the input vectors, from the first linear layer; None without one."""
+        first = next((x for x in self.layers if x.op == "linear"), None)
+        return len(self.tensors[first.weight][0]) if first else None
+
     @classmethod
     def parse(cls, text: str, tensors: dict[str, Any]) -> ModelSpec:
         """From JSON. Fan-outs: a list, a number for every hop, or 10 a hop if absent."""
