@@ -51,17 +51,19 @@ def gcn_norm(edges: DataFrame, h: DataFrame, degrees: DataFrame, targets: DataFr
     w = 2.0 if improved else 1.0
     scale = degrees.select("node_id", (F.lit(1.0) / F.sqrt(F.col("degree") + F.lit(w))).alias("r"))
     scaled = h.join(scale, "node_id").select("node_id", "h", "r")
-    sent = scaled.select("node_id", F.array(*[F.col("h")[i] * F.col("r") for i in range(dim)]).alias("h"))
+    # one pass over an array each: naming its elements would evaluate the array anew for every dimension
+    sent = scaled.select("node_id", F.transform("h", lambda x: x * F.col("r")).alias("h"))
     summed = aggregate(edges, sent, dim, "sum").withColumnRenamed("h", "s")
     own = targets.select("node_id").join(scaled, "node_id").join(summed, "node_id", "left")
-    return own.select("node_id", F.array(*[F.lit(w) * F.col("r") * F.col("r") * F.col("h")[i] + F.col("r") * F.coalesce(F.col("s")[i], F.lit(0.0)) for i in range(dim)]).alias("h"))
+    around = F.coalesce("s", F.array().cast("array<double>"))
+    return own.select("node_id", F.zip_with("h", around, lambda x, y: F.lit(w) * F.col("r") * F.col("r") * x + F.col("r") * F.coalesce(y, F.lit(0.0))).alias("h"))
 
 
 def gin(edges: DataFrame, h: DataFrame, targets: DataFrame, dim: int, eps: float = 0.0) -> DataFrame:
     """(1 + eps) h_v + sum h_u."""
     summed = aggregate(edges, h, dim, "sum").withColumnRenamed("h", "s")
     own = targets.select("node_id").distinct().join(h, "node_id").join(summed, "node_id", "left")
-    return own.select("node_id", F.array(*[(1 + eps) * F.col("h")[i] + F.coalesce(F.col("s")[i], F.lit(0.0)) for i in range(dim)]).alias("h"))
+    return own.select("node_id", F.zip_with("h", F.coalesce("s", F.array().cast("array<double>")), lambda x, y: (1 + eps) * x + F.coalesce(y, F.lit(0.0))).alias("h"))
 
 
 def attention(edges: DataFrame, h: DataFrame, a_target: list[float], a_source: list[float], dim: int, slope: float = 0.2) -> DataFrame:

@@ -33,10 +33,11 @@ def fanout(graph: PropertyGraph, seeds: DataFrame, fanouts: list[int], *, direct
     start = seeds.select("node_id").distinct().join(graph.nodes.select("node_id"), "node_id", "left_semi")
     frontier, visited, edges = start, start.withColumn("hop", F.lit(0)), None
     for hop, k in enumerate(fanouts or [-1], 1):
-        drawn = expand(view, frontier, k, hop, seed)
+        # the next hops, the nodes and the edges all read it: it is drawn once
+        drawn = cut(expand(view, frontier, k, hop, seed))
         edges = drawn.withColumn("hop", F.lit(hop)) if edges is None else edges.unionByName(drawn.withColumn("hop", F.lit(hop)))
         reached = drawn.select(F.col("src").alias("node_id")).distinct()
-        fresh = reached.join(visited.select("node_id"), "node_id", "left_anti")
+        fresh = cut(reached.join(visited.select("node_id"), "node_id", "left_anti"))
         visited = visited.unionByName(fresh.withColumn("hop", F.lit(hop)))
         frontier = reached if expand_revisited else fresh
     return visited, edges.select("hop", "src", "dst")
