@@ -56,6 +56,18 @@ class PropertyGraph:
         return PropertyGraph(self.nodes.join(ids, "node_id", "left_semi"), edges.select("src", "dst"))
 
 
+def disagreement(a: PropertyGraph, b: PropertyGraph) -> DataFrame:
+    """(kind, only_a, only_b): nodes and edges of one graph that the other lacks, repeats counted; all zero where the graphs agree."""
+
+    def apart(kind: str, x: DataFrame, y: DataFrame) -> DataFrame:
+        both = x.withColumn("__n", F.lit(1)).unionByName(y.withColumn("__n", F.lit(-1)))
+        left = both.groupBy(*x.columns).agg(F.sum("__n").alias("n"))
+        more = lambda c: F.coalesce(F.sum(F.when(c > 0, c)), F.lit(0)).cast("long")
+        return left.agg(more(F.col("n")).alias("only_a"), more(-F.col("n")).alias("only_b")).select(F.lit(kind).alias("kind"), "only_a", "only_b")
+
+    return apart("nodes", a.nodes.select("node_id"), b.nodes.select("node_id")).unionByName(apart("edges", a.edges.select("src", "dst"), b.edges.select("src", "dst")))
+
+
 def upsert_nodes(current: DataFrame, batch: DataFrame, key: str = "node_id", version: str = "version") -> DataFrame:
     """Rows by key, the one of highest version winning; later tables win ties."""
     rows = current.withColumn("__turn", F.lit(0)).unionByName(batch.withColumn("__turn", F.lit(1)))

@@ -195,3 +195,36 @@ def early_stop(rows: DataFrame, by: str, order: str, value: str, patience: int,
 
     out = series.select(by, F.aggregate("s", start, step).alias("r"))
     return out.select(by, F.col("r.stop").cast("long").alias("stopped_at"), F.col("r.best").alias("best"))
+
+
+def latency_summary(rows: DataFrame, by: list[str], ms: str = "ms", nodes: str = "nodes") -> DataFrame:
+    """p50 and p95 of batch latencies, milliseconds a node and nodes a second."""
+    t, n = F.sum(ms), F.sum(nodes)
+    return rows.groupBy(*by).agg(F.percentile(ms, 0.5).alias("p50"), F.percentile(ms, 0.95).alias("p95"), (t / F.when(n > 0, n)).alias("ms_per_node"), (n * 1000 / F.when(t > 0, t)).alias("throughput"))
+
+
+def midpoints(log: DataFrame, by: list[str]) -> DataFrame:
+    """(by, event_id, middle, value): each sample at the middle between its time and the one before; the first of a series has none and is left out."""
+    order = Window.partitionBy(*by).orderBy("time", "event_id")
+    rows = log.withColumn("__before", F.lag("time").over(order)).where(F.col("__before").isNotNull())
+    return rows.select(*by, "event_id", ((F.col("time") + F.col("__before")) / 2).alias("middle"), "value")
+
+
+def convergence(log: DataFrame, by: list[str], near: float = 0.99) -> DataFrame:
+    """(by, best, converged_after): seconds from the first event to the first value of at least `near` times the best one."""
+    best = log.groupBy(*by).agg(F.max("value").alias("best"), F.min("time").alias("__start"))
+    rows = log.select(*by, "time", "value").join(best, by).where(F.col("value") >= F.col("best") * near)
+    return rows.groupBy(*by, "best", "__start").agg(F.min("time").alias("t")).select(*by, "best", (F.col("t") - F.col("__start")).alias("converged_after"))
+
+
+def outcomes(rows: DataFrame, by: list[str], status: str = "status", message: str = "message") -> DataFrame:
+    """(by, ok, out_of_memory, failed, runs): a failure whose message speaks of memory counts as out_of_memory."""
+    ok, oom = F.col(status) == "ok", F.lower(F.coalesce(message, F.lit(""))).rlike("out of memory|oom")
+    count = lambda c: F.count(F.when(c, 1))
+    bad = ~F.coalesce(ok, F.lit(False))
+    return rows.groupBy(*by).agg(count(ok).alias("ok"), count(bad & oom).alias("out_of_memory"), count(bad & ~oom).alias("failed"), F.count("*").alias("runs"))
+
+
+def server_time(rows: DataFrame, first_record: str, round_trip: str) -> DataFrame:
+    """The rows with `server_ms`, the time to the first record without the round trip, 0 at least."""
+    return rows.withColumn("server_ms", F.greatest(F.col(first_record) - F.col(round_trip), F.lit(0.0)))

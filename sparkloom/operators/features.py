@@ -48,6 +48,14 @@ def encode_labels(nodes: DataFrame, column: str = "target") -> DataFrame:
     return nodes.select("node_id", F.col(column).cast("string").alias("label")).join(codes, "label", "left").select("node_id", F.coalesce("code", F.lit(-1)).cast("long").alias("code"))
 
 
+def encode_labels_seen(nodes: DataFrame, order: str, column: str = "target") -> DataFrame:
+    """(node_id, code): dense codes in the order in which labels first occur by `order`, ties by label; null is -1."""
+    rows = nodes.select("node_id", order, F.col(column).cast("string").alias("label"))
+    first = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(order).alias("first"))
+    codes = dense_index(first, "first", "label").select("label", F.col("local_id").alias("code"))
+    return rows.select("node_id", "label").join(codes, "label", "left").select("node_id", F.coalesce("code", F.lit(-1)).cast("long").alias("code"))
+
+
 def top_out_degree(graph: PropertyGraph, k: int) -> DataFrame:
     """The k nodes with features of most out-edges; ties by id."""
     counted = graph.edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("degree"))
@@ -85,7 +93,7 @@ def hit_summary(requests: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def lru(requests: DataFrame, capacity: int, cache: str = "cache_id", order: str = "pos") -> DataFrame:
-    """(cache_id, pos, node_id, hit) of an LRU cache of `capacity` entries for each cache's stream of requests, replayed in order.
+    """(cache_id, pos, node_id, hit) of an LRU cache of `capacity` entries for each cache's stream of requests, replayed in order, ties by id.
 
     The replay is sequential by nature: one group for each cache, streamed in
     Arrow batches, with state no larger than the cache.
@@ -107,7 +115,7 @@ def lru(requests: DataFrame, capacity: int, cache: str = "cache_id", order: str
                     state.popitem(last=False)
             yield frame.assign(hit=hits)
 
-    dealt = requests.select(cache, order, "node_id").repartition(cache).sortWithinPartitions(cache, order)
+    dealt = requests.select(cache, order, "node_id").repartition(cache).sortWithinPartitions(cache, order, "node_id")
     return dealt.mapInPandas(replay, f"{cache} long, {order} long, node_id long, hit boolean")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.lineage import cut
@@ -168,3 +168,8 @@ def batches(seeds: DataFrame, size: int, drop_last: bool = False) -> DataFrame:
 def ordered_lookup(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """(pos, node_id) of requested ids that exist, in the order and number they were asked for."""
     return requests.join(nodes.select("node_id"), "node_id", "left_semi").select("pos", "node_id")
+
+
+def is_train(split: str) -> Column:
+    """True where a split says `train` or, as a number, 0; false for null and anything else."""
+    return F.coalesce((F.col(split).cast("string") == "train") | (F.expr(f"try_cast(`{split}` AS int)") == 0), F.lit(False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.lineage import cut
 from sparkloom.functions.tape import tape, weighted_key
 from sparkloom.graph import PropertyGraph
 from sparkloom.operators.sampling import SEED, top_k
@@ -91,6 +92,21 @@ def cluster_members(nodes: DataFrame, clusters: int, chosen: int, seed: int = SE
     return own.join(picked, "cluster_id", "left_semi").select("node_id", "cluster_id")
 
 
+def covering_samples(graph: PropertyGraph, batch: int, length: int, coverage: float = 1.0, seed: int = SEED) -> DataFrame:
+    """(sample, node_id): distinct nodes of coalescing walks from `batch` random roots, sample after sample until their sizes add up to `coverage` times the nodes.
+
+    Each sample is written once, as the next one depends on the sum of sizes; only
+    the sizes come to the driver.
+    """
+    needed, size, s, out = graph.nodes.count() * coverage, 0, 0, None
+    while out is None or 0 < size < needed:
+        one = walk(graph, roots(graph.nodes, batch, seed + s), length, seed=seed + s, coalesce=True)
+        one = cut(one.select(F.lit(s).alias("sample"), "node_id").distinct())
+        size += one.count()
+        out, s = one if out is None else out.unionByName(one), s + 1
+    return out
+
+
 def node_norm(nodes: DataFrame, samples: DataFrame, n_samples: int) -> DataFrame:
     """(node_id, norm): S / max(count, 0.1) / N over S samples with their distinct members(sample, node_id)."""
     counted = samples.select("sample", "node_id").distinct().groupBy("node_id").agg(F.count("*").alias("n"))

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors as vec
+from sparkloom.functions.lineage import scratch
 from sparkloom.functions.tape import tape
-from sparkloom.graph import PropertyGraph, upsert_nodes
+from sparkloom.graph import PropertyGraph, disagreement, upsert_nodes
 from sparkloom.operators import aggregate as agg
+from sparkloom.operators import caches
 from sparkloom.operators import divergence as div
 from sparkloom.operators import events as ev
 from sparkloom.operators import features as feat
@@ -18,8 +20,11 @@ from sparkloom.operators import sampling as smp
 from sparkloom.operators import walks
 from sparkloom.plans import fixtures as fx
 from sparkloom.plans.fixtures import DIM, sql
+from sparkloom.plans.batched import infer_batches
 from sparkloom.plans.planner import dense, infer, predict
 from sparkloom.plans.spec import Layer, ModelSpec, compile_layers
+from sparkloom.plans.store import list_models, load_model, save_model
+from sparkloom.sources import readers
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -703,12 +708,21 @@ def mean_infer(spark, d):
     f"ga AS ({attention_sql('g1', 'p', 8)})", "el AS (SELECT node_id, dim, CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END AS v FROM ga)", f"gc AS ({gcn_sql('g1', 'deg1', 'el', 'el')})", f"y AS ({linear_sql('gc', 4, 1)})"))
 def gat_gcn_infer(spark, d):
     """Attention, ELU, normalised aggregation and a linear layer."""
-    g = fx.graph(spark, d)
-    p = _x(spark, d).select("node_id", vec.linear(F.col("h"), weight(8, DIM), bias(8)).alias("h"))
-    a = agg.attention(g.edges, p, [((i % 5) - 2) / 10 for i in range(8)], [((i % 7) - 3) / 10 for i in range(8)], 8)
-    e = a.select("node_id", agg.UPDATES["elu"](F.col("h")).alias("h"))
-    c = agg.gcn_norm(g.edges, e, g.degrees(), e, 8)
-    return vec.long_form(c.select("node_id", vec.linear(F.col("h"), weight(4, 8, 1), bias(4, 1)).alias("h")), "h")
+    layers = compile_layers([("gat", "a"), ("elu",), ("conv", "b")])
+    heads = [[((i % 5) - 2) / 10 for i in range(8)], [((i % 7) - 3) / 10 for i in range(8)]]
+    spec = ModelSpec(2, [-1, -1], layers, {"a.weight": weight(8, DIM), "a.bias": bias(8), "a.attention": heads, "b.weight": weight(4, 8, 1), "b.bias": bias(4, 1)})
+    return vec.long_form(infer(fx.graph(spark, d), None, spec), "h")
+
+
+_GIN = ["s AS (SELECT x.node_id, x.dim, 1.1::DOUBLE * x.v + coalesce(m.m, 0.0) AS v FROM x LEFT JOIN (SELECT e.dst, x.dim, sum(x.v) AS m FROM g1 e JOIN x ON x.node_id = e.src GROUP BY e.dst, x.dim) m ON m.dst = x.node_id AND m.dim = x.dim)",
+    f"l1 AS ({linear_sql('s', 8)})", f"r1 AS ({relu_sql('l1')})", f"l2 AS ({linear_sql('r1', 4, 1)})", "y AS (SELECT node_id, dim, exp(v - top) / sum(exp(v - top)) OVER (PARTITION BY node_id) AS v FROM (SELECT *, max(v) OVER (PARTITION BY node_id) AS top FROM l2))"]
+
+
+@query("gin_infer", sql("g1 x", out_sql("y"), *_GIN))
+def gin_infer(spark, d):
+    """A GIN layer with its two dense layers, and a softmax."""
+    spec = ModelSpec(1, [-1], compile_layers([("gin", "a", 0.1), ("softmax",)]), {"a.0.weight": weight(8, DIM), "a.0.bias": bias(8), "a.1.weight": weight(4, 8, 1), "a.1.bias": bias(4, 1)})
+    return vec.long_form(infer(fx.graph(spark, d), None, spec), "h")
 
 
 _PRED = "pred AS (SELECT node_id, arg_min(dim, (-round(v, 6), dim)) AS predicted FROM y GROUP BY node_id)"
@@ -785,12 +799,33 @@ def tiered_lookup(spark, d):
     return feat.tiered(_requests(spark), hot, warm).select("pos", "node_id", F.coalesce("tier", F.lit(-1)).alias("tier"))
 
 
-@query("lru_sim")
+def _lru_sql(requests: str) -> str:
+    """lru_hits(cache_id, pos, hit): an LRU cache of 200 entries hits where fewer than 200 others were used since the last use."""
+    return f"""req AS ({requests}), turns AS (SELECT *, lag(rn) OVER (PARTITION BY cache_id, node_id ORDER BY rn) AS prev FROM (SELECT *, row_number() OVER (PARTITION BY cache_id ORDER BY pos, node_id) AS rn FROM req)),
+between_ AS (SELECT a.cache_id, a.rn, count(DISTINCT b.node_id) AS others FROM turns a JOIN turns b ON b.cache_id = a.cache_id AND b.rn > a.prev AND b.rn < a.rn GROUP BY a.cache_id, a.rn),
+lru_hits AS (SELECT t.cache_id, t.pos, t.prev IS NOT NULL AND coalesce(o.others, 0) < 200 AS hit FROM turns t LEFT JOIN between_ o ON o.cache_id = t.cache_id AND o.rn = t.rn)"""
+
+
+_WORKERS = "SELECT l_suppkey % 8 AS cache_id, l_orderkey * 8 + l_linenumber AS pos, l_partkey % 400 AS node_id FROM lineitem"
+
+
+def _worker_requests(spark, d):
+    line = fx.table(spark, d, "lineitem")
+    return line.select((F.col("l_suppkey") % 8).alias("cache_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), (F.col("l_partkey") % 400).alias("node_id"))
+
+
+@query("lru_sim", f"WITH {_lru_sql(_WORKERS)} SELECT cache_id, count(*) AS requests, count(*) FILTER (hit) AS hits FROM lru_hits GROUP BY cache_id")
 def lru_sim(spark, d):
     """A cache of 200 entries for each of 8 workers, replayed over their requests."""
-    line = fx.table(spark, d, "lineitem")
-    rows = line.select((F.col("l_suppkey") % 8).alias("cache_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), (F.col("l_partkey") % 400).alias("node_id"))
-    return feat.lru(rows, 200).groupBy("cache_id").agg(F.count("*").alias("requests"), F.count(F.when(F.col("hit"), 1)).alias("hits"))
+    return feat.lru(_worker_requests(spark, d), 200).groupBy("cache_id").agg(F.count("*").alias("requests"), F.count(F.when(F.col("hit"), 1)).alias("hits"))
+
+
+@query("two_level_hits", sql("g1", "SELECT cache_id, CAST(sum(h) AS BIGINT) AS hot, CAST(sum(b) AS BIGINT) AS behind, CAST(sum(m) AS BIGINT) AS missed FROM (SELECT cache_id, 1 AS h, 0 AS b, 0 AS m FROM allreq WHERE node_id IN (SELECT node_id FROM hs) UNION ALL SELECT cache_id, 0, hit::INT, 1 - hit::INT FROM lru_hits) GROUP BY cache_id",
+    "hs AS (SELECT src AS node_id FROM g1 GROUP BY src ORDER BY count(*) DESC, src LIMIT 100)", f"allreq AS ({_WORKERS})", _lru_sql("SELECT * FROM allreq WHERE node_id NOT IN (SELECT node_id FROM hs)")))
+def two_level_hits(spark, d):
+    """A fixed hot set of 100 nodes before an LRU cache of 200 entries for each worker."""
+    rows = caches.two_level(_worker_requests(spark, d), feat.top_out_degree(fx.graph(spark, d), 100), 200)
+    return rows.groupBy("cache_id").agg(*[F.count(F.when(F.coalesce("tier", F.lit(2)) == i, 1)).alias(n) for i, n in enumerate(("hot", "behind", "missed"))])
 
 
 @query("edge_cut", sql("g1", "SELECT c.cut, c.edges, s.balance FROM (SELECT count(CASE WHEN a % 4 <> b % 4 THEN 1 END) AS cut, count(*) AS edges FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM g1)) c, (SELECT max(n) / avg(n) AS balance FROM (SELECT vec_id % 4 AS p, count(*) AS n FROM embeddings GROUP BY 1)) s"))
@@ -970,12 +1005,29 @@ def ztest_nodes(spark, d):
     return div.two_proportions(_visits(spark, d, 1), _visits(spark, d, 2), "node_id").select("node_id", rounded(F.col("z")).alias("z"))
 
 
-@query("ztest_bonf")
+def _erfc_sql(x: str) -> str:
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.5::DOUBLE * {x}))"
+    power = f"{div.ERFC[-1]!r}::DOUBLE"
+    for c in reversed(div.ERFC[:-1]):
+        power = f"({c!r}::DOUBLE + {t} * {power})"
+    return f"{t} * exp(-{x} * {x} + {power})"
+
+
+_TESTED = [_EMBEDS, *_VISITS, "zs AS (SELECT *, abs(na / ta - nb / tb) / sqrt(pool * (1 - pool) * (1 / ta + 1 / tb)) / sqrt(2.0::DOUBLE) AS a FROM (SELECT *, (na + nb) / (ta + tb) AS pool FROM both_, tot) WHERE pool > 0 AND pool < 1)"]
+
+
+@query("ztest_bonf", sql("g1", f"SELECT node_id, {_erfc_sql('a')} < 0.05 / k AS significant FROM zs", *_TESTED))
 def ztest_bonf(spark, d):
-    """Verdicts; the critical value comes from the normal distribution, which SQL lacks."""
+    """Verdicts; the query compares |z| with the critical value, its SQL the p-value with the level."""
     return div.two_proportions(_visits(spark, d, 1), _visits(spark, d, 2), "node_id").select("node_id", "significant")
 
 
+@query("ztest_pvalues", sql("g1", f"SELECT node_id, {_round(_erfc_sql('a'))} AS p_value, {_round('100.0::DOUBLE * na / ta', 4)} AS pct_a, {_round('100.0::DOUBLE * nb / tb', 4)} AS pct_b FROM zs", *_TESTED))
+def ztest_pvalues(spark, d):
+    out = div.two_proportions(_visits(spark, d, 1), _visits(spark, d, 2), "node_id")
+    return out.select("node_id", rounded(F.col("p_value")).alias("p_value"), rounded(F.col("pct_a"), 4).alias("pct_a"), rounded(F.col("pct_b"), 4).alias("pct_b"))
+
+
 @query("edge_visits", sql("g1 seeds", "SELECT edge, count(*) AS n FROM (SELECT concat_ws('_', least(src, dst), greatest(src, dst)) AS edge FROM sampled) GROUP BY edge", *sample_ctes("g1", [4, 3])))
 def edge_visits(spark, d):
     edges = smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [4, 3])[1]
@@ -1083,3 +1135,142 @@ def resumed_load(spark, d):
 
     done = fx.graph(spark, d, True).edges.select(F.col("dst").alias("node_id"))
     return missing_features(fx.nodes(spark, d).select("node_id"), done)
+
+
+# ---- stored models, batches, layouts, caches by contract
+
+
+@query("model_store", "SELECT 'gcn' AS name, 6 AS tensors, CAST(4 + 6 * 8 + 3 * 8 + 3 * 6 + 6 * 4 + 3 * 4 + 4 * (8 * 64 + 8 + 8 * 8 + 8 + 10 * 8 + 10) AS BIGINT) AS bytes")
+def model_store(spark, d):
+    folder = scratch(spark, "models")
+    save_model(spark, folder, "gcn", gcn_spec())
+    return list_models(spark, folder)
+
+
+@query("gcn_infer_stored", sql("g1 x deg1", "SELECT node_id, count(*) AS dims FROM y GROUP BY node_id", *gcn_ctes("g1", "g1", "deg1", "x", "x", "x")))
+def gcn_infer_stored(spark, d):
+    """All nodes by a model that was stored and loaded; values are tested beside, as stored tensors have 32 bits."""
+    folder = scratch(spark, "models")
+    save_model(spark, folder, "gcn", gcn_spec())
+    h = infer(fx.graph(spark, d), None, load_model(spark, folder, "gcn"))
+    return h.select("node_id", F.size("h").cast("long").alias("dims"))
+
+
+@query("gcn_infer_batches", sql("g1 x deg1 seeds", "SELECT node_id, dim, " + _round("v") + " AS h FROM y WHERE node_id IN (SELECT node_id FROM seeds)", *gcn_ctes("g1", "g1", "deg1", "x", "x", "x")))
+def gcn_infer_batches(spark, d):
+    """Seeds in two batches over all neighbours, so that the batches change no value."""
+    seeds, spec = fx.seeds(spark, d), gcn_spec()
+    spec.fanouts = [-1, -1]
+    out, _ = infer_batches(fx.graph(spark, d), seeds, spec, -(-seeds.count() // 2))
+    return vec.long_form(out.select("node_id", "h"), "h")
+
+
+@query("latency_summary", sql("log", f"SELECT user_id, {_round('quantile_cont(value, 0.5)')} AS p50, {_round('quantile_cont(value, 0.95)')} AS p95, {_round('sum(value) / sum(nodes)')} AS ms_per_node, {_round('sum(nodes) * 1000 / sum(value)')} AS throughput FROM (SELECT *, 1 + event_id % 5 AS nodes FROM log) GROUP BY user_id"))
+def latency_summary(spark, d):
+    out = ev.latency_summary(fx.log(spark, d).withColumn("nodes", 1 + F.col("event_id") % 5), ["user_id"], "value")
+    return out.select("user_id", *[rounded(F.col(c)).alias(c) for c in ("p50", "p95", "ms_per_node", "throughput")])
+
+
+@query("midpoints", sql("log", f"SELECT user_id, event_id, {_round('(time + before) / 2')} AS middle, value FROM (SELECT *, lag(time) OVER (PARTITION BY user_id ORDER BY time, event_id) AS before FROM log) WHERE before IS NOT NULL"))
+def midpoints(spark, d):
+    return ev.midpoints(fx.log(spark, d), ["user_id"]).select("user_id", "event_id", rounded(F.col("middle")).alias("middle"), "value")
+
+
+@query("convergence", sql("log", f"SELECT user_id, best, {_round('min(time) - any_value(start)')} AS converged_after FROM (SELECT *, max(value) OVER (PARTITION BY user_id) AS best, min(time) OVER (PARTITION BY user_id) AS start FROM log) WHERE value >= best * 0.99::DOUBLE GROUP BY user_id, best"))
+def convergence(spark, d):
+    return ev.convergence(fx.log(spark, d), ["user_id"]).select("user_id", "best", rounded(F.col("converged_after")).alias("converged_after"))
+
+
+@query("outcomes", "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS ok, count(*) FILTER (o_orderstatus <> 'O' AND o_orderkey % 3 = 0) AS out_of_memory, count(*) FILTER (o_orderstatus <> 'O' AND o_orderkey % 3 <> 0) AS failed, count(*) AS runs FROM orders GROUP BY o_custkey")
+def outcomes(spark, d):
+    status = F.when(F.col("o_orderstatus") == "O", "ok").otherwise("error")
+    message = F.when(F.col("o_orderkey") % 3 == 0, "Java heap: Out of memory").otherwise("timed out")
+    return ev.outcomes(fx.table(spark, d, "orders").select("o_custkey", status.alias("status"), message.alias("message")), ["o_custkey"])
+
+
+@query("server_time", f"SELECT l_orderkey, l_linenumber, {_round('greatest(l_extendedprice / 1000 - l_quantity, 0.0)')} AS server_ms FROM lineitem")
+def server_time(spark, d):
+    rows = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 1000).alias("first"), "l_quantity")
+    return ev.server_time(rows, "first", "l_quantity").select("l_orderkey", "l_linenumber", rounded(F.col("server_ms")).alias("server_ms"))
+
+
+@query("label_encode_seen", "SELECT event_id AS node_id, dense_rank() OVER (ORDER BY first, event_type) - 1 AS code FROM (SELECT event_id, event_type, min(event_id) OVER (PARTITION BY event_type) AS first FROM events)")
+def label_encode_seen(spark, d):
+    rows = fx.log(spark, d).select(F.col("event_id").alias("node_id"), F.col("event_id").alias("at"), F.col("event").alias("target"))
+    return feat.encode_labels_seen(rows, "at")
+
+
+@query("edge_layout", sql("g1", "SELECT dst, count(*) AS n FROM g1 WHERE dst BETWEEN 100 AND 199 GROUP BY dst"))
+def edge_layout(spark, d):
+    """A range of targets from edges stored in order of them."""
+    place = scratch(spark, "edges")
+    readers.write_sorted(fx.graph(spark, d).edges, place, "dst")
+    return spark.read.parquet(place).where("dst BETWEEN 100 AND 199").groupBy("dst").agg(F.count("*").alias("n"))
+
+
+@query("visit_dump", sql("g1", "SELECT node_id, n FROM ca", _EMBEDS, *_VISITS))
+def visit_dump(spark, d):
+    """Counts of visits as JSON, read again."""
+    place = scratch(spark, "visits")
+    readers.write_json(_visits(spark, d, 1), place)
+    return spark.read.schema("node_id long, n long").json(place)
+
+
+@query("float_materialise", sql("nodes g2", f"SELECT node_id, {_round('CAST(features[3] AS DOUBLE)')} AS x2, CAST(len(features) AS BIGINT) AS dims FROM nodes"))
+def float_materialise(spark, d):
+    """Packed features as doubles, resumed from the nodes that are targets in the sparse graph."""
+    rows = fx.nodes(spark, d)
+    done = rows.join(fx.graph(spark, d, True).edges.select(F.col("dst").alias("node_id")), "node_id", "left_semi").select("node_id", "features")
+    out = readers.materialise(rows.select("node_id", vec.pack_floats("features").alias("features")), done)
+    return out.select("node_id", rounded(F.col("features")[2]).alias("x2"), F.size("features").cast("long").alias("dims"))
+
+
+@query("cache_contract", sql("x", f"SELECT r.node_id, {_round('CASE WHEN r.node_id = 14 THEN 7.0 WHEN r.node_id = 21 THEN NULL WHEN r.node_id < 300 THEN x.v END')} AS x0 FROM (SELECT DISTINCT CAST((i * 7) % 600 AS BIGINT) AS node_id FROM range(0, 1000) t(i)) r LEFT JOIN (SELECT * FROM x WHERE dim = 0) x ON x.node_id = r.node_id"))
+def cache_contract(spark, d):
+    """Rows put in, one replaced, one deleted, and many looked up."""
+    cache = caches.TableCache(spark, _x(spark, d).where("node_id < 300"))
+    cache.set(14, [7.0])
+    cache.delete(21)
+    return cache.get_many(_requests(spark)).select("node_id", rounded(F.col("h")[0]).alias("x0"))
+
+
+@query("saint_rw_random", sql("g1 nodes", "SELECT DISTINCT node_id FROM (SELECT here AS node_id FROM c0 UNION ALL SELECT here FROM c1 UNION ALL SELECT here FROM c2)",
+    f"c0 AS (SELECT node_id AS walker, node_id AS here FROM nodes ORDER BY {_tape('root', 'node_id')}, node_id LIMIT 60)",
+    *[f"c{s} AS (SELECT a.walker, coalesce(b.dest, a.here) AS here FROM c{s - 1} a LEFT JOIN (SELECT dst, src AS dest FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY {_tape(s, 'dst', 'src')}) AS rn FROM g1) WHERE rn = 1) b ON b.dst = a.here)" for s in (1, 2)]))
+def saint_rw_random(spark, d):
+    """Distinct nodes of coalescing walks from random roots."""
+    g = fx.graph(spark, d)
+    return walks.walk(g, walks.roots(g.nodes, 60), 2, coalesce=True).select("node_id").distinct()
+
+
+@query("saint_coverage")
+def saint_coverage(spark, d):
+    """Norms from samples that cover the nodes; how many they are shows only while sampling."""
+    g = fx.graph(spark, d)
+    samples = walks.covering_samples(g, 200, 2, 0.5)
+    return walks.node_norm(g.nodes, samples, samples.agg(F.max("sample")).first()[0] + 1)
+
+
+@query("induced_nodes", sql("nodes", "SELECT node_id, split, CAST(target AS BIGINT) AS target, CAST(features[1] AS DOUBLE) AS x0 FROM nodes WHERE split <> 'train'"))
+def induced_nodes(spark, d):
+    """The nodes of an induced subgraph keep their properties, isolated ones too."""
+    g = fx.graph(spark, d)
+    return g.induced(g.nodes.where("split <> 'train'")).nodes.select("node_id", "split", F.col("target").cast("long").alias("target"), F.col("features")[0].cast("double").alias("x0"))
+
+
+@query("subgraph_disagreement", sql("g1 g2", "SELECT 'nodes' AS kind, CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b UNION ALL SELECT 'edges', (SELECT count(*) FROM (SELECT * FROM g1 EXCEPT ALL SELECT * FROM g2)), (SELECT count(*) FROM (SELECT * FROM g2 EXCEPT ALL SELECT * FROM g1))"))
+def subgraph_disagreement(spark, d):
+    return disagreement(fx.graph(spark, d), fx.graph(spark, d, True))
+
+
+@query("node_totals", sql("g1 nodes", "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM g1) AS edges, (SELECT count(DISTINCT src) FROM g1) AS sources, (SELECT count(DISTINCT dst) FROM g1) AS targets"))
+def node_totals(spark, d):
+    g = fx.graph(spark, d)
+    return g.nodes.agg(F.count("*").alias("nodes")).join(g.edges.agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets")))
+
+
+@query("train_mask", sql("nodes", "SELECT node_id, split = 'train' AS train FROM nodes"))
+def train_mask(spark, d):
+    """Splits as names or as numbers, where 0 is training."""
+    rows = fx.nodes(spark, d).select("node_id", F.when(F.col("node_id") % 2 == 0, F.col("split")).otherwise(F.when(F.col("split") == "train", "0").when(F.col("split") == "val", "1").otherwise("2")).alias("split"))
+    return rows.select("node_id", smp.is_train("split").alias("train"))

@@ -37,7 +37,12 @@ def commute(spec: ModelSpec) -> list[Layer]:
     return layers
 
 
-_ACTIVATIONS = {"relu": lambda x: np.where(x < 0, 0.0, x), "tanh": np.tanh, "elu": lambda x: np.where(x > 0, x, np.expm1(np.minimum(x, 0)))}
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+_ACTIVATIONS = {"softmax": _softmax, "relu": lambda x: np.where(x < 0, 0.0, x), "tanh": np.tanh, "elu": lambda x: np.where(x > 0, x, np.expm1(np.minimum(x, 0)))}
 
 
 def dense(h: DataFrame, layers: list[Layer], tensors: dict) -> DataFrame:
@@ -100,6 +105,11 @@ def infer(graph: PropertyGraph, seeds: DataFrame | None, spec: ModelSpec, *, deg
                 h = agg.gcn_norm(own, h, degrees, targets, width)
             elif layer.method == "mean":
                 h = agg.mean_or_self(own, h, targets.select("node_id"), width)
+            elif layer.method == "gin":
+                h = agg.gin(own, h, targets, width, layer.eps)
+            elif layer.method == "attention":
+                to, of = spec.tensors[layer.weight]
+                h = agg.attention(own, h, to, of, width)
             else:
                 h = agg.aggregate(own, h, width, layer.method)
     return h if seeds is None else h.join(seeds.select("node_id").distinct(), "node_id", "left_semi")

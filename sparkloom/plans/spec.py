@@ -7,16 +7,19 @@ import struct
 from dataclasses import dataclass, field
 from typing import Any
 
-OPS = ("aggregate", "linear", "relu", "tanh", "elu")
-METHODS = ("gcn_norm", "mean", "sum", "max", "min")
+OPS = ("aggregate", "linear", "relu", "tanh", "elu", "softmax")
+METHODS = ("gcn_norm", "mean", "sum", "max", "min", "gin", "attention")
 
 
 @dataclass(frozen=True)
 class Layer:
+    """An operation. The weight of an attention is a tensor of two rows, for the target's and the neighbour's vector; eps is GIN's."""
+
     op: str
     method: str | None = None
     weight: str | None = None
     bias: str | None = None
+    eps: float = 0.0
 
 
 @dataclass
@@ -40,6 +43,8 @@ class ModelSpec:
             for name in (x.weight, x.bias):
                 if name is not None and name not in self.tensors:
                     raise ValueError(f"no such tensor: {name}")
+            if x.method == "attention" and (x.weight is None or len(self.tensors[x.weight]) != 2):
+                raise ValueError("an attention needs a tensor of two rows")
         return self
 
     def width(self) -> int | None:
@@ -53,12 +58,12 @@ class ModelSpec:
         raw = json.loads(text)
         hops, given = int(raw["num_hops"]), raw.get("max_neighbors")
         fanouts = [int(x) for x in given] if isinstance(given, list) else [int(given if given is not None else 10)] * hops
-        layers = [Layer(x["op"], x.get("method"), x.get("weight"), x.get("bias")) for x in raw["layers"]]
+        layers = [Layer(x["op"], x.get("method"), x.get("weight"), x.get("bias"), float(x.get("eps", 0.0))) for x in raw["layers"]]
         return cls(hops, fanouts, layers, tensors).check()
 
 
 def compile_layers(layers: list[tuple]) -> list[Layer]:
-    """Layer definitions to operations: ("conv", name, relu?) is aggregate, linear and maybe relu; ("linear", name), ("relu",), ("tanh",), ("gelu",) as relu; a list is spliced in."""
+    """Layer definitions to operations: ("conv", name, relu?) is aggregate, linear and maybe relu; ("gat", name) is linear and attention, ("gin", name, eps) is aggregate, linear, relu and linear; ("linear", name), ("relu",), ("tanh",), ("elu",), ("softmax",), ("gelu",) as relu; a list is spliced in."""
     out: list[Layer] = []
     for x in layers:
         if isinstance(x, list):
@@ -70,8 +75,12 @@ def compile_layers(layers: list[tuple]) -> list[Layer]:
             out.append(Layer("linear", weight=f"{x[1]}.weight", bias=f"{x[1]}.bias"))
         elif x[0] in ("relu", "gelu"):
             out.append(Layer("relu"))
-        elif x[0] == "tanh":
-            out.append(Layer("tanh"))
+        elif x[0] == "gat":
+            out += [Layer("linear", weight=f"{x[1]}.weight", bias=f"{x[1]}.bias"), Layer("aggregate", "attention", weight=f"{x[1]}.attention")]
+        elif x[0] == "gin":
+            out += [Layer("aggregate", "gin", eps=float(x[2]) if len(x) > 2 else 0.0), *compile_layers([("linear", f"{x[1]}.0"), ("relu",), ("linear", f"{x[1]}.1")])]
+        elif x[0] in ("tanh", "elu", "softmax"):
+            out.append(Layer(x[0]))
         else:
             raise ValueError(f"no rule for layer {x[0]}")
     return out

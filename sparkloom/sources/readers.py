@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tarfile
 import zipfile
 from collections.abc import Iterator
 
@@ -12,16 +13,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sparkloom.functions.vectors import unpack_floats
+
 
 def read_content(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """Tab-separated nodes: id, `dim` features, label; gz files too. -> (node_id, features, target)."""
+    """Tab-separated nodes: id, `dim` features, label; gz files and members `.content` of tgz archives too. -> (node_id, features, target)."""
+    if path.endswith((".tgz", ".tar.gz")):
+        cells = F.split("line", "\t")
+        values = F.transform(F.slice(cells, 2, dim), lambda x: x.cast("float"))
+        return archive_lines(spark, path, ".content").select(cells[0].cast("long").alias("node_id"), values.alias("features"), cells[dim + 1].alias("target"))
     schema = ", ".join(["node_id BIGINT", *[f"f{i} FLOAT" for i in range(dim)], "target STRING"])
     rows = spark.read.csv(path, sep="\t", schema=schema)
     return rows.select("node_id", F.array(*[f"f{i}" for i in range(dim)]).alias("features"), "target")
 
 
+def archive_lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(line) of the members whose names end so in tgz archives. An archive, below 2 GB as Spark reads it, is one task; its lines stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                with tarfile.open(fileobj=io.BytesIO(raw.as_py()), mode="r:gz") as archive:
+                    for member in archive:
+                        if not (member.isfile() and member.name.endswith(suffix)):
+                            continue
+                        stream = archive.extractfile(member)
+                        while lines := stream.readlines(1 << 20):
+                            yield pa.RecordBatch.from_arrays([pa.array([x.decode().rstrip("\r\n") for x in lines])], names=["line"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "line string").where("line <> ''")
+
+
+def read_arrow(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The columns of `schema` from chunks kept as Arrow files or streams, one task or more for the files of a folder."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    want = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                chunk = raw.as_buffer()
+                if chunk[:6].to_pybytes() == b"ARROW1":
+                    file = pa.ipc.open_file(chunk)
+                    parts = (file.get_batch(i) for i in range(file.num_record_batches))
+                else:
+                    parts = pa.ipc.open_stream(chunk)
+                for part in parts:
+                    yield pa.RecordBatch.from_arrays([part.column(f.name).cast(f.type) for f in want], schema=want)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
 def read_citations(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated edges "cited citing" -> (src citing, dst cited)."""
+    """Tab-separated edges "cited citing", or members `.cites` of tgz archives -> (src citing, dst cited)."""
+    if path.endswith((".tgz", ".tar.gz")):
+        cells = F.split("line", "\t")
+        return archive_lines(spark, path, ".cites").select(cells[1].cast("long").alias("src"), cells[0].cast("long").alias("dst"))
     return spark.read.csv(path, sep="\t", schema="dst BIGINT, src BIGINT").select("src", "dst")
 
 
@@ -41,6 +90,17 @@ def write_metrics(rows: DataFrame, path: str) -> None:
     rows.select(F.col("event").alias("Event"), F.col("time").alias("Time"), F.col("value").alias("Value")).write.mode("append").csv(path, header=True)
 
 
+def write_json(rows: DataFrame, path: str) -> None:
+    """A summary, a configuration or counts of visits: one JSON object a row, a folder of part files."""
+    rows.write.mode("overwrite").json(path)
+
+
+def write_sorted(rows: DataFrame, path: str, key: str, files: int | None = None) -> None:
+    """Parquet files dealt and sorted by ranges of `key`, so that a lookup by key reads only the row groups of its range."""
+    dealt = rows.repartitionByRange(files, key) if files else rows.repartitionByRange(key)
+    dealt.sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
 def array_header(raw: io.BufferedIOBase) -> tuple[tuple[int, ...], np.dtype, int]:
     """(shape, type, bytes of header) of a .npy stream, versions 1 and 2, by rows only."""
     version = np.lib.format.read_magic(raw)
@@ -131,3 +191,9 @@ def assign_splits(nodes: DataFrame, splits: list[DataFrame]) -> DataFrame:
 def missing_features(nodes: DataFrame, done: DataFrame) -> DataFrame:
     """Nodes whose features a resumed load still has to write."""
     return nodes.join(done.select("node_id"), "node_id", "left_anti")
+
+
+def materialise(nodes: DataFrame, done: DataFrame, column: str = "features") -> DataFrame:
+    """(node_id, features): done(node_id, features) and, for the nodes it lacks, their packed bytes as doubles; null bytes give null."""
+    fresh = missing_features(nodes, done).select("node_id", unpack_floats(column).cast("array<double>").alias("features"))
+    return done.select("node_id", F.col("features").cast("array<double>").alias("features")).unionByName(fresh)
