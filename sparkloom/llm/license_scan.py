@@ -1,19 +1,21 @@
 """License scan: texts against licence templates by Dice coefficient over word bigrams.
 
-A text, each of its paragraphs (between empty lines) and each of its lines is a
-unit. Units and templates are normalised (runs of letters and digits, ASCII
+A text, each run of up to RUN consecutive paragraphs (between lines without a
+word or sign) and each of its lines is a unit. Units and templates are normalised (runs of letters and digits, ASCII
 letters folded) and reduced to their sets of word bigrams; the coefficient is
 2 |A & B| / (|A| + |B|). A template can only reach the threshold t if its size is
 between |A| t / (2 - t) and |A| (2 - t) / t, so sizes prune templates before any
-comparison, and a unit with fewer shared bigrams than its size asks for is pruned
-at once: bigrams that occur in any template are found for a whole batch by one
-lookup.
+comparison, and a unit with fewer shared bigrams than the least template asks for
+is pruned before its set is built: bigrams that occur in any template are found
+for a whole batch by one lookup. A run of paragraphs whose first or last one
+shares nothing is left out, as the run without it scores no less.
 
 The templates are short notices and short licences; others can be given.
 
 Defined cases: a null text is an empty one; units of less than two words match
 nothing; of templates that tie, the first by name wins; repeated rows are scanned
-alike; an empty table gives an empty result; extra columns pass through `scan`
+alike; a very long text costs time in proportion to its paragraphs that share
+bigrams with a template; an empty table gives an empty result; extra columns pass through `scan`
 unless their names begin with `__license`.
 """
 
@@ -33,14 +35,39 @@ from sparkloom.llm.textbatch import LOWER, Texts, mix, pieces
 
 THRESHOLD = 0.8
 
+#: Paragraphs of a unit at most; the templates in their usual form have six or fewer.
+RUN = 6
+
+_BLANK = np.isin(np.arange(256), [9, 10, 12, 13, 32])
+
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain "
+    "the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND '
+    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
 # Notices and short licences.
 TEMPLATES = {
+    "AGPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
     ),
+    "BSD-2-Clause": _BSD + _BSD_END,
+    "BSD-3-Clause": _BSD + _BSD_3 + _BSD_END,
     "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
@@ -56,6 +83,11 @@ TEMPLATES = {
         "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
         "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
+    "LGPL-3.0-notice": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
     "MIT": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without '
         "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
@@ -76,21 +108,16 @@ TEMPLATES = {
 }
 
 
-def _units(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, end, text, kind) of texts (0), paragraphs (1) and lines (2)."""
-    starts, ends, at = texts.lines()
-    doc = np.repeat(np.arange(texts.n), np.diff(at))
-    # a paragraph begins at a text's first line and after an empty line
-    empty = ends == starts
-    begin = np.zeros(len(starts), dtype=bool)
-    begin[at[:-1]] = True
-    begin[1:] |= empty[:-1]
-    first = np.flatnonzero(begin)
-    p_end = ends[np.append(first[1:], len(starts)) - 1] if len(first) else first
-    unit_start = np.concatenate([texts.offsets[:-1], starts[first], starts])
-    unit_end = np.concatenate([texts.offsets[1:], p_end, ends])
-    kind = np.repeat([0, 1, 2], [texts.n, len(first), len(starts)])
-    return unit_start, unit_end, np.concatenate([np.arange(texts.n), doc[first], doc]), kind
+def _paragraphs(texts: Texts, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, text) of each text's runs of lines that aren't blank."""
+    signs = np.concatenate([[0], np.cumsum(~_BLANK[texts.data])])
+    full = np.flatnonzero(signs[ends] > signs[starts])
+    if not len(full):
+        return full, full, full
+    new = np.append(True, (np.diff(full) > 1) | (np.diff(doc[full]) > 0))
+    first = full[new]
+    last = full[np.append(np.flatnonzero(new)[1:], len(full)) - 1]
+    return starts[first], ends[last], doc[first]
 
 
 @dataclass
@@ -122,13 +149,31 @@ class Scanner:
         maybe = np.flatnonzero(self.sieve[(pair >> np.uint64(48)).astype(np.int64)])
         found = np.minimum(np.searchsorted(self.all, pair[maybe]), len(self.all) - 1)
         hits = maybe[self.all[found] == pair[maybe]]
-        u_start, u_end, doc, kind = _units(texts)
-        a, b = np.searchsorted(starts, u_start), np.searchsorted(starts, u_end)
-        last = np.maximum(b - 1, a)  # bigrams a .. last - 1 lie inside the unit
-        n_hits = np.searchsorted(hits, last) - np.searchsorted(hits, a)
         t = self.threshold
-        # repeated bigrams only lower the true size, so sizes are checked again on the sets
-        rough = np.flatnonzero(n_hits > 0)
+        # a template of n bigrams needs n t / (2 - t) shared ones; repeats only add to the hits counted here
+        need = int(np.ceil(self.sizes.min() * t / (2 - t) - 1e-9))
+
+        def inside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Hits among the bigrams a .. b - 1."""
+            return np.searchsorted(hits, np.maximum(a, b)) - np.searchsorted(hits, a)
+
+        l_start, l_end, at = texts.lines()
+        l_doc = np.repeat(np.arange(texts.n), np.diff(at))
+        p_start, p_end, p_doc = _paragraphs(texts, l_start, l_end, l_doc)
+        p_a, p_b = np.searchsorted(starts, p_start), np.searchsorted(starts, p_end)
+        units = [(np.searchsorted(starts, texts.offsets[:-1]), np.searchsorted(starts, texts.offsets[1:]), np.arange(texts.n), 0), (p_a, p_b, p_doc, 1)]
+        for k in range(2, RUN + 1):
+            i = np.flatnonzero(p_doc[: -k + 1] == p_doc[k - 1 :]) if len(p_doc) >= k else np.zeros(0, np.int64)
+            j = i + k - 1
+            opens = inside(p_a[i], p_a[i + 1]) > 0
+            closes = inside(np.maximum(p_b[j - 1] - 1, 0), np.maximum(p_b[j] - 1, 0)) > 0
+            i, j = i[opens & closes], j[opens & closes]
+            units.append((p_a[i], p_b[j], p_doc[i], 1))
+        units.append((np.searchsorted(starts, l_start), np.searchsorted(starts, l_end), l_doc, 2))
+        a, b, doc = (np.concatenate([u[c] for u in units]) for c in range(3))
+        kind = np.repeat([u[3] for u in units], [len(u[0]) for u in units])
+        last = np.maximum(b - 1, a)  # bigrams a .. last - 1 lie inside the unit
+        rough = np.flatnonzero(inside(a, last) >= need)
         for u in rough.tolist():
             own = np.unique(pair[a[u] : last[u]])
             shared = own[np.isin(own, self.all)]
@@ -188,7 +233,8 @@ WITH templates AS (SELECT * FROM (VALUES {", ".join(f"({_quote(k)}, {_quote(v)})
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 units AS (
   SELECT r, 0 AS kind, text AS unit FROM docs
-  UNION ALL SELECT r, 1, unnest(string_split(text, chr(10) || chr(10))) FROM docs
+  UNION ALL SELECT r, 1, array_to_string(list_slice(p, i, i + k - 1), chr(10))
+    FROM (SELECT r, p, unnest(range(1, CAST(len(p) AS BIGINT) + 1)) AS i FROM (SELECT r, list_filter(string_split_regex(text, '\n[ \t\r\f\n]*\n'), lambda x: regexp_matches(x, '[^ \t\r\f\n]')) AS p FROM docs)), unnest(range(1, {RUN + 1})) u(k) WHERE i + k - 1 <= len(p)
   UNION ALL SELECT r, 2, unnest(string_split(text, chr(10))) FROM docs),
 words AS (
   SELECT row_number() OVER () AS u, r, kind, w

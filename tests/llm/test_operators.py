@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -64,21 +65,53 @@ def test_words_lines_and_hashes():
 def test_license_scan(spark, odd, nothing):
     rng = random.Random(1)
     mit = license_scan.TEMPLATES["MIT"]
+    set_out = mit.replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS PROVIDED", "\n\nTHE SOFTWARE IS PROVIDED")
     rows = [
         (1, f"{sentence(rng, 30)}\nReleased under the MIT License.\n{sentence(rng, 20)}"),
         (2, mit.replace("Software", "software") + " thanks"),
         (3, f"{sentence(rng, 9)}\n\n{mit[:400]}\n{mit[400:]}\n\n{sentence(rng, 9)}"),
         (4, sentence(rng, 50)),
         (5, "the license of the software is under the version"),
+        (6, f"{sentence(rng, 30)}\n\n{set_out}\n\n{sentence(rng, 30)}"),
+        (7, f"{sentence(rng, 30)}\n \t\n{set_out.replace(chr(10) * 2, chr(10) + ' ' + chr(10))}\n\n\n{sentence(rng, 30)}"),
+        (8, license_scan.TEMPLATES["BSD-3-Clause"].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ").replace(" THIS SOFTWARE IS", "\n\nTHIS SOFTWARE IS") + f"\n\n{sentence(rng, 200)}"),
     ]
     out = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
     assert out[1]["__license"] == "MIT-line" and out[1]["__license_lines"] == 1 and out[1]["__license_dice"] == 1.0
     assert out[2]["__license"] == out[3]["__license"] == "MIT"
     assert out[4]["__license"] is None and out[5]["__license"] is None
+    assert out[6]["__license"] == out[7]["__license"] == "MIT" and out[6]["__license_dice"] == out[7]["__license_dice"] == 1.0
+    assert out[8]["__license"] == "BSD-3-Clause" and out[8]["__license_dice"] == 1.0
     assert license_scan.scan(odd, odd.columns).count() == odd.count()
     assert license_scan.scan(nothing, ["doc_id"]).count() == 0
 
 
+def test_license_scan_matches_its_sql(spark, odd, tmp_path):
+    rng = random.Random(8)
+    bodies = list(license_scan.TEMPLATES.values())
+
+    def text():
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            body = rng.choice(bodies).split(" ")
+            cuts = sorted(rng.sample(range(1, len(body)), min(rng.randint(0, 3), len(body) - 1)))
+            for i, j in zip([0, *cuts], [*cuts, len(body)], strict=True):
+                parts.append(" ".join(body[i:j]))
+                parts.append(rng.choice(["\n\n", "\n", "\n \r\n", "\n\n\n", " ", "\n\x0b\n"]))
+            parts.append(rng.choice(["", sentence(rng, 5), "\n\n" + sentence(rng, 30) + "\n\n", "\n\n\n"]))
+        return "".join(parts)
+
+    own = spark.createDataFrame([(1000 + i, text()) for i in range(60)], "doc_id long, text string")
+    odd.select("doc_id", "text").unionByName(own).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(license_scan.OP1_SQL)
+    got = license_scan.op1_licenses(spark, str(tmp_path)).select(*want.columns).collect()
+    row = lambda r: (r[0], r[1], round(r[2], 9), r[3])
+    assert sorted(map(row, got), key=repr) == sorted(map(row, want.fetchall()), key=repr)
+    assert sum(r[1] is not None for r in got) > 40
+
+
 # ---- 2
 
 
