@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import fingerprints, language_id, license_scan, mixing, order_minhash, pieces, pipeline, quality_crf, quality_rules, token_codes, toxicity
+from sparkloom.llm import divergence_audit, exact_dedup, fingerprints, language_id, license_scan, mixing, order_minhash, pieces, pipeline, quality_crf, quality_rules, token_codes, toxicity
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_mix": mixing.op8_mix,
         "op9_pieces": pieces.op9_pieces,
         "op10_order_minhash": order_minhash.op10_order_minhash,
+        "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+        "op13_source_audit": divergence_audit.op13_source_audit,
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_licenses": license_scan.OP1_SQL, "op4_rules": quality_rules.OP4_SQL, "op8_mix": mixing.OP8_SQL}
+    return {"op1_licenses": license_scan.OP1_SQL, "op4_rules": quality_rules.OP4_SQL, "op8_mix": mixing.OP8_SQL, "op12_exact_dedup": exact_dedup.OP12_SQL, "op13_source_audit": divergence_audit.OP13_SQL}
