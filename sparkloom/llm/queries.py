@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import divergence_audit, exact_dedup, fingerprints, language_id, license_scan, mixing, order_minhash, pieces, pipeline, quality_crf, quality_rules, token_codes, toxicity
+from sparkloom.llm import divergence_audit, exact_dedup, fingerprints, language_id, license_scan, mixing, order_minhash, pieces, pipeline, quality_crf, quality_rules, token_alignment, token_codes, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mix": mixing.op8_mix,
         "op9_pieces": pieces.op9_pieces,
         "op10_order_minhash": order_minhash.op10_order_minhash,
+        "op11_alignment": token_alignment.op11_alignment,
         "op12_exact_dedup": exact_dedup.op12_exact_dedup,
         "op13_source_audit": divergence_audit.op13_source_audit,
         "pipeline": pipeline.run,

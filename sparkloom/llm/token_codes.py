@@ -146,12 +146,18 @@ class Codes:
 class Encoder:
     """A tokenizer with the pieces of text that this worker has met."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache, self.epoch, self.found = Interner(MOST_PIECES), -1, Ragged(np.int32)
+        self.start(most)
+
+    def start(self, most: int) -> None:
+        self.cache, self.epoch, self.found = Interner(most), -1, Ragged(np.int32)
+
+    def ids_of(self, strings: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     @staticmethod
     def cuts(texts: Texts) -> np.ndarray:
@@ -189,8 +195,7 @@ class Encoder:
             self.epoch = self.cache.epoch
             self.found.clear()
         if len(fresh):
-            made = self.tokenizer.encode_batch_fast(texts.strings(starts[fresh], ends[fresh]), add_special_tokens=False)
-            lists = [e.ids for e in made]
+            lists = self.ids_of(texts.strings(starts[fresh], ends[fresh]))
             self.found.extend(np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists)))
         ids, sizes = self.found.gather(codes)
         total = np.concatenate([[0], np.cumsum(sizes)])
