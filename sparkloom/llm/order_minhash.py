@@ -52,8 +52,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import read, release, shared_dir
 from sparkloom.llm.textbatch import LOWER, Texts, mix, pieces, ranges
 
-#: Where one word in five is edited nearly no window of five words is left whole; with three words, 48 tuples of two find pairs at the very threshold.
-K, ELL, SKETCHES, SIMILARITY = 3, 2, 48, 0.8
+#: Where one word in five is edited nearly no window of five words is left whole. 48 tuples of three word pairs find 0.96 of the pairs
+#: at the very threshold or more, at any length, even with edits spread evenly (tests/llm/measure_recall.py).
+K, ELL, SKETCHES, SIMILARITY = 2, 3, 48, 0.8
 #: Bits of a window's place below its hash; a text in an Arrow batch has fewer words.
 PLACE = np.uint64(30)
 #: Texts that are alike to texts of less than SHORT words are compared by the exact join.

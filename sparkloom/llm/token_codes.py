@@ -230,7 +230,7 @@ def write_tokens(docs: DataFrame, where: str, path: str | None = None, end_id: i
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=_COLUMNS)
             seq, start = seq + 1, start + len(full)
 
-    ordered.mapInArrow(run, "part int, seq long, local_start long, n_tokens long, doc_ids array<long>, doc_tokens array<int>, codes binary").write.option("compression", "zstd").parquet(where)
+    ordered.mapInArrow(run, "part int, seq long, local_start long, n_tokens long, doc_ids array<long>, doc_tokens array<int>, codes binary").write.option("compression", "none").parquet(where)
 
 
 _COLUMNS = ["part", "seq", "local_start", "n_tokens", "doc_ids", "doc_tokens", "codes"]
@@ -246,12 +246,40 @@ def read_tokens(spark: SparkSession, where: str) -> DataFrame:
     return table.join(F.broadcast(spark.createDataFrame(rows, "part int, base long")), "part")
 
 
+def tokens_at(spark: SparkSession, where: str, positions: list[int]) -> DataFrame:
+    """(position, id) for positions of the whole table, one row for each position asked for.
+
+    The part of a position is found among the parts' totals, its segment in the
+    directory (part, seq, local_start, n_tokens), which is read without the codes.
+    The scan of codes asks for those parts and segments only, and each id is found
+    in its segment on its own, in an executor: segments lie uncompressed, and no
+    block of them is decoded.
+    """
+    table = spark.read.parquet(where)
+    totals = sorted(tuple(r) for r in table.groupBy("part").agg(F.sum("n_tokens")).collect())  # a row for each part
+    ends = np.cumsum([n for _, n in totals]) if totals else np.zeros(0, np.int64)
+    if positions and (not len(ends) or min(positions) < 0 or max(positions) >= ends[-1]):
+        raise IndexError("no such position")
+    which = np.searchsorted(ends, positions, "right").tolist()
+    wanted = spark.createDataFrame([(p, totals[k][0], p - int(ends[k]) + totals[k][1]) for p, k in zip(positions, which, strict=True)], "position long, part int, at long")
+    directory = table.where(F.col("part").isin({totals[k][0] for k in which})).select("part", "seq", "local_start", "n_tokens")
+    inside = (F.col("at") >= F.col("local_start")) & (F.col("at") < F.col("local_start") + F.col("n_tokens"))
+    hits = directory.join(F.broadcast(wanted), "part").where(inside).select("position", "part", "seq", (F.col("at") - F.col("local_start")).alias("at")).toArrow()
+    segments = table.where(F.col("part").isin(set(hits["part"].to_pylist())) & F.col("seq").isin(set(hits["seq"].to_pylist()))).select("part", "seq", "codes")
+    asked = spark.createDataFrame(hits.to_pylist(), "position long, part int, seq long, at long").groupBy("part", "seq").agg(F.collect_list("position").alias("positions"), F.collect_list("at").alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for positions, at, codes in zip(*(batch.column(c) for c in ("positions", "at", "codes")), strict=True):
+                ids = Codes.from_bytes(codes.as_py()).get(at.values.to_numpy())
+                yield pa.RecordBatch.from_arrays([positions.values, pa.array(ids.astype(np.int64))], names=["position", "id"])
+
+    return segments.join(F.broadcast(asked), ["part", "seq"]).select("positions", "at", "codes").mapInArrow(run, "position long, id long")
+
+
 def token_at(spark: SparkSession, where: str, positions: list[int]) -> list[int]:
-    """Ids at positions of the whole table. Only the segments that hold one of them are read, and no block of them is decoded."""
-    table = read_tokens(spark, where).withColumn("first", F.col("base") + F.col("local_start"))
-    wanted = spark.createDataFrame([(p,) for p in positions], "p long")
-    hits = table.join(F.broadcast(wanted), (F.col("p") >= F.col("first")) & (F.col("p") < F.col("first") + F.col("n_tokens"))).select("p", "first", "codes").collect()
-    found = {r.p: int(Codes.from_bytes(bytes(r.codes)).get(np.array([r.p - r.first]))[0]) for r in hits}
+    """Ids at positions of the whole table, in the order asked for."""
+    found = dict(map(tuple, tokens_at(spark, where, positions).collect()))
     return [found[p] for p in positions]
 
 

@@ -309,6 +309,11 @@ def test_tokens_round_trip(spark, odd, nothing, tmp_path):
         every += ids
     at = [0, 1, len(every) // 2, len(every) - 1]
     assert token_codes.token_at(spark, f"{tmp_path}/t", at) == [every[p] for p in at]
+    scans = [x for x in token_codes.tokens_at(spark, f"{tmp_path}/t", at)._jdf.queryExecution().simpleString().splitlines() if "FileScan" in x]
+    # only the asked segments' codes are scanned; what was searched before is not part of the plan any more
+    assert len(scans) == 1 and "codes" in scans[0] and "part#" in scans[0].split("DataFilters")[1] and "seq#" in scans[0].split("DataFilters")[1]
+    with pytest.raises(IndexError):
+        token_codes.token_at(spark, f"{tmp_path}/t", [len(every)])
     token_codes.write_tokens(nothing, f"{tmp_path}/e")
     assert token_codes.document_ids(token_codes.read_tokens(spark, f"{tmp_path}/e")).count() == 0
 
