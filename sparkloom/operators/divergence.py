@@ -7,10 +7,18 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.lineage import cut
+
+
+def _side_by_side(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, na, nb) over the union of keys, computed once: totals and rows both read it."""
+    both = a.select(key, F.col("n").alias("na")).join(b.select(key, F.col("n").alias("nb")), key, "full_outer")
+    return cut(both.select(key, F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb")))
+
 
 def shares(a: DataFrame, b: DataFrame, key: str, eps: float = 0.0) -> DataFrame:
     """(key, p, q) over the union of keys; eps is added to every share, and the shares are normalised again."""
-    both = a.select(key, F.col("n").alias("na")).join(b.select(key, F.col("n").alias("nb")), key, "full_outer").select(key, F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb"))
+    both = _side_by_side(a, b, key)
     totals = both.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"), F.count("*").alias("k"))
     out = both.join(F.broadcast(totals), F.lit(True))
     return out.select(key, ((F.col("na") / F.col("ta") + eps) / (1 + eps * F.col("k"))).alias("p"), ((F.col("nb") / F.col("tb") + eps) / (1 + eps * F.col("k"))).alias("q"))
@@ -54,7 +62,7 @@ def two_proportions(a: DataFrame, b: DataFrame, key: str, alpha: float = 0.05) -
     The critical value comes from the number of tests, so the verdict compares |z|
     with it. pct_a and pct_b are the key's per cent of either side's visits.
     """
-    both = a.select(key, F.col("n").alias("na")).join(b.select(key, F.col("n").alias("nb")), key, "full_outer").select(key, F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb"))
+    both = _side_by_side(a, b, key)
     ta, tb, tests = both.agg(F.sum("na"), F.sum("nb"), F.count("*")).first()
     if not tests or not ta or not tb:
         return both.select(key, F.lit(None).cast("double").alias("z"), F.lit(False).alias("significant"), *[F.lit(None).cast("double").alias(c) for c in ("p_value", "pct_a", "pct_b")]).limit(0)

@@ -136,12 +136,13 @@ def partition_ids(nodes: DataFrame, parts: int) -> DataFrame:
 def propagate_labels(graph: PropertyGraph, parts: int, rounds: int = 3) -> DataFrame:
     """Partition ids that follow the neighbours' most frequent one, ties to the least; a start by id."""
     now = partition_ids(graph.nodes, parts)
-    view = graph.view("undirected")
+    view = cut(graph.view("undirected"))
     best = Window.partitionBy("dst").orderBy(F.col("n").desc(), "part")
     for _ in range(rounds):
         votes = view.join(now.withColumnRenamed("node_id", "src"), "src").groupBy("dst", "part").agg(F.count("*").alias("n"))
         won = votes.withColumn("rn", F.row_number().over(best)).where("rn = 1").select(F.col("dst").alias("node_id"), F.col("part").alias("won"))
-        now = now.join(won, "node_id", "left").select("node_id", F.coalesce("won", "part").alias("part"))
+        # a round's votes and its rest both read the ids of the round before
+        now = cut(now.join(won, "node_id", "left").select("node_id", F.coalesce("won", "part").alias("part")))
     return now
 
 
@@ -149,6 +150,6 @@ def edge_cut(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """(cut, edges, balance): undirected pairs across parts, and the largest part over the mean."""
     pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
     sides = pairs.join(parts.select(F.col("node_id").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("node_id").alias("b"), F.col("part").alias("pb")), "b")
-    cut = sides.agg(F.count(F.when(F.col("pa") != F.col("pb"), 1)).alias("cut"), F.count("*").alias("edges"))
+    crossing = sides.agg(F.count(F.when(F.col("pa") != F.col("pb"), 1)).alias("cut"), F.count("*").alias("edges"))
     sizes = parts.groupBy("part").agg(F.count("*").alias("n")).agg((F.max("n") / F.avg("n")).alias("balance"))
-    return cut.join(sizes)
+    return crossing.join(sizes)

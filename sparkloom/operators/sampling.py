@@ -59,13 +59,13 @@ def induced_sample(graph: PropertyGraph, seeds: DataFrame, fanouts: list[int], s
 
 def disjoint(graph: PropertyGraph, seeds: DataFrame, fanouts: list[int], seed: int = SEED) -> DataFrame:
     """(root, hop, src, dst): every seed has its own visited set; visited neighbours are dropped before the draw."""
-    view = graph.view("undirected")
+    view = cut(graph.view("undirected"))
     frontier = seeds.select(F.col("node_id").alias("root"), "node_id").distinct()
     visited, edges = frontier, None
     for hop, k in enumerate(fanouts, 1):
         found = view.join(frontier.select("root", F.col("node_id").alias("dst")), "dst")
         found = found.join(visited.select("root", F.col("node_id").alias("src")), ["root", "src"], "left_anti")
-        drawn = top_k(found, ["root", "dst"], k, tape(seed, hop, "root", "dst", "src")).select(F.lit(hop).alias("hop"), "root", "src", "dst")
+        drawn = cut(top_k(found, ["root", "dst"], k, tape(seed, hop, "root", "dst", "src")).select(F.lit(hop).alias("hop"), "root", "src", "dst"))
         edges = drawn if edges is None else edges.unionByName(drawn)
         frontier = drawn.select("root", F.col("src").alias("node_id")).distinct()
         visited = visited.unionByName(frontier)

@@ -24,16 +24,18 @@ def walk(graph: PropertyGraph, start: DataFrame, length: int, *, seed: int = SEE
     the choice.
     """
     view = graph.view().select(F.col("dst").alias("at"), F.col("src").alias("to"), *([weight.alias("w")] if weight is not None else []))
-    now = start.select(F.col("node_id").alias("walker"), F.col("node_id").alias("at"), F.lit(None).cast("long").alias("prev"))
+    now = cut(start.select(F.col("node_id").alias("walker"), F.col("node_id").alias("at"), F.lit(None).cast("long").alias("prev")))
     steps = now.select("walker", F.lit(0).alias("step"), F.col("at").alias("node_id"))
     for s in range(1, length + 1):
-        found = now.join(view, "at")
-        if not backtrack:
-            found = found.where(F.col("prev").isNull() | (F.col("to") != F.col("prev")))
         key = tape(seed, s, "at", "to") if coalesce else tape(seed, s, "walker", "to")
         order = weighted_key(key, F.col("w")) if weight is not None else key
-        chosen = top_k(found, ["walker"], 1, order, "to").select("walker", "to")
-        now = now.join(chosen, "walker", "left").select("walker", F.coalesce("to", "at").alias("at"), F.when(F.col("to").isNotNull(), F.col("at")).otherwise(F.col("prev")).alias("prev"))
+        open_to = order.isNotNull() & F.col("to").isNotNull()
+        if not backtrack:
+            open_to &= F.col("prev").isNull() | (F.col("to") != F.col("prev"))
+        # one join and one aggregation carry a walker on; what it needs later travels as its key
+        best = F.min(F.when(open_to, F.struct(order.alias("key"), F.col("to").alias("to"))))["to"]
+        moved = now.join(view, "at", "left").groupBy("walker", "at", "prev").agg(best.alias("to"))
+        now = cut(moved.select("walker", F.coalesce("to", "at").alias("at"), F.when(F.col("to").isNotNull(), F.col("at")).otherwise(F.col("prev")).alias("prev")))
         steps = steps.unionByName(now.select("walker", F.lit(s).alias("step"), F.col("at").alias("node_id")))
     return steps
 

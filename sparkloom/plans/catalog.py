@@ -1274,3 +1274,6 @@ def train_mask(spark, d):
     """Splits as names or as numbers, where 0 is training."""
     rows = fx.nodes(spark, d).select("node_id", F.when(F.col("node_id") % 2 == 0, F.col("split")).otherwise(F.when(F.col("split") == "train", "0").when(F.col("split") == "val", "1").otherwise("2")).alias("split"))
     return rows.select("node_id", smp.is_train("split").alias("train"))
+
+
+from sparkloom.plans import graph_queries  # noqa: E402, F401  registers more queries
