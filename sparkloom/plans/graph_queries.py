@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.graph import PropertyGraph
 from sparkloom.operators import adjacency as adj
+from sparkloom.operators import walks
 from sparkloom.plans import fixtures as fx
-from sparkloom.plans.catalog import _tape, query
+from sparkloom.plans import samplers
+from sparkloom.plans.catalog import SQL, _tape, query, walk_ctes
 from sparkloom.plans.fixtures import sql
 
 
@@ -91,3 +93,79 @@ def alias_table(spark, d):
     *[f"w{s} AS (SELECT w.walker, coalesce(CASE WHEN {_pick(_unit(_tape(s, 'w.walker'), 1), 't.cap')} < t.threshold THEN t.dest ELSE t.alias END, w.node_id) AS node_id FROM w{s - 1} w LEFT JOIN (SELECT DISTINCT node, n FROM tab) n ON n.node = w.node_id LEFT JOIN tab t ON t.node = w.node_id AND t.slot = {_pick(_unit(_tape(s, 'w.walker')), 'n.n')})" for s in range(1, 6)]))
 def alias_walk(spark, d):
     return adj.weighted_walk(_weighted(spark, d), fx.seeds(spark, d), 5)
+
+
+# ---- samplers as specifications; the SQL is that of the samplers written by hand
+
+
+def _seed_rows(spark, d, **columns):
+    return fx.seeds(spark, d).select(*[F.expr(v).alias(k) for k, v in columns.items()])
+
+
+@query("spec_uniform_node", SQL["uniform_node"])
+def spec_uniform_node(spark, d):
+    return samplers.run(samplers.uniform_nodes(50), fx.graph(spark, d))
+
+
+@query("spec_uniform_edge", SQL["uniform_edge"])
+def spec_uniform_edge(spark, d):
+    return samplers.run(samplers.uniform_edges(200), fx.graph(spark, d))
+
+
+def _with_degrees(spark, d, **properties) -> PropertyGraph:
+    g = fx.graph(spark, d)
+    stored = g.nodes.join(g.degrees(), "node_id")
+    return PropertyGraph(stored.select("node_id", *[F.expr(v).alias(k) for k, v in properties.items()]), g.edges)
+
+
+@query("spec_fastgcn", SQL["fastgcn"])
+def spec_fastgcn(spark, d):
+    return samplers.run(samplers.weighted_nodes(60, "q"), _with_degrees(spark, d, q="CAST(degree AS DOUBLE)"))
+
+
+@query("spec_saint_edge", SQL["saint_edge"])
+def spec_saint_edge(spark, d):
+    g = fx.graph(spark, d)
+    return samplers.run(samplers.weighted_edges(100, "weight"), PropertyGraph(g.nodes, walks.edge_importance(g)))
+
+
+@query("spec_graphsage", SQL["sample_2hop"])
+def spec_graphsage(spark, d):
+    return samplers.run(samplers.graphsage([10, 5]), fx.graph(spark, d), frontier=fx.seeds(spark, d), visited=_seed_rows(spark, d, node_id="node_id", hop="0"))
+
+
+@query("spec_ladies", SQL["ladies"])
+def spec_ladies(spark, d):
+    g = _with_degrees(spark, d, mass="CASE WHEN degree > 0 THEN 1 / CAST(degree AS DOUBLE) END")
+    return samplers.run(samplers.ladies([40, 30], "mass"), g, frontier=fx.seeds(spark, d), sampled=_seed_rows(spark, d, layer="0", node_id="node_id"))
+
+
+def _walk_start(spark, d):
+    return {"walks": _seed_rows(spark, d, walker="node_id", at="node_id", prev="CAST(NULL AS BIGINT)"), "trace": _seed_rows(spark, d, walker="node_id", step="0", node_id="node_id")}
+
+
+@query("spec_random_walk", SQL["random_walk_nb"])
+def spec_random_walk(spark, d):
+    return samplers.run(samplers.random_walk(4, backtrack=False, direction="undirected"), fx.graph(spark, d), **_walk_start(spark, d))
+
+
+@query("spec_node2vec", sql("g1 seeds", "SELECT walker, step, node_id FROM w", *walk_ctes("g1", "seeds", 4, back=False, weight="CAST(1 + (e.src * 7 + e.dst) % 5 AS DOUBLE)")))
+def spec_node2vec(spark, d):
+    g = fx.graph(spark, d)
+    weighted = PropertyGraph(g.nodes, g.edges.withColumn("p", (1 + (F.col("src") * 7 + F.col("dst")) % 5).cast("double")))
+    # stored and read back: a specification is data
+    spec = samplers.from_json(samplers.to_json(samplers.random_walk(4, backtrack=False, weight="p")))
+    return samplers.run(spec, weighted, **_walk_start(spark, d))
+
+
+@query("spec_pinsage", SQL["pinsage_topk"])
+def spec_pinsage(spark, d):
+    start = fx.seeds(spark, d).select(F.col("node_id").alias("root"), F.explode(F.sequence(F.lit(100), F.lit(103))).alias("seed"), F.col("node_id").alias("at"))
+    return samplers.run(samplers.pinsage(3, 4), fx.graph(spark, d), walks=start)
+
+
+@query("spec_cluster_gcn", SQL["cluster_gcn"])
+def spec_cluster_gcn(spark, d):
+    nodes = fx.nodes(spark, d).withColumn("cluster_id", F.pmod("node_id", F.lit(16)))
+    chosen = samplers.run(samplers.cluster_nodes(4), PropertyGraph(nodes, fx.graph(spark, d).edges))
+    return nodes.join(chosen, "cluster_id", "left_semi").select("node_id", "cluster_id")
