@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import vectors as vec
 from sparkloom.graph import PropertyGraph
 from sparkloom.operators import adjacency as adj
 from sparkloom.operators import walks
 from sparkloom.plans import fixtures as fx
-from sparkloom.plans import samplers
-from sparkloom.plans.catalog import SQL, _tape, query, walk_ctes
-from sparkloom.plans.fixtures import sql
+from sparkloom.plans import samplers, tensor
+from sparkloom.plans.catalog import SQL, _round, _tape, gcn_sql, linear_sql, out_sql, query, rounded, walk_ctes, weight
+from sparkloom.plans.fixtures import DIM, sql
 
 
 def _unit(h: str, word: int = 0) -> str:
@@ -169,3 +170,37 @@ def spec_cluster_gcn(spark, d):
     nodes = fx.nodes(spark, d).withColumn("cluster_id", F.pmod("node_id", F.lit(16)))
     chosen = samplers.run(samplers.cluster_nodes(4), PropertyGraph(nodes, fx.graph(spark, d).edges))
     return nodes.join(chosen, "cluster_id", "left_semi").select("node_id", "cluster_id")
+
+
+# ---- tensor expressions
+
+_GCN16 = [f"lin AS ({linear_sql('x', 16, with_bias=False)})", f"y AS (SELECT node_id, dim, greatest(v, 0.0::DOUBLE) AS v FROM ({gcn_sql('g1', 'deg1', 'lin', 'x')}))"]
+
+
+def _features(v: str) -> tensor.Expression:
+    return tensor.Feature("features", v)
+
+
+@query("tensor_gcn", sql("g1 x deg1", out_sql("y"), *_GCN16))
+def tensor_gcn(spark, d):
+    out = tensor.evaluate(fx.graph(spark, d), tensor.gcn_layer(_features, weight(16, DIM)), complete=True)
+    return vec.long_form(out.select(F.col("x").alias("node_id"), F.col("val").alias("h")), "h")
+
+
+@query("tensor_gcn_readout", sql("g1 x deg1", f"SELECT 0 AS node_id, dim, {_round('sum(v)', 4)} AS h FROM y GROUP BY dim", *_GCN16))
+def tensor_gcn_readout(spark, d):
+    out = tensor.evaluate(fx.graph(spark, d), tensor.readout(lambda v: tensor.gcn_layer(_features, weight(16, DIM), v)))
+    return out.select(F.lit(0).alias("node_id"), F.posexplode("val").alias("dim", "h")).select("node_id", F.col("dim").cast("long").alias("dim"), rounded(F.col("h"), 4).alias("h"))
+
+
+@query("tensor_triangles", sql("g1", "SELECT CAST(count(*) AS DOUBLE) AS val FROM g1 a JOIN g1 b ON b.src = a.dst JOIN g1 c ON c.src = b.dst AND c.dst = a.src"))
+def tensor_triangles(spark, d):
+    return tensor.evaluate(fx.graph(spark, d), tensor.triangles())
+
+
+@query("tensor_two_walks", sql("g1 nodes", f"SELECT n.node_id AS x, {_round('coalesce(w.s, 0) * (SELECT count(*) FROM nodes)')} AS val FROM nodes n LEFT JOIN (SELECT a.dst AS x, sum(c.target + 1.0::DOUBLE) AS s FROM g1 a JOIN g1 b ON b.dst = a.src JOIN nodes c ON c.node_id = b.src GROUP BY a.dst) w ON w.x = n.node_id"))
+def tensor_two_walks(spark, d):
+    """Sum over walks of two edges into x of the first node's label plus 1, times the number of nodes (a sum without a guard)."""
+    inner = tensor.Sum("z", tensor.Edge("z", "y") * (tensor.Feature("target", "z") + 1))
+    e = tensor.Sum("y", tensor.Edge("y", "x") * inner) * tensor.Sum("all", tensor.Const(1.0))
+    return tensor.evaluate(fx.graph(spark, d), e, complete=True).select("x", rounded(F.col("val")).alias("val"))
