@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from sparkloom.functions import vectors as vec
 from sparkloom.graph import PropertyGraph
 from sparkloom.operators import adjacency as adj
+from sparkloom.operators import sampling as smp
 from sparkloom.operators import walks
 from sparkloom.plans import fixtures as fx
-from sparkloom.plans import samplers, tensor
+from sparkloom.plans import samplers, surface, tensor
 from sparkloom.plans.catalog import SQL, _round, _tape, gcn_sql, linear_sql, out_sql, query, rounded, walk_ctes, weight
 from sparkloom.plans.fixtures import DIM, sql
 
@@ -204,3 +205,54 @@ def tensor_two_walks(spark, d):
     inner = tensor.Sum("z", tensor.Edge("z", "y") * (tensor.Feature("target", "z") + 1))
     e = tensor.Sum("y", tensor.Edge("y", "x") * inner) * tensor.Sum("all", tensor.Const(1.0))
     return tensor.evaluate(fx.graph(spark, d), e, complete=True).select("x", rounded(F.col("val")).alias("val"))
+
+
+# ---- the graph operators called from SQL text
+
+
+def _surface(spark, d) -> None:
+    surface.register(spark, fx.graph(spark, d), "g", DIM)
+    fx.seeds(spark, d).createOrReplaceTempView("g_seeds")
+
+
+@query("surface_fetch", sql("nodes", f"SELECT o_orderkey AS pos, o_custkey AS node_id, CAST(k - 1 AS BIGINT) AS dim, {_round('CAST(embedding[k] AS DOUBLE)')} AS h, CAST(label AS BIGINT) AS target FROM orders JOIN embeddings ON vec_id = o_custkey, unnest([1, 64]) u(k)"))
+def surface_fetch(spark, d):
+    _surface(spark, d)
+    fx.table(spark, d, "orders").createOrReplaceTempView("g_requests")
+    out = spark.sql("SELECT r.o_orderkey AS pos, f.node_id, CAST(dim AS BIGINT) AS dim, f.features[dim] AS h, f.target FROM g_requests r JOIN g_fetch() f ON f.node_id = r.o_custkey LATERAL VIEW explode(array(0, 63)) AS dim")
+    return out.withColumn("h", rounded(F.col("h")))
+
+
+@query("surface_sample_2hop", SQL["sample_2hop"])
+def surface_sample_2hop(spark, d):
+    _surface(spark, d)
+    return spark.sql("""
+      WITH one AS (SELECT 1 AS hop, src, dst FROM sample_neighbours(TABLE(SELECT e.dst, e.src FROM g_edges e JOIN g_seeds s ON s.node_id = e.dst), 10, 42, 1)),
+      frontier AS (SELECT DISTINCT src AS node_id FROM one WHERE src NOT IN (SELECT node_id FROM g_seeds)),
+      sliced AS (SELECT dst, src FROM sample_neighbours(TABLE(SELECT e.dst, e.src FROM g_edges e JOIN frontier f ON f.node_id = e.dst), 5, 42, 2, 4))
+      SELECT hop, src, dst FROM one UNION ALL SELECT 2, src, dst FROM sample_neighbours(TABLE(SELECT dst, src FROM sliced), 5, 42, 2)""")
+
+
+@query("surface_mean", SQL["agg_mean"])
+def surface_mean(spark, d):
+    _surface(spark, d)
+    return vec.long_form(spark.sql("SELECT node_id, h FROM g_mean()"), "h")
+
+
+@query("surface_gcn_norm", SQL["agg_gcnnorm"])
+def surface_gcn_norm(spark, d):
+    _surface(spark, d)
+    return vec.long_form(spark.sql("SELECT node_id, h FROM g_gcn_norm()"), "h")
+
+
+@query("surface_gcn_norm_seeds", SQL["agg_gcnnorm"].replace("FROM y", "FROM y WHERE node_id % 25 = 0"))
+def surface_gcn_norm_seeds(spark, d):
+    _surface(spark, d)
+    return vec.long_form(spark.sql("SELECT node_id, h FROM g_gcn_norm() WHERE node_id IN (SELECT node_id FROM g_seeds)"), "h")
+
+
+@query("surface_batches", sql("nodes", "SELECT batch, count(*) AS rows, count(*) = 64 AS complete FROM (SELECT CAST(floor((row_number() OVER (ORDER BY node_id) - 1) / 64) AS BIGINT) AS batch FROM nodes) GROUP BY batch"))
+def surface_batches(spark, d):
+    _surface(spark, d)
+    smp.batches(fx.nodes(spark, d), 64).withColumnRenamed("batch_id", "batch").createOrReplaceTempView("g_batches")
+    return spark.sql("SELECT * FROM check_batches(TABLE(g_batches), 64)")
