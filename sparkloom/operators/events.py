@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.lineage import cut
+from sparkloom.functions.ordered import OrderedGroups
+
 #: Start and end events that are paired by position.
 PAIRS = (("view", "click"), ("click", "purchase"), ("signup", "error"))
 
 
 def numbered(log: DataFrame, events: list[str], by: list[str] | None = None) -> DataFrame:
-    """Rows of these events with their position in the event's order of time."""
-    own = Window.partitionBy(*(by or []), "event").orderBy("time", "event_id")
-    return log.where(F.col("event").isin(events)).withColumn("rn", F.row_number().over(own))
+    """Rows of these events with their position in the event's order of time, within the groups `by`."""
+    rows = log.where(F.col("event").isin(events))
+    if by:
+        return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by, "event").orderBy("time", "event_id")))
+    # an event of a few names can hold any share of the log
+    return OrderedGroups(rows, ["event"], ["time", "event_id"]).positions("rn").withColumn("rn", F.col("rn") + 1)
 
 
 def pair_durations(log: DataFrame, pairs=PAIRS, by: list[str] | None = None) -> DataFrame:
@@ -28,24 +34,45 @@ def pair_durations(log: DataFrame, pairs=PAIRS, by: list[str] | None = None) ->
     return out
 
 
+def _matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys, nulls equal too; the right side's keys are dropped."""
+    same = F.lit(True)
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(right.withColumnsRenamed({c: f"__r_{c}" for c in on}), same, how).drop(*[f"__r_{c}" for c in on])
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(by, q0, q1, ...): exact quantiles with linear interpolation, null values left out.
+
+    The values are numbered in order by ranges, so that no task holds a group; the
+    two values around each rank are then picked by their numbers.
+    """
+    placed = OrderedGroups(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v")), by, ["__v"]).positions("__at")
+    sizes = placed.groupBy(*by).agg((F.max("__at") + 1).alias("__n"))
+    ranks = sizes.select(*by, "__n", F.posexplode(F.array(*[F.lit(float(s)) for s in shares])).alias("__i", "__share"))
+    ranks = ranks.withColumn("__rank", F.col("__share") * (F.col("__n") - 1)).withColumn("__low", F.floor("__rank"))
+    ends = ranks.withColumn("__at", F.explode(F.array_distinct(F.array("__low", F.ceil("__rank")))))
+    above = F.col("__rank") - F.col("__low")
+    ends = ends.select(*by, "__i", "__at", F.when(F.col("__at") == F.col("__low"), 1 - above).otherwise(above).alias("__weight"))
+    found = _matched(ends, placed, [*by, "__at"]).select(*by, "__i", (F.col("__weight") * F.col("__v")).alias("__part"))
+    return found.groupBy(*by).agg(*[F.sum(F.when(F.col("__i") == i, F.col("__part"))).alias(f"q{i}") for i in range(len(shares))])
+
+
 def stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, total, mean, p50, p90, p99 (linear interpolation), least and largest."""
     v = F.col(value)
-    return rows.groupBy(*by).agg(
-        F.count(v).alias("n"),
-        F.sum(v).alias("total"),
-        F.avg(v).alias("mean"),
-        *[F.percentile(v, p / 100).alias(f"p{p}") for p in (50, 90, 99)],
-        F.min(v).alias("least"),
-        F.max(v).alias("largest"),
-    )
-
-
-def best_values(log: DataFrame, by: list[str]) -> DataFrame:
-    """First and last time, last and best (largest) value, and the first time the best was reached."""
+    plain = rows.groupBy(*by).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("largest"))
+    q = quantiles(rows, by, value, [0.5, 0.9, 0.99]).select(*by, F.col("q0").alias("p50"), F.col("q1").alias("p90"), F.col("q2").alias("p99"))
+    return _matched(plain, q, by, "left").select(*by, "n", "total", "mean", "p50", "p90", "p99", "least", "largest")
+
+
+def best_values(log: DataFrame, by: list[str], largest: bool = True) -> DataFrame:
+    """First and last time, last and best value, and the first time the best was reached. The best is the largest, or the least."""
     last = F.max_by("value", F.struct("time", "event_id"))
-    first_best = F.min_by("time", F.struct(-F.col("value"), F.col("time")))
-    return log.groupBy(*by).agg(F.min("time").alias("first_time"), F.max("time").alias("last_time"), last.alias("last_value"), F.max("value").alias("best_value"), first_best.alias("best_time"))
+    first_best = F.min_by("time", F.struct(-F.col("value") if largest else F.col("value"), F.col("time")))
+    best = F.max("value") if largest else F.min("value")
+    return log.groupBy(*by).agg(F.min("time").alias("first_time"), F.max("time").alias("last_time"), last.alias("last_value"), best.alias("best_value"), first_best.alias("best_time"))
 
 
 def throughput(log: DataFrame, by: list[str], epochs: int = 1) -> DataFrame:
@@ -98,10 +125,22 @@ def phase_rates(samples: DataFrame, spans: DataFrame, key: str, bin_seconds: flo
 
 
 def boxcar(rows: DataFrame, by: list[str], width: float) -> DataFrame:
-    """Mean of value within width / 2 of each row's time."""
+    """Mean of value within width / 2 of each row's time, as the difference of two running sums.
+
+    Each row marks its time and the two ends around it; one scan in order of the marks
+    gives the sums at the ends, whatever a group holds. Values are summed in steps of
+    10^-9, so that differences of long sums lose nothing.
+    """
     half = int(width / 2 * 1_000_000)
-    around = Window.partitionBy(*by).orderBy("__us").rangeBetween(-half, half)
-    return rows.withColumn("__us", F.round(F.col("time") * 1_000_000).cast("long")).withColumn("smooth", F.avg("value").over(around)).drop("__us")
+    base = cut(rows.withColumn("__us", F.round(F.col("time") * 1_000_000).cast("long")).withColumn("__row", F.monotonically_increasing_id()))
+    mark = lambda shift, kind: F.struct((F.col("__us") + shift).alias("at"), F.lit(kind).alias("kind"))
+    marks = base.select(*by, "__row", F.col("value").cast("decimal(28,9)").alias("v"), F.explode(F.array(mark(-half, 0), mark(0, 1), mark(half, 2))).alias("m")).select(*by, "__row", "v", "m.at", "m.kind")
+    own = F.col("kind") == 1
+    sums = OrderedGroups(marks, by, ["at", "kind", "__row"]).running(total=F.when(own, F.col("v")), n=F.when(own & F.col("v").isNotNull(), F.lit(1)))
+    signed = lambda c: F.sum(F.when(F.col("kind") == 2, F.col(c)).otherwise(-F.col(c)))
+    ends = sums.where(~own).groupBy("__row").agg(signed("total").alias("__total"), signed("n").alias("__n"))
+    smooth = F.when(F.col("__n") > 0, F.col("__total").cast("double") / F.col("__n"))
+    return base.join(ends, "__row").withColumn("smooth", smooth).drop("__us", "__row", "__total", "__n")
 
 
 def on_grid(rows: DataFrame, by: str, points: int, bins: int = 64) -> DataFrame:
@@ -170,8 +209,7 @@ def ratio_to_baseline(rows: DataFrame, by: list[str], variant: str, baseline: st
 
 def after_warmup(rows: DataFrame, by: list[str], order: str, drop: int) -> DataFrame:
     """Rows without the first `drop` of each group."""
-    own = Window.partitionBy(*by).orderBy(order)
-    return rows.withColumn("__rn", F.row_number().over(own)).where(F.col("__rn") > drop).drop("__rn")
+    return OrderedGroups(rows, by, [order]).positions("__at").where(F.col("__at") >= drop).drop("__at")
 
 
 def early_stop(rows: DataFrame, by: str, order: str, value: str, patience: int, min_delta: float) -> DataFrame:

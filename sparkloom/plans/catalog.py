@@ -870,6 +870,12 @@ def best_value(spark, d):
     return out.select("event", rounded(F.col("first_time")).alias("first_time"), rounded(F.col("last_time")).alias("last_time"), "last_value", "best_value", rounded(F.col("best_time")).alias("best_time"))
 
 
+@query("best_value_min", sql("log", f"SELECT event, {_round('min(time)')} AS first_time, {_round('max(time)')} AS last_time, arg_max(value, (time, event_id)) AS last_value, min(value) AS best_value, {_round('arg_min(time, (value, time))')} AS best_time FROM log GROUP BY event"))
+def best_value_min(spark, d):
+    out = ev.best_values(fx.log(spark, d), ["event"], largest=False)
+    return out.select("event", rounded(F.col("first_time")).alias("first_time"), rounded(F.col("last_time")).alias("last_time"), "last_value", "best_value", rounded(F.col("best_time")).alias("best_time"))
+
+
 @query("throughput", sql("log", f"SELECT event, count(*) AS n, {_round('max(time) - min(time)')} AS runtime, {_round('count(*) * 3.0::DOUBLE / (max(time) - min(time))', 9)} AS throughput FROM log GROUP BY event"))
 def throughput(spark, d):
     return ev.throughput(fx.log(spark, d), ["event"], 3).select("event", "n", rounded(F.col("runtime")).alias("runtime"), rounded(F.col("throughput"), 9).alias("throughput"))
