@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.lineage import cut
+from sparkloom.functions.ordered import OrderedGroups
 from sparkloom.functions.tape import tape, weighted_key
 from sparkloom.graph import PropertyGraph
-from sparkloom.operators.sampling import SEED, top_k
+from sparkloom.operators.adjacency import Adjacency, pick, unit
+from sparkloom.operators.sampling import SEED, dense_index, top_k
 
 
 def roots(nodes: DataFrame, n: int, seed: int = SEED, step: str = "root") -> DataFrame:
@@ -94,19 +98,66 @@ def cluster_members(nodes: DataFrame, clusters: int, chosen: int, seed: int = SE
     return own.join(picked, "cluster_id", "left_semi").select("node_id", "cluster_id")
 
 
+#: Samples of the pilot, and how much more than the pilot suggests is drawn.
+PILOT, MARGIN = 16, 1.25
+
+
+def root_draws(nodes: DataFrame, samples: DataFrame, batch: int, seed: int) -> DataFrame:
+    """(sample, node_id): for each of samples(sample) `batch` different random nodes, all if there are no more.
+
+    Nodes are numbered once; a sample draws 4 batch + 32 numbers and keeps the first
+    different ones. Where the nodes are fewer than four batches, each sample orders
+    them all instead, which is no more rows.
+    """
+    index = cut(dense_index(nodes.select("node_id"), "node_id").select("local_id", "node_id"))
+    n = index.count()
+    if n < 4 * batch:
+        drawn = samples.withColumn("local_id", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0))))).withColumn("turn", tape(seed, "cover", "sample", "local_id"))
+        drawn = drawn if n else drawn.limit(0)
+    else:
+        drawn = samples.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(4 * batch + 32))))
+        drawn = drawn.withColumn("local_id", pick(unit(tape(seed, "cover", "sample", "turn")), F.lit(n))).groupBy("sample", "local_id").agg(F.min("turn").alias("turn"))
+    first = top_k(drawn.withColumn("local_id", F.col("local_id").cast("long")), ["sample"], batch, F.col("turn"), F.col("local_id"))
+    return first.join(index, "local_id").select("sample", "node_id")
+
+
+def sampled_walks(adjacency: Adjacency, nodes: DataFrame, samples: DataFrame, batch: int, length: int, seed: int) -> DataFrame:
+    """(sample, node_id): the different nodes of coalescing walks from each sample's roots. Walkers of a sample that meet go on as one."""
+    now = cut(adjacency.located(root_draws(nodes, samples, batch, seed).withColumnRenamed("node_id", "at"), "at"))
+    seen = now.select("sample", F.col("at").alias("node_id"))
+    slots = adjacency.slots.select(F.col("node").alias("at"), "slot", "to", F.col("degree").alias("onward"))
+    for s in range(1, length + 1):
+        drawn = now.withColumn("slot", pick(unit(tape(seed, s, "sample", "at")), F.col("degree")))
+        moved = drawn.join(slots, ["at", "slot"], "left")
+        now = cut(moved.select("sample", F.coalesce("to", "at").alias("at"), F.coalesce("onward", "degree").alias("degree")).distinct())
+        seen = seen.unionByName(now.select("sample", F.col("at").alias("node_id")))
+    return cut(seen.distinct())
+
+
 def covering_samples(graph: PropertyGraph, batch: int, length: int, coverage: float = 1.0, seed: int = SEED) -> DataFrame:
-    """(sample, node_id): distinct nodes of coalescing walks from `batch` random roots, sample after sample until their sizes add up to `coverage` times the nodes.
+    """(sample, node_id): distinct nodes of coalescing walks from `batch` random roots, the first samples whose sizes add up to `coverage` times the nodes.
 
-    Each sample is written once, as the next one depends on the sum of sizes; only
-    the sizes come to the driver.
+    All samples are drawn in one plan. Their number comes from a pilot of PILOT
+    samples; should its margin not do, as many are drawn as do in any case, since a
+    sample holds its roots at least. So there are three rounds at most, at any size.
     """
-    needed, size, s, out = graph.nodes.count() * coverage, 0, 0, None
-    while out is None or 0 < size < needed:
-        one = walk(graph, roots(graph.nodes, batch, seed + s), length, seed=seed + s, coalesce=True)
-        one = cut(one.select(F.lit(s).alias("sample"), "node_id").distinct())
-        size += one.count()
-        out, s = one if out is None else out.unionByName(one), s + 1
-    return out
+    n = graph.nodes.count()
+    if not n:
+        return graph.nodes.select(F.lit(0).cast("long").alias("sample"), "node_id").limit(0)
+    needed, adjacency = n * coverage, Adjacency.of(graph)
+    enough = max(1, math.ceil(needed / min(batch, n)))
+    numbered = lambda to: graph.nodes.sparkSession.range(to).withColumnRenamed("id", "sample")
+    count = min(PILOT, enough)
+    while True:
+        members = sampled_walks(adjacency, graph.nodes, numbered(count), batch, length, seed)
+        sizes = members.groupBy("sample").agg(F.count("*").alias("n"))
+        drawn = sizes.agg(F.sum("n")).first()[0]
+        if drawn >= needed or count == enough:
+            break
+        count = min(enough, math.ceil(needed / drawn * count * MARGIN) + 4) if count == PILOT else enough
+    upto = OrderedGroups(sizes, [], ["sample"]).running(total=F.col("n"))
+    kept = upto.where(F.col("total") - F.col("n") < needed).select("sample")
+    return members.join(kept, "sample", "left_semi")
 
 
 def node_norm(nodes: DataFrame, samples: DataFrame, n_samples: int) -> DataFrame:

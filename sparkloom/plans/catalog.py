@@ -1249,14 +1249,6 @@ def saint_rw_random(spark, d):
     return walks.walk(g, walks.roots(g.nodes, 60), 2, coalesce=True).select("node_id").distinct()
 
 
-@query("saint_coverage")
-def saint_coverage(spark, d):
-    """Norms from samples that cover the nodes; how many they are shows only while sampling."""
-    g = fx.graph(spark, d)
-    samples = walks.covering_samples(g, 200, 2, 0.5)
-    return walks.node_norm(g.nodes, samples, samples.agg(F.max("sample")).first()[0] + 1)
-
-
 @query("induced_nodes", sql("nodes", "SELECT node_id, split, CAST(target AS BIGINT) AS target, CAST(features[1] AS DOUBLE) AS x0 FROM nodes WHERE split <> 'train'"))
 def induced_nodes(spark, d):
     """The nodes of an induced subgraph keep their properties, isolated ones too."""

@@ -256,3 +256,38 @@ def surface_batches(spark, d):
     _surface(spark, d)
     smp.batches(fx.nodes(spark, d), 64).withColumnRenamed("batch_id", "batch").createOrReplaceTempView("g_batches")
     return spark.sql("SELECT * FROM check_batches(TABLE(g_batches), 64)")
+
+
+# ---- samples until they cover the nodes
+
+
+def _covering_sql(batch: int, length: int, coverage: float, most: int) -> list[str]:
+    """members(sample, node_id) of the first samples whose sizes reach the coverage; `most` samples are drawn. Batches of less than a quarter of the nodes."""
+    out = [
+        "ix AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS i FROM nodes)",
+        "total AS (SELECT count(*) AS n FROM nodes)",
+        f"drawn AS (SELECT sample, i, min(turn) AS turn FROM (SELECT sample, turn, {_pick(_unit(_tape('cover', 'sample', 'turn')), 'n')} AS i FROM total, unnest(CAST(range({most}) AS BIGINT[])) a(sample), unnest(CAST(range(1, {4 * batch + 33}) AS BIGINT[])) b(turn)) GROUP BY sample, i)",
+        f"c0 AS (SELECT sample, node_id FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY turn) AS rn FROM drawn) JOIN ix USING (i) WHERE rn <= {batch})",
+    ]
+    for s in range(1, length + 1):
+        out.append(f"c{s} AS (SELECT DISTINCT w.sample, coalesce(t.dest, w.node_id) AS node_id FROM c{s - 1} w LEFT JOIN (SELECT DISTINCT node, degree FROM slots) n ON n.node = w.node_id LEFT JOIN slots t ON t.node = w.node_id AND t.slot = {_pick(_unit(_tape(s, 'w.sample', 'w.node_id')), 'n.degree')})")
+    return [
+        *out,
+        "every AS (" + " UNION ".join(f"SELECT sample, node_id FROM c{s}" for s in range(length + 1)) + ")",
+        "upto AS (SELECT sample, n, sum(n) OVER (ORDER BY sample) AS total FROM (SELECT sample, count(*) AS n FROM every GROUP BY sample))",
+        f"members AS (SELECT sample, node_id FROM every WHERE sample IN (SELECT sample FROM upto WHERE total - n < {coverage} * (SELECT n FROM total)))",
+    ]
+
+
+@query("saint_coverage", sql("g1 nodes", f"SELECT node_id, {_round('(SELECT max(sample) + 1.0::DOUBLE FROM members) / greatest(CAST(coalesce(c, 0) AS DOUBLE), 0.1::DOUBLE) / (SELECT n FROM total)', 9)} AS norm FROM nodes LEFT JOIN (SELECT node_id, count(*) AS c FROM members GROUP BY node_id) USING (node_id)", SLOTS.format(g="g1"), *_covering_sql(20, 2, 3.0, 80)))
+def saint_coverage(spark, d):
+    """Norms from samples that cover the nodes three times."""
+    g = fx.graph(spark, d)
+    samples = walks.covering_samples(g, 20, 2, 3.0)
+    out = walks.node_norm(g.nodes, samples, samples.agg(F.max("sample")).first()[0] + 1)
+    return out.select("node_id", rounded(F.col("norm"), 9).alias("norm"))
+
+
+@query("saint_covering_samples", sql("g1 nodes", "SELECT sample, node_id FROM members", SLOTS.format(g="g1"), *_covering_sql(20, 2, 3.0, 80)))
+def saint_covering_samples(spark, d):
+    return walks.covering_samples(fx.graph(spark, d), 20, 2, 3.0)
