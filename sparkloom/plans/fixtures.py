@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions.lineage import scratch
 from sparkloom.graph import PropertyGraph, ingest_edges
+from sparkloom.sources.layout import store_graph
 
 #: Features have this many dimensions.
 DIM = 64
@@ -33,6 +35,19 @@ def graph(spark: SparkSession, sf_dir: str, sparse: bool = False) -> PropertyGra
     return PropertyGraph(nodes(spark, sf_dir), raw_edges(spark, sf_dir, sparse).distinct())
 
 
+_stored: dict[tuple, PropertyGraph] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The graph in buckets, stored once in a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stored:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        where = scratch(spark, "graph")
+        _stored[key] = store_graph(graph(spark, sf_dir), "graph_" + where.rpartition("-")[2], where, buckets)
+    return _stored[key]
+
+
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_edges(nodes(spark, sf_dir), raw_edges(spark, sf_dir))
 

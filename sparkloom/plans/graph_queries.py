@@ -11,8 +11,9 @@ from sparkloom.operators import sampling as smp
 from sparkloom.operators import walks
 from sparkloom.plans import fixtures as fx
 from sparkloom.plans import samplers, surface, tensor
-from sparkloom.plans.catalog import SQL, _round, _tape, gcn_sql, linear_sql, out_sql, query, rounded, walk_ctes, weight
+from sparkloom.plans.catalog import SQL, _round, _tape, gcn_spec, gcn_sql, linear_sql, out_sql, query, rounded, walk_ctes, weight
 from sparkloom.plans.fixtures import DIM, sql
+from sparkloom.plans.planner import infer
 
 
 def _unit(h: str, word: int = 0) -> str:
@@ -291,3 +292,26 @@ def saint_coverage(spark, d):
 @query("saint_covering_samples", sql("g1 nodes", "SELECT sample, node_id FROM members", SLOTS.format(g="g1"), *_covering_sql(20, 2, 3.0, 80)))
 def saint_covering_samples(spark, d):
     return walks.covering_samples(fx.graph(spark, d), 20, 2, 3.0)
+
+
+# ---- over the graph stored in buckets
+
+
+@query("stored_sample_2hop", SQL["sample_2hop"])
+def stored_sample_2hop(spark, d):
+    return smp.fanout(fx.stored(spark, d), fx.seeds(spark, d), [10, 5])[1]
+
+
+@query("stored_sample_outgoing", SQL["sample_outgoing"].replace("FROM g2", "FROM g1").replace("g2 AS", "g1 AS").replace(" AND l_orderkey % 40 = 0", ""))
+def stored_sample_outgoing(spark, d):
+    return smp.fanout(fx.stored(spark, d), fx.seeds(spark, d), [4, 3], direction="outgoing")[1]
+
+
+@query("stored_gcn_infer_2hop", SQL["gcn_infer_2hop"])
+def stored_gcn_infer_2hop(spark, d):
+    return vec.long_form(infer(fx.stored(spark, d), fx.seeds(spark, d), gcn_spec()), "h")
+
+
+@query("stored_degrees", SQL["degree_in"])
+def stored_degrees(spark, d):
+    return fx.stored(spark, d).degrees()
