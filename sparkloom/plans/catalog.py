@@ -154,13 +154,14 @@ def seed_partition(spark, d):
     return smp.split_seeds(fx.nodes(spark, d).join(parts, "node_id", "left_semi"), "train", limit=30)
 
 
-@query("seeds_ordered", "SELECT pos, node_id FROM (SELECT CAST(i AS BIGINT) AS pos, CAST((i * 7) % 600 AS BIGINT) AS node_id FROM range(0, 1000) t(i)) WHERE node_id IN (SELECT vec_id FROM embeddings)")
+@query("seeds_ordered", "SELECT pos, node_id FROM (SELECT o_orderkey AS pos, o_custkey AS node_id FROM orders) WHERE node_id IN (SELECT vec_id FROM embeddings)")
 def seeds_ordered(spark, d):
-    return smp.ordered_lookup(_requests(spark), fx.nodes(spark, d))
+    return smp.ordered_lookup(_requests(spark, d), fx.nodes(spark, d))
 
 
-def _requests(spark):
-    return spark.range(1000).select(F.col("id").alias("pos"), ((F.col("id") * 7) % 600).alias("node_id"))
+def _requests(spark, d):
+    """Requests for nodes, some of which don't exist: a customer's for each order."""
+    return fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("node_id"))
 
 
 @query("seed_random_test", sql("nodes", f"SELECT node_id FROM nodes WHERE split = 'test' ORDER BY {_tape('rt', 'node_id', seed=10071)} LIMIT 64"))
@@ -191,9 +192,10 @@ def minibatch_drop_last(spark, d):
     return smp.batches(fx.nodes(spark, d).where("split = 'train'"), 64, drop_last=True)
 
 
-@query("point_lookup", sql("nodes", "SELECT node_id, target FROM nodes WHERE node_id BETWEEN 0 AND 255"))
+@query("point_lookup", sql("nodes", "SELECT node_id, target FROM nodes WHERE node_id IN (SELECT s_suppkey FROM supplier)"))
 def point_lookup(spark, d):
-    ids = spark.range(256).select(F.col("id").alias("node_id"))
+    """The nodes asked for by a table of ids."""
+    ids = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"))
     return fx.nodes(spark, d).join(ids, "node_id").select("node_id", "target")
 
 
@@ -211,23 +213,23 @@ def degree_out_topk(spark, d):
 
 
 @query("fetch_xy", f"""SELECT pos, node_id, {_round('CAST(embedding[1] AS DOUBLE)')} AS x0, {_round('CAST(embedding[64] AS DOUBLE)')} AS x63, CAST(label AS BIGINT) AS target
-FROM (SELECT CAST(i AS BIGINT) AS pos, CAST((i * 7) % 600 AS BIGINT) AS node_id FROM range(0, 1000) t(i)) JOIN embeddings ON vec_id = node_id""")
+FROM (SELECT o_orderkey AS pos, o_custkey AS node_id FROM orders) JOIN embeddings ON vec_id = node_id""")
 def fetch_xy(spark, d):
-    out = feat.fetch(_requests(spark), fx.nodes(spark, d))
+    out = feat.fetch(_requests(spark, d), fx.nodes(spark, d))
     return out.select("pos", "node_id", rounded(F.col("features")[0].cast("double")).alias("x0"), rounded(F.col("features")[63].cast("double")).alias("x63"), F.col("target").cast("long").alias("target"))
 
 
 @query("gather_dense", f"""SELECT pos, node_id, CAST(k - 1 AS BIGINT) AS dim, {_round('coalesce(CAST(embedding[k] AS DOUBLE), 0.0)')} AS h, coalesce(CAST(label AS BIGINT), -1) AS target
-FROM (SELECT CAST(i AS BIGINT) AS pos, CAST((i * 7) % 600 AS BIGINT) AS node_id FROM range(0, 1000) t(i)) LEFT JOIN embeddings ON vec_id = node_id, unnest(range(1, 65)) u(k)""")
+FROM (SELECT o_orderkey AS pos, o_custkey AS node_id FROM orders) LEFT JOIN embeddings ON vec_id = node_id, unnest(range(1, 65)) u(k)""")
 def gather_dense(spark, d):
-    return vec.long_form(feat.gather(_requests(spark), fx.nodes(spark, d), DIM), "h")
+    return vec.long_form(feat.gather(_requests(spark, d), fx.nodes(spark, d), DIM), "h")
 
 
-@query("gather_cached", sql("g1", """SELECT r.pos, r.node_id, h.node_id IS NOT NULL AS hit FROM (SELECT CAST(i AS BIGINT) AS pos, CAST((i * 7) % 600 AS BIGINT) AS node_id FROM range(0, 1000) t(i)) r
+@query("gather_cached", sql("g1", """SELECT r.pos, r.node_id, h.node_id IS NOT NULL AS hit FROM (SELECT o_orderkey AS pos, o_custkey AS node_id FROM orders) r
 LEFT JOIN (SELECT src AS node_id FROM g1 GROUP BY src ORDER BY count(*) DESC, src LIMIT 100) h ON h.node_id = r.node_id"""))
 def gather_cached(spark, d):
     hot = feat.top_out_degree(fx.graph(spark, d), 100)
-    return feat.gather_cached(_requests(spark), hot, fx.nodes(spark, d), DIM).select("pos", "node_id", "hit")
+    return feat.gather_cached(_requests(spark, d), hot, fx.nodes(spark, d), DIM).select("pos", "node_id", "hit")
 
 
 @query("label_encode_sorted", "SELECT event_id AS node_id, dense_rank() OVER (ORDER BY event_type) - 1 AS code FROM events")
@@ -254,14 +256,14 @@ def sample_2hop(spark, d):
     return smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [10, 5])[1]
 
 
-@query("sample_3hop_sparse", sql("g2 seeds", "SELECT hop, src, dst FROM sampled", *sample_ctes("g2", [3, 3, 2])))
+@query("sample_3hop_sparse", sql("g1 seeds", "SELECT hop, src, dst FROM sampled", *sample_ctes("g1", [3, 3, 2])))
 def sample_3hop_sparse(spark, d):
-    return smp.fanout(fx.graph(spark, d, True), fx.seeds(spark, d), [3, 3, 2])[1]
+    return smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [3, 3, 2])[1]
 
 
-@query("sample_takeall", sql("g2 seeds", "SELECT hop, src, dst FROM sampled", *sample_ctes("g2", [-1, -1])))
+@query("sample_takeall", sql("g1 seeds", "SELECT hop, src, dst FROM sampled", *sample_ctes("g1", [-1, -1])))
 def sample_takeall(spark, d):
-    return smp.fanout(fx.graph(spark, d, True), fx.seeds(spark, d), [-1, -1])[1]
+    return smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [-1, -1])[1]
 
 
 @query("sample_nodes_by_hop", sql("g1 seeds", "SELECT node_id, hop FROM visited", *sample_ctes("g1", [10, 5])))
@@ -269,60 +271,60 @@ def sample_nodes_by_hop(spark, d):
     return smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [10, 5])[0]
 
 
-@query("sample_frontier", sql("g2 seeds", "SELECT node_id FROM visited WHERE hop = (SELECT max(hop) FROM visited WHERE hop > 0)", *sample_ctes("g2", [2, 2])))
+@query("sample_frontier", sql("g1 seeds", "SELECT node_id FROM visited WHERE hop = (SELECT max(hop) FROM visited WHERE hop > 0)", *sample_ctes("g1", [2, 2])))
 def sample_frontier(spark, d):
-    return smp.last_frontier(smp.fanout(fx.graph(spark, d, True), fx.seeds(spark, d), [2, 2])[0])
+    return smp.last_frontier(smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [2, 2])[0])
 
 
-@query("sample_expand_revisited", sql("g2 seeds", "SELECT hop, src, dst FROM sampled", *sample_ctes("g2", [4, 3], revisit=True)))
+@query("sample_expand_revisited", sql("g1 seeds", "SELECT hop, src, dst FROM sampled", *sample_ctes("g1", [4, 3], revisit=True)))
 def sample_expand_revisited(spark, d):
-    return smp.fanout(fx.graph(spark, d, True), fx.seeds(spark, d), [4, 3], expand_revisited=True)[1]
+    return smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [4, 3], expand_revisited=True)[1]
 
 
-@query("sample_outgoing", sql("g2 seeds", "SELECT hop, src, dst FROM sampled", "out2 AS (SELECT dst AS src, src AS dst FROM g2)", *sample_ctes("out2", [4, 3])))
+@query("sample_outgoing", sql("g1 seeds", "SELECT hop, src, dst FROM sampled", "out2 AS (SELECT dst AS src, src AS dst FROM g1)", *sample_ctes("out2", [4, 3])))
 def sample_outgoing(spark, d):
-    return smp.fanout(fx.graph(spark, d, True), fx.seeds(spark, d), [4, 3], direction="outgoing")[1]
+    return smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [4, 3], direction="outgoing")[1]
 
 
-@query("sample_undirected", sql("g2 und2 seeds", "SELECT hop, src, dst FROM sampled", *sample_ctes("und2", [4, 3])))
+@query("sample_undirected", sql("g1 und1 seeds", "SELECT hop, src, dst FROM sampled", *sample_ctes("und1", [4, 3])))
 def sample_undirected(spark, d):
-    return smp.fanout(fx.graph(spark, d, True), fx.seeds(spark, d), [4, 3], direction="undirected")[1]
+    return smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [4, 3], direction="undirected")[1]
 
 
-@query("sample_labelled", sql("g2 seeds nodes", "SELECT hop, src, dst FROM sampled", "lab2 AS (SELECT g2.* FROM g2 JOIN nodes ON src = node_id WHERE target % 2 = 0)", *sample_ctes("lab2", [4, 3])))
+@query("sample_labelled", sql("g1 seeds nodes", "SELECT hop, src, dst FROM sampled", "lab2 AS (SELECT g1.* FROM g1 JOIN nodes ON src = node_id WHERE target % 2 = 0)", *sample_ctes("lab2", [4, 3])))
 def sample_labelled(spark, d):
-    g = fx.graph(spark, d, True)
+    g = fx.graph(spark, d)
     g = PropertyGraph(g.nodes.withColumn("label", F.when(F.col("target") % 2 == 0, "even").otherwise("odd")), g.edges)
     return smp.fanout(g, fx.seeds(spark, d), [4, 3], neighbor_label="even")[1]
 
 
-@query("sample_induced", sql("g2 seeds", "SELECT DISTINCT src, dst FROM (SELECT src, dst FROM inn UNION ALL SELECT dst, src FROM inn)", *sample_ctes("g2", [3, 2]),
-    "inn AS (SELECT src, dst FROM g2 WHERE src IN (SELECT node_id FROM visited) AND dst IN (SELECT node_id FROM visited))"))
+@query("sample_induced", sql("g1 seeds", "SELECT DISTINCT src, dst FROM (SELECT src, dst FROM inn UNION ALL SELECT dst, src FROM inn)", *sample_ctes("g1", [3, 2]),
+    "inn AS (SELECT src, dst FROM g1 WHERE src IN (SELECT node_id FROM visited) AND dst IN (SELECT node_id FROM visited))"))
 def sample_induced(spark, d):
-    return smp.induced_sample(fx.graph(spark, d, True), fx.seeds(spark, d), [3, 2])
+    return smp.induced_sample(fx.graph(spark, d), fx.seeds(spark, d), [3, 2])
 
 
-@query("sample_uniform_disjoint", sql("g2 und2 seeds", "SELECT 1 AS hop, root, src, dst FROM d1 UNION ALL SELECT 2, root, src, dst FROM d2",
-    f"d1 AS (SELECT root, src, dst FROM (SELECT s.node_id AS root, e.src, e.dst, row_number() OVER (PARTITION BY s.node_id, e.dst ORDER BY {_tape(1, 's.node_id', 'e.dst', 'e.src')}) AS rn FROM und2 e JOIN seeds s ON e.dst = s.node_id WHERE e.src <> s.node_id) WHERE rn <= 3)",
+@query("sample_uniform_disjoint", sql("g1 und1 seeds", "SELECT 1 AS hop, root, src, dst FROM d1 UNION ALL SELECT 2, root, src, dst FROM d2",
+    f"d1 AS (SELECT root, src, dst FROM (SELECT s.node_id AS root, e.src, e.dst, row_number() OVER (PARTITION BY s.node_id, e.dst ORDER BY {_tape(1, 's.node_id', 'e.dst', 'e.src')}) AS rn FROM und1 e JOIN seeds s ON e.dst = s.node_id WHERE e.src <> s.node_id) WHERE rn <= 3)",
     "w1 AS (SELECT DISTINCT root, src AS node_id FROM d1)",
-    f"d2 AS (SELECT root, src, dst FROM (SELECT w.root, e.src, e.dst, row_number() OVER (PARTITION BY w.root, e.dst ORDER BY {_tape(2, 'w.root', 'e.dst', 'e.src')}) AS rn FROM und2 e JOIN w1 w ON e.dst = w.node_id WHERE e.src <> w.root AND NOT EXISTS (SELECT 1 FROM w1 v WHERE v.root = w.root AND v.node_id = e.src)) WHERE rn <= 2)"))
+    f"d2 AS (SELECT root, src, dst FROM (SELECT w.root, e.src, e.dst, row_number() OVER (PARTITION BY w.root, e.dst ORDER BY {_tape(2, 'w.root', 'e.dst', 'e.src')}) AS rn FROM und1 e JOIN w1 w ON e.dst = w.node_id WHERE e.src <> w.root AND NOT EXISTS (SELECT 1 FROM w1 v WHERE v.root = w.root AND v.node_id = e.src)) WHERE rn <= 2)"))
 def sample_uniform_disjoint(spark, d):
-    return smp.disjoint(fx.graph(spark, d, True), fx.seeds(spark, d), [3, 2])
+    return smp.disjoint(fx.graph(spark, d), fx.seeds(spark, d), [3, 2])
 
 
-@query("sample_replacement", sql("g2 seeds", f"""SELECT k.dst, k.draw, r.src FROM (SELECT dst, n, draw, CAST(floor({_u(_tape('r', 'dst', 'draw'))} * n) AS BIGINT) AS i FROM sizes, unnest(range(1, 6)) t(draw)) k
+@query("sample_replacement", sql("g1 seeds", f"""SELECT k.dst, k.draw, r.src FROM (SELECT dst, n, draw, CAST(floor({_u(_tape('r', 'dst', 'draw'))} * n) AS BIGINT) AS i FROM sizes, unnest(range(1, 6)) t(draw)) k
 JOIN ranked r ON r.dst = k.dst AND r.i = k.i""",
-    "ranked AS (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS i FROM g2 WHERE dst IN (SELECT node_id FROM seeds))", "sizes AS (SELECT dst, count(*) AS n FROM ranked GROUP BY dst)"))
+    "ranked AS (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS i FROM g1 WHERE dst IN (SELECT node_id FROM seeds))", "sizes AS (SELECT dst, count(*) AS n FROM ranked GROUP BY dst)"))
 def sample_replacement(spark, d):
-    return smp.with_replacement(fx.graph(spark, d, True), fx.seeds(spark, d), 5)
+    return smp.with_replacement(fx.graph(spark, d), fx.seeds(spark, d), 5)
 
 
-@query("sample_paths", sql("g2 seeds", "SELECT root, CAST(step - 1 AS BIGINT) AS step, CAST(split_part(used[step], '>', 2) AS BIGINT) AS src, CAST(split_part(used[step], '>', 1) AS BIGINT) AS dst FROM chosen, unnest(range(1, CAST(len(used) + 1 AS BIGINT))) t(step)",
-    "p1 AS (SELECT s.node_id AS root, e.src AS here, [concat_ws('>', e.dst, e.src)] AS used FROM seeds s JOIN g2 e ON e.dst = s.node_id)",
-    "p2 AS (SELECT root, e.src AS here, list_append(used, concat_ws('>', e.dst, e.src)) AS used FROM p1 JOIN g2 e ON e.dst = p1.here WHERE NOT list_contains(used, concat_ws('>', e.dst, e.src)))",
+@query("sample_paths", sql("g1 seeds", "SELECT root, CAST(step - 1 AS BIGINT) AS step, CAST(split_part(used[step], '>', 2) AS BIGINT) AS src, CAST(split_part(used[step], '>', 1) AS BIGINT) AS dst FROM chosen, unnest(range(1, CAST(len(used) + 1 AS BIGINT))) t(step)",
+    "p1 AS (SELECT s.node_id AS root, e.src AS here, [concat_ws('>', e.dst, e.src)] AS used FROM seeds s JOIN g1 e ON e.dst = s.node_id)",
+    "p2 AS (SELECT root, e.src AS here, list_append(used, concat_ws('>', e.dst, e.src)) AS used FROM p1 JOIN g1 e ON e.dst = p1.here WHERE NOT list_contains(used, concat_ws('>', e.dst, e.src)))",
     f"chosen AS (SELECT root, used FROM (SELECT root, used, row_number() OVER (PARTITION BY root ORDER BY {_tape('p', 'root', 'array_to_string(used, chr(124))')}) AS rn FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2)) WHERE rn <= 6)"))
 def sample_paths(spark, d):
-    return smp.paths(fx.graph(spark, d, True), fx.seeds(spark, d), 2, 6)
+    return smp.paths(fx.graph(spark, d), fx.seeds(spark, d), 2, 6)
 
 
 @query("relabel_edge_index", sql("g1 seeds", "SELECT e.hop, e.src, e.dst, a.i AS local_src, b.i AS local_dst FROM sampled e JOIN loc a ON a.node_id = e.src JOIN loc b ON b.node_id = e.dst", *sample_ctes("g1", [10, 5]),
@@ -331,23 +333,23 @@ def relabel_edge_index(spark, d):
     return smp.relabel(*smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [10, 5]))[1].select("hop", "src", "dst", "local_src", "local_dst")
 
 
-@query("remap_isolated_seeds", sql("g2 seeds", "SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS local_id FROM (SELECT src AS node_id FROM sampled UNION SELECT dst FROM sampled UNION SELECT node_id FROM seeds)", *sample_ctes("g2", [2])))
+@query("remap_isolated_seeds", sql("g1 seeds", "SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS local_id FROM (SELECT src AS node_id FROM sampled UNION SELECT dst FROM sampled UNION SELECT node_id FROM seeds)", *sample_ctes("g1", [2])))
 def remap_isolated_seeds(spark, d):
-    edges = smp.fanout(fx.graph(spark, d, True), fx.seeds(spark, d), [2])[1]
+    edges = smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [2])[1]
     return smp.remap_with_seeds(edges.select(F.explode(F.array("src", "dst")).alias("node_id")), fx.seeds(spark, d))
 
 
-@query("induced_subgraph", sql("g2 nodes", "SELECT e.src, e.dst, a.target AS src_target, b.target AS dst_target FROM g2 e JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE src % 3 = 0 AND dst % 3 = 0"))
+@query("induced_subgraph", sql("g1 nodes", "SELECT e.src, e.dst, a.target AS src_target, b.target AS dst_target FROM g1 e JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE a.split = 'train' AND b.split = 'train'"))
 def induced_subgraph(spark, d):
-    g = fx.graph(spark, d, True)
-    g = g.induced(g.nodes.where("node_id % 3 = 0"))
+    g = fx.graph(spark, d)
+    g = g.induced(g.nodes.where("split = 'train'"))
     y = g.nodes.select("node_id", "target")
     return g.edges.join(y.select(F.col("node_id").alias("src"), F.col("target").alias("src_target")), "src").join(y.select(F.col("node_id").alias("dst"), F.col("target").alias("dst_target")), "dst").select("src", "dst", "src_target", "dst_target")
 
 
-@query("sample_agreement", sql("g2 seeds", "SELECT src, dst, 'first' AS side FROM (SELECT src, dst FROM sampled EXCEPT ALL SELECT src, dst FROM g2 WHERE dst IN (SELECT node_id FROM seeds)) UNION ALL SELECT src, dst, 'second' FROM (SELECT src, dst FROM g2 WHERE dst IN (SELECT node_id FROM seeds) EXCEPT ALL SELECT src, dst FROM sampled)", *sample_ctes("g2", [2])))
+@query("sample_agreement", sql("g1 seeds", "SELECT src, dst, 'first' AS side FROM (SELECT src, dst FROM sampled EXCEPT ALL SELECT src, dst FROM g1 WHERE dst IN (SELECT node_id FROM seeds)) UNION ALL SELECT src, dst, 'second' FROM (SELECT src, dst FROM g1 WHERE dst IN (SELECT node_id FROM seeds) EXCEPT ALL SELECT src, dst FROM sampled)", *sample_ctes("g1", [2])))
 def sample_agreement(spark, d):
-    g, s = fx.graph(spark, d, True), fx.seeds(spark, d)
+    g, s = fx.graph(spark, d), fx.seeds(spark, d)
     return smp.agreement(smp.fanout(g, s, [2])[1], smp.fanout(g, s, [-1])[1])
 
 
@@ -791,12 +793,12 @@ def hotset_hits(spark, d):
     return feat.hit_summary(g.edges.select(F.col("src").alias("node_id")), feat.top_out_degree(g, 100).select("node_id"))
 
 
-@query("tiered_lookup", sql("g1", """SELECT r.pos, r.node_id, CASE WHEN h.node_id IS NOT NULL THEN 0 WHEN r.node_id % 3 = 0 THEN 1 ELSE -1 END AS tier FROM (SELECT CAST(i AS BIGINT) AS pos, CAST((i * 7) % 600 AS BIGINT) AS node_id FROM range(0, 1000) t(i)) r
+@query("tiered_lookup", sql("g1 nodes", """SELECT r.pos, r.node_id, CASE WHEN h.node_id IS NOT NULL THEN 0 WHEN r.node_id IN (SELECT node_id FROM nodes WHERE split = 'val') THEN 1 ELSE -1 END AS tier FROM (SELECT o_orderkey AS pos, o_custkey AS node_id FROM orders) r
 LEFT JOIN (SELECT src AS node_id FROM g1 GROUP BY src ORDER BY count(*) DESC, src LIMIT 100) h ON h.node_id = r.node_id"""))
 def tiered_lookup(spark, d):
     hot = feat.top_out_degree(fx.graph(spark, d), 100)
-    warm = spark.range(0, 600, 3).select(F.col("id").alias("node_id"))
-    return feat.tiered(_requests(spark), hot, warm).select("pos", "node_id", F.coalesce("tier", F.lit(-1)).alias("tier"))
+    warm = fx.nodes(spark, d).where("split = 'val'").select("node_id")
+    return feat.tiered(_requests(spark, d), hot, warm).select("pos", "node_id", F.coalesce("tier", F.lit(-1)).alias("tier"))
 
 
 def _lru_sql(requests: str) -> str:
@@ -1135,11 +1137,11 @@ def ztest_edges(spark, d):
     return out.select("edge", rounded(F.col("z")).alias("z"))
 
 
-@query("resumed_load", sql("nodes g2", "SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT dst FROM g2)"))
+@query("resumed_load", sql("nodes", "SELECT node_id FROM nodes WHERE split <> 'train'"))
 def resumed_load(spark, d):
     from sparkloom.sources.readers import missing_features
 
-    done = fx.graph(spark, d, True).edges.select(F.col("dst").alias("node_id"))
+    done = fx.nodes(spark, d).where("split = 'train'").select("node_id")
     return missing_features(fx.nodes(spark, d).select("node_id"), done)
 
 
@@ -1206,12 +1208,12 @@ def label_encode_seen(spark, d):
     return feat.encode_labels_seen(rows, "at")
 
 
-@query("edge_layout", sql("g1", "SELECT dst, count(*) AS n FROM g1 WHERE dst BETWEEN 100 AND 199 GROUP BY dst"))
+@query("edge_layout", sql("g1", "SELECT dst, count(*) AS n FROM g1 WHERE dst < (SELECT count(*) FROM embeddings) / 2 GROUP BY dst"))
 def edge_layout(spark, d):
-    """A range of targets from edges stored in order of them."""
-    place = scratch(spark, "edges")
+    """The lower half of the targets from edges stored in order of them."""
+    place, half = scratch(spark, "edges"), fx.nodes(spark, d).count() / 2
     readers.write_sorted(fx.graph(spark, d).edges, place, "dst")
-    return spark.read.parquet(place).where("dst BETWEEN 100 AND 199").groupBy("dst").agg(F.count("*").alias("n"))
+    return spark.read.parquet(place).where(F.col("dst") < half).groupBy("dst").agg(F.count("*").alias("n"))
 
 
 @query("visit_dump", sql("g1", "SELECT node_id, n FROM ca", _EMBEDS, *_VISITS))
@@ -1222,22 +1224,22 @@ def visit_dump(spark, d):
     return spark.read.schema("node_id long, n long").json(place)
 
 
-@query("float_materialise", sql("nodes g2", f"SELECT node_id, {_round('CAST(features[3] AS DOUBLE)')} AS x2, CAST(len(features) AS BIGINT) AS dims FROM nodes"))
+@query("float_materialise", sql("nodes", f"SELECT node_id, {_round('CAST(features[3] AS DOUBLE)')} AS x2, CAST(len(features) AS BIGINT) AS dims FROM nodes"))
 def float_materialise(spark, d):
-    """Packed features as doubles, resumed from the nodes that are targets in the sparse graph."""
+    """Packed features as doubles, resumed from the training nodes."""
     rows = fx.nodes(spark, d)
-    done = rows.join(fx.graph(spark, d, True).edges.select(F.col("dst").alias("node_id")), "node_id", "left_semi").select("node_id", "features")
+    done = rows.where("split = 'train'").select("node_id", "features")
     out = readers.materialise(rows.select("node_id", vec.pack_floats("features").alias("features")), done)
     return out.select("node_id", rounded(F.col("features")[2]).alias("x2"), F.size("features").cast("long").alias("dims"))
 
 
-@query("cache_contract", sql("x", f"SELECT r.node_id, {_round('CASE WHEN r.node_id = 14 THEN 7.0 WHEN r.node_id = 21 THEN NULL WHEN r.node_id < 300 THEN x.v END')} AS x0 FROM (SELECT DISTINCT CAST((i * 7) % 600 AS BIGINT) AS node_id FROM range(0, 1000) t(i)) r LEFT JOIN (SELECT * FROM x WHERE dim = 0) x ON x.node_id = r.node_id"))
+@query("cache_contract", sql("x", f"SELECT r.node_id, {_round('CASE WHEN r.node_id = 14 THEN 7.0 WHEN r.node_id = 21 THEN NULL ELSE x.v END')} AS x0 FROM (SELECT DISTINCT o_custkey AS node_id FROM orders) r LEFT JOIN (SELECT * FROM x WHERE dim = 0) x ON x.node_id = r.node_id"))
 def cache_contract(spark, d):
     """Rows put in, one replaced, one deleted, and many looked up."""
-    cache = caches.TableCache(spark, _x(spark, d).where("node_id < 300"))
+    cache = caches.TableCache(spark, _x(spark, d))
     cache.set(14, [7.0])
     cache.delete(21)
-    return cache.get_many(_requests(spark)).select("node_id", rounded(F.col("h")[0]).alias("x0"))
+    return cache.get_many(_requests(spark, d)).select("node_id", rounded(F.col("h")[0]).alias("x0"))
 
 
 @query("saint_rw_random", sql("g1 nodes", "SELECT DISTINCT node_id FROM (SELECT here AS node_id FROM c0 UNION ALL SELECT here FROM c1 UNION ALL SELECT here FROM c2)",

@@ -25,7 +25,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_edges(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
     n = table(spark, sf_dir, "embeddings").count()
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0") if sparse else table(spark, sf_dir, "lineitem")
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'") if sparse else table(spark, sf_dir, "lineitem")
     pairs = rows.select((F.col("l_partkey") % n).cast("long").alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_orderkey")) % n).cast("long").alias("dst"))
     return pairs.where("src <> dst")
 
@@ -68,7 +68,7 @@ CTES = {
     "g1": """g1 AS (SELECT DISTINCT CAST(l_partkey % n AS BIGINT) AS src, CAST((l_suppkey * 7 + l_orderkey) % n AS BIGINT) AS dst
   FROM lineitem, (SELECT count(*) AS n FROM embeddings) WHERE l_partkey % n <> (l_suppkey * 7 + l_orderkey) % n)""",
     "g2": """g2 AS (SELECT DISTINCT CAST(l_partkey % n AS BIGINT) AS src, CAST((l_suppkey * 7 + l_orderkey) % n AS BIGINT) AS dst
-  FROM lineitem, (SELECT count(*) AS n FROM embeddings) WHERE l_partkey % n <> (l_suppkey * 7 + l_orderkey) % n AND l_orderkey % 40 = 0)""",
+  FROM lineitem, (SELECT count(*) AS n FROM embeddings) WHERE l_partkey % n <> (l_suppkey * 7 + l_orderkey) % n AND l_returnflag = 'R')""",
     "seeds": "seeds AS (SELECT vec_id AS node_id FROM embeddings WHERE vec_id % 25 = 0)",
     "x": "x AS (SELECT vec_id AS node_id, CAST(d - 1 AS BIGINT) AS dim, CAST(embedding[d] AS DOUBLE) AS v FROM embeddings, unnest(range(1, 65)) t(d))",
     "deg1": "deg1 AS (SELECT vec_id AS node_id, count(src) AS d FROM embeddings LEFT JOIN g1 ON dst = vec_id GROUP BY vec_id)",

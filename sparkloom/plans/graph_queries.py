@@ -302,7 +302,7 @@ def stored_sample_2hop(spark, d):
     return smp.fanout(fx.stored(spark, d), fx.seeds(spark, d), [10, 5])[1]
 
 
-@query("stored_sample_outgoing", SQL["sample_outgoing"].replace("FROM g2", "FROM g1").replace("g2 AS", "g1 AS").replace(" AND l_orderkey % 40 = 0", ""))
+@query("stored_sample_outgoing", SQL["sample_outgoing"])
 def stored_sample_outgoing(spark, d):
     return smp.fanout(fx.stored(spark, d), fx.seeds(spark, d), [4, 3], direction="outgoing")[1]
 

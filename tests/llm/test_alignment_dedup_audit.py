@@ -268,14 +268,22 @@ def test_audit_against_sql(spark, tmp_path, monkeypatch):
     assert as_bag(divergence_audit.op13_source_audit(spark, where), OP13) == want
 
 
-def test_slices_of_transducers_and_small_shards(spark):
+def test_slices_of_transducers_and_small_shards(spark, monkeypatch):
     rows = corpus(random.Random(9))
     docs = divergence_audit._clean(spark.createDataFrame(rows, SCHEMA))
     kept = divergence_audit.kept_terms(docs, 5).checkpoint()
-    one = divergence_audit.recount(docs, divergence_audit.transducers(kept).checkpoint())
-    many = divergence_audit.recount(docs, divergence_audit.transducers(kept, 3).checkpoint(), 3, 900)
-    columns = ["lang", "source", "ordinal", "n"]
-    assert as_bag(one, columns) == as_bag(many, columns) and one.count() > 50
+    flat = lambda x: x.select("lang", "source", "task", "block", F.explode(F.arrays_zip("ordinals", "counts")).alias("c")).select("lang", "source", "task", (F.col("block") * divergence_audit.BLOCK + F.col("c.ordinals")).alias("ordinal"), "c.counts")
+    columns = ["lang", "source", "task", "ordinal", "counts"]
+    one = as_bag(flat(divergence_audit.recount(docs, divergence_audit.transducers(kept).checkpoint())), columns)
+    assert len(one) > 50 and {k[2] for k in one} == {0}
+    # many slices of small shards, merged two tasks at a time
+    monkeypatch.setattr(divergence_audit, "FAN", 2)
+    assert as_bag(flat(divergence_audit.recount(docs, divergence_audit.transducers(kept, 3).checkpoint(), 3, 900)), columns) == one
+    words = Counter()
+    for r in rows:
+        words.update((r[2] or "", r[3] or "", t) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or "")))
+    place = {(r.lang, r.term): r.ordinal for r in kept.collect()}
+    assert {(k[0], k[1], 0, place[k[0], k[2]], n): 1 for k, n in words.items() if (k[0], k[2]) in place} == dict(one)
 
 
 def test_audit_without_terms_and_of_nothing(spark, nothing):
