@@ -115,3 +115,8 @@ def argmax(vector: Column) -> Column:
     """Index of the first largest value; null values are passed over; null for no value."""
     best = F.array_max(vector)
     return F.when(best.isNotNull(), F.array_position(vector, best) - 1)
+
+
+def map_merge(a: Column, b: Column) -> Column:
+    """Both maps in one; a key in both has the second one's value."""
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.lineage import cut
 from sparkloom.graph import PropertyGraph
-from sparkloom.operators.sampling import dense_index
+from sparkloom.operators.aggregate import gcn_norm
+from sparkloom.operators.sampling import SEED, dense_index, fanout
 
 
 def fetch(requests: DataFrame, nodes: DataFrame, *, features: bool = True, labels: bool = True) -> DataFrame:
@@ -42,6 +43,25 @@ def hybrid_bundle(nodes: DataFrame, frontier: DataFrame, aggregated: DataFrame,
     return out.select("node_id", F.when(F.col("__edge"), zeros).otherwise(F.col("h")).alias("h")).join(aggregated.select("node_id", F.col("h").alias("preagg")), "node_id", "left")
 
 
+def sampled_bundle(graph: PropertyGraph, seeds: DataFrame, fanouts: list[int], dim: int, missing_label: int = -1, seed: int = SEED) -> DataFrame:
+    """(node_id, hop, degree, x, preagg, target) of the nodes of a sample: what a model needs whose first layer is aggregated beforehand.
+
+    degree counts sampled edges; x is the raw vector, zeros if absent; preagg is the
+    normalised sum over the sampled edges into the node, for nodes above the last hop
+    that have a vector, else null; target is the label.
+    """
+    nodes, edges = fanout(graph, seeds, fanouts, seed=seed)
+    nodes, edges = cut(nodes), cut(edges)
+    counted = edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("degree"))
+    known = cut(nodes.join(counted, "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))))
+    x = graph.nodes.where(F.col("features").isNotNull()).select("node_id", F.col("features").cast("array<double>").alias("h"))
+    inner = nodes.where(F.col("hop") < len(fanouts)).select("node_id")
+    pre = gcn_norm(edges, x.join(nodes.select("node_id"), "node_id", "left_semi"), known.select("node_id", "degree"), inner, dim)
+    raw = gather(known.select(F.col("node_id").alias("pos"), "node_id"), graph.nodes, dim, missing_label)
+    out = known.join(raw.select("node_id", F.col("h").alias("x"), "target"), "node_id").join(pre.withColumnRenamed("h", "preagg"), "node_id", "left")
+    return out.select("node_id", "hop", "degree", "x", "preagg", "target")
+
+
 def encode_labels(nodes: DataFrame, column: str = "target") -> DataFrame:
     """(node_id, code): dense codes of the sorted distinct labels; null is -1. The distinct labels are numbered, not the rows."""
     codes = dense_index(nodes.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("label")).distinct(), "label").select("label", F.col("local_id").alias("code"))

@@ -134,6 +134,12 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))
 
 
+def order_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(place, first, second): places where two numbered lists of nodes (node_id, local_id) differ; a list that ends earlier gives nulls."""
+    left, right = (x.select(F.col("local_id").alias("place"), F.col("node_id").alias(n)) for x, n in ((a, "first"), (b, "second")))
+    return left.join(right, "place", "full_outer").where(~F.col("first").eqNullSafe(F.col("second")))
+
+
 def split_seeds(nodes: DataFrame, split: str, *, limit: int | None = None, offset: int | None = None, shuffle: bool = False, seed: int = SEED) -> DataFrame:
     """Seeds of a split by id. The limit applies before the offset, so limit - offset rows come back; a shuffle can't have an offset."""
     if split not in ("train", "val", "test", "unknown"):

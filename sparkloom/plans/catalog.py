@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -1155,13 +1156,15 @@ def model_store(spark, d):
     return list_models(spark, folder)
 
 
-@query("gcn_infer_stored", sql("g1 x deg1", "SELECT node_id, count(*) AS dims FROM y GROUP BY node_id", *gcn_ctes("g1", "g1", "deg1", "x", "x", "x")))
+_STORED = [re.sub(r"(\(\([^()]*\) % \d+ - \d\) / 10\.0::DOUBLE)", r"CAST(CAST(\1 AS FLOAT) AS DOUBLE)", x) for x in gcn_ctes("g1", "g1", "deg1", "x", "x", "x")]
+
+
+@query("gcn_infer_stored", sql("g1 x deg1", out_sql("y"), *_STORED))
 def gcn_infer_stored(spark, d):
-    """All nodes by a model that was stored and loaded; values are tested beside, as stored tensors have 32 bits."""
+    """Logits of all nodes by a model that was stored and loaded; stored tensors have 32 bits."""
     folder = scratch(spark, "models")
     save_model(spark, folder, "gcn", gcn_spec())
-    h = infer(fx.graph(spark, d), None, load_model(spark, folder, "gcn"))
-    return h.select("node_id", F.size("h").cast("long").alias("dims"))
+    return vec.long_form(infer(fx.graph(spark, d), None, load_model(spark, folder, "gcn")), "h")
 
 
 @query("gcn_infer_batches", sql("g1 x deg1 seeds", "SELECT node_id, dim, " + _round("v") + " AS h FROM y WHERE node_id IN (SELECT node_id FROM seeds)", *gcn_ctes("g1", "g1", "deg1", "x", "x", "x")))

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from sparkloom.functions import vectors as vec
 from sparkloom.graph import PropertyGraph
 from sparkloom.operators import adjacency as adj
+from sparkloom.operators import aggregate as agg
+from sparkloom.operators import features as feat
 from sparkloom.operators import sampling as smp
 from sparkloom.operators import walks
 from sparkloom.plans import fixtures as fx
-from sparkloom.plans import samplers, surface, tensor
-from sparkloom.plans.catalog import SQL, _round, _tape, gcn_spec, gcn_sql, linear_sql, out_sql, query, rounded, walk_ctes, weight
+from sparkloom.plans import samplers, stack, surface, tensor
+from sparkloom.plans.catalog import SQL, _requests, _round, _tape, gcn_spec, gcn_sql, linear_sql, out_sql, query, rounded, sample_ctes, walk_ctes, weight
 from sparkloom.plans.fixtures import DIM, sql
 from sparkloom.plans.planner import infer
 
@@ -315,3 +317,75 @@ def stored_gcn_infer_2hop(spark, d):
 @query("stored_degrees", SQL["degree_in"])
 def stored_degrees(spark, d):
     return fx.stored(spark, d).degrees()
+
+
+# ---- stacks of layers, first layers aggregated beforehand
+
+
+def _stack() -> tuple[stack.Stack, dict]:
+    t = gcn_spec().tensors
+    names = {"a": "conv_0", "b": "conv_1", "c": "classifier"}
+    return stack.Stack((stack.StackLayer("gcn", 8), stack.StackLayer("gcn", 8)), 10, "both", (10, 5)), {f"{names[k.split('.')[0]]}.{k.split('.')[1]}": v for k, v in t.items()}
+
+
+@query("stack_infer", SQL["gcn_infer_full"])
+def stack_infer(spark, d):
+    model, tensors = _stack()
+    return vec.long_form(infer(fx.graph(spark, d), None, model.spec(tensors)), "h")
+
+
+@query("stack_preaggregated", SQL["gcn_infer_full"])
+def stack_preaggregated(spark, d):
+    """The first aggregation is computed and stored as the nodes' features; the model goes on from there."""
+    g = fx.graph(spark, d)
+    model, tensors = _stack()
+    x = g.nodes.select("node_id", F.col("features").cast("array<double>").alias("h"))
+    before = agg.gcn_norm(g.edges, x, g.degrees(), g.nodes, DIM).withColumnRenamed("h", "features")
+    return vec.long_form(infer(PropertyGraph(before, g.edges), None, model.preaggregated(tensors)), "h")
+
+
+_BUNDLE = ["degs AS (SELECT v.node_id, v.hop, count(s.src) AS d FROM visited v LEFT JOIN sampled s ON s.dst = v.node_id GROUP BY v.node_id, v.hop)", "inn AS (SELECT node_id FROM visited WHERE hop < 2)", f"pre AS ({gcn_sql('sampled', 'degs', 'x', 'inn')})"]
+
+
+@query("sampled_bundle", sql("g1 x seeds", f"SELECT g.node_id, g.hop, g.d AS degree, x.dim, {_round('x.v')} AS x, {_round('p.v')} AS preagg, coalesce(CAST(e.label AS BIGINT), -1) AS target FROM degs g JOIN x ON x.node_id = g.node_id LEFT JOIN pre p ON p.node_id = g.node_id AND p.dim = x.dim LEFT JOIN embeddings e ON e.vec_id = g.node_id", *sample_ctes("g1", [10, 5]), *_BUNDLE))
+def sampled_bundle(spark, d):
+    out = feat.sampled_bundle(fx.graph(spark, d), fx.seeds(spark, d), [10, 5], DIM)
+    rows = out.select("node_id", "hop", "degree", "target", F.posexplode("x").alias("dim", "x"), "preagg")
+    return rows.select("node_id", "hop", "degree", F.col("dim").cast("long").alias("dim"), rounded(F.col("x")).alias("x"), rounded(F.col("preagg")[F.col("dim")]).alias("preagg"), "target")
+
+
+# ---- smaller parts
+
+
+@query("fetch_features_only", sql("nodes", f"SELECT o_orderkey AS pos, o_custkey AS node_id, {_round('CAST(embedding[1] AS DOUBLE)')} AS x0 FROM orders JOIN embeddings ON vec_id = o_custkey WHERE embedding IS NOT NULL"))
+def fetch_features_only(spark, d):
+    return feat.fetch(_requests(spark, d), fx.nodes(spark, d), labels=False).select("pos", "node_id", rounded(F.col("features")[0].cast("double")).alias("x0"))
+
+
+@query("fetch_labels_only", "SELECT o_orderkey AS pos, o_custkey AS node_id, CAST(label AS BIGINT) AS target FROM orders JOIN embeddings ON vec_id = o_custkey")
+def fetch_labels_only(spark, d):
+    return feat.fetch(_requests(spark, d), fx.nodes(spark, d), features=False).select("pos", "node_id", F.col("target").cast("long").alias("target"))
+
+
+@query("fetch_ids_only", "SELECT o_orderkey AS pos, o_custkey AS node_id FROM orders WHERE o_custkey IN (SELECT vec_id FROM embeddings)")
+def fetch_ids_only(spark, d):
+    return feat.fetch(_requests(spark, d), fx.nodes(spark, d), features=False, labels=False)
+
+
+@query("map_merge", """SELECT l_orderkey AS id, CASE WHEN bool_or(l_linestatus = 'F') THEN max(l_partkey) FILTER (WHERE l_linestatus = 'F') ELSE max(l_suppkey) END AS f,
+CASE WHEN bool_or(l_linestatus = 'O') THEN max(l_partkey) FILTER (WHERE l_linestatus = 'O') ELSE NULL END AS o, max(l_suppkey) AS rest FROM lineitem GROUP BY l_orderkey""")
+def map_merge(spark, d):
+    """Maps with the keys F (and rest), and by line status; the second one's values win."""
+    rows = fx.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), "l_linestatus").agg(F.max("l_partkey").alias("v"), F.max("l_suppkey").alias("s"))
+    maps = rows.groupBy("id").agg(F.create_map(F.lit("F"), F.max("s"), F.lit("rest"), F.max("s")).alias("a"), F.map_from_entries(F.collect_list(F.struct("l_linestatus", "v"))).alias("b"))
+    m = vec.map_merge(F.col("a"), F.col("b"))
+    return maps.select("id", F.try_element_at(m, F.lit("F")).alias("f"), F.try_element_at(m, F.lit("O")).alias("o"), F.try_element_at(m, F.lit("rest")).alias("rest"))
+
+
+@query("sample_order_agreement", sql("g1 seeds", "SELECT coalesce(a.i, b.i) AS place, a.node_id AS first, b.node_id AS second FROM la a FULL JOIN lb b ON a.i = b.i WHERE a.node_id IS DISTINCT FROM b.node_id", *sample_ctes("g1", [4, 3]),
+    "la AS (SELECT node_id, row_number() OVER (ORDER BY hop, node_id) - 1 AS i FROM visited)", "lb AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS i FROM (SELECT src AS node_id FROM sampled UNION SELECT dst FROM sampled UNION SELECT node_id FROM seeds))"))
+def sample_order_agreement(spark, d):
+    """A sample's nodes in order of hops against the same nodes in order of ids."""
+    nodes, edges = smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [4, 3])
+    by_id = smp.remap_with_seeds(edges.select(F.explode(F.array("src", "dst")).alias("node_id")), fx.seeds(spark, d))
+    return smp.order_agreement(smp.relabel(nodes, edges)[0], by_id)
