@@ -15,7 +15,7 @@ from sparkloom.functions.lineage import cut
 from sparkloom.functions.ordered import OrderedGroups
 from sparkloom.functions.tape import tape
 from sparkloom.graph import PropertyGraph
-from sparkloom.operators.sampling import SEED
+from sparkloom.operators.sampling import SEED, top_k
 
 
 def unit(hexes: Column, word: int = 0) -> Column:
@@ -143,3 +143,47 @@ def weighted_walk(table: AliasTable, start: DataFrame, length: int, seed: int =
         now = cut(moved.select("walker", F.coalesce(to, "at").alias("at")))
         steps = steps.unionByName(now.select("walker", F.lit(s).alias("step"), F.col("at").alias("node_id")))
     return steps
+
+
+def counted_paths(graph: PropertyGraph, seeds: DataFrame, hops: int, limit: int, seed: int = SEED) -> DataFrame:
+    """(root, draw, step, src, dst): edges of up to `limit` random paths of 1 to `hops` edges into each seed, no path twice and no edge twice in a path.
+
+    No path is listed before it is drawn: sums from the ends backwards give the number
+    of walks of each length that go on from a node, a draw is a number below their
+    total, and each step finds the neighbour whose stretch of numbers it falls in, by
+    one scan over the neighbours of nodes that draws are at. 2 limit + 8 numbers are
+    drawn (all, where there are no more), and walks that repeat an edge are left out,
+    which leaves all paths equally likely. Counts must be below 2^63.
+    """
+    view = cut(graph.view().select(F.col("dst").alias("at"), F.col("src").alias("to")))
+    ends, stretches = None, None
+    for length in range(1, hops + 1):
+        onward = view.withColumn("n", F.lit(1).cast("long")) if ends is None else view.join(ends.withColumnRenamed("at", "to"), "to")
+        upto = cut(OrderedGroups(onward.select("at", "to", "n"), ["at"], ["to"]).running(upto=F.col("n")).withColumn("left", F.lit(length)))
+        stretches = upto if stretches is None else stretches.unionByName(upto)
+        ends = upto.groupBy("at").agg(F.sum("n").alias("n"))
+    roots = seeds.select(F.col("node_id").alias("root")).distinct()
+    totals = stretches.groupBy(F.col("at").alias("root"), "left").agg(F.sum("n").alias("n")).join(roots, "root", "left_semi")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("root").orderBy("left").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lengths = cut(totals.withColumn("first", before))
+    drawn, wanted = lengths.groupBy("root").agg(F.sum("n").alias("total")), 2 * limit + 8
+    every = F.sequence(F.lit(0).cast("long"), F.least("total", F.lit(wanted)) - 1)
+    rank = F.when(F.col("total") <= wanted, F.col("i")).otherwise(pick(unit(tape(seed, "paths", "root", "i")), F.col("total")))
+    drawn = drawn.withColumn("i", F.explode(every)).withColumn("rank", rank).groupBy("root", "rank").agg(F.min("i").alias("draw"))
+    # where all are taken, the order of the draws is drawn
+    turn = tape(seed, "turn", "root", "rank")
+    now = drawn.join(lengths, "root").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    now = cut(now.select("root", "draw", turn.alias("turn"), F.col("root").alias("at"), "left", (F.col("rank") - F.col("first")).alias("rank")))
+    out = None
+    for step in range(hops):
+        own = stretches.join(now.select("left", "at").distinct(), ["left", "at"], "left_semi")
+        ask = now.select("left", "at", F.col("rank").alias("place"), F.lit(1).alias("kind"), F.struct("root", "draw", "turn").alias("who"), F.lit(None).cast("struct<to:long,first:long>").alias("hit"))
+        marks = own.select("left", "at", F.col("upto").alias("place"), F.lit(0).alias("kind"), F.lit(None).cast(ask.schema["who"].dataType).alias("who"), F.struct("to", (F.col("upto") - F.col("n")).alias("first")).alias("hit"))
+        met = OrderedGroups(marks.unionByName(ask), ["left", "at"], ["place", "kind"]).following(found=F.col("hit")).where("kind = 1")
+        moved = cut(met.select("who.*", "at", "left", F.col("found.to").alias("to"), (F.col("place") - F.col("found.first")).alias("rank")))
+        one = moved.select("root", "draw", "turn", F.lit(step).cast("long").alias("step"), F.col("to").alias("src"), F.col("at").alias("dst"))
+        out = one if out is None else out.unionByName(one)
+        now = moved.where("left > 1").select("root", "draw", "turn", F.col("to").alias("at"), (F.col("left") - 1).alias("left"), "rank")
+    whole = out.groupBy("root", "draw", "turn").agg(F.count("*").alias("n"), F.count_distinct("src", "dst").alias("edges")).where("n = edges")
+    chosen = top_k(whole, ["root"], limit, "turn", "draw").select("root", "draw")
+    return out.join(chosen, ["root", "draw"], "left_semi").select("root", "draw", "step", "src", "dst")

@@ -389,3 +389,15 @@ def sample_order_agreement(spark, d):
     nodes, edges = smp.fanout(fx.graph(spark, d), fx.seeds(spark, d), [4, 3])
     by_id = smp.remap_with_seeds(edges.select(F.explode(F.array("src", "dst")).alias("node_id")), fx.seeds(spark, d))
     return smp.order_agreement(smp.relabel(nodes, edges)[0], by_id)
+
+
+# ---- paths drawn by their numbers
+
+
+@query("counted_paths", sql("g1 seeds", "SELECT root, draw, 0 AS step, s1 AS src, root AS dst FROM chosen UNION ALL SELECT root, draw, 1, s2, s1 FROM chosen WHERE s2 IS NOT NULL",
+    "p AS (SELECT s.node_id AS root, 1 AS left_, a.src AS s1, CAST(NULL AS BIGINT) AS s2 FROM seeds s JOIN g1 a ON a.dst = s.node_id UNION ALL SELECT s.node_id, 2, a.src, b.src FROM seeds s JOIN g1 a ON a.dst = s.node_id JOIN g1 b ON b.dst = a.src)",
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY left_, s1, s2) - 1 AS rank, count(*) OVER (PARTITION BY root) AS total FROM p)",
+    f"draws AS (SELECT root, rank, min(i) AS draw FROM (SELECT root, i, CASE WHEN total <= 20 THEN i ELSE {_pick(_unit(_tape('paths', 'root', 'i')), 'total')} END AS rank FROM (SELECT DISTINCT root, total FROM ranked), unnest(CAST(range(20) AS BIGINT[])) t(i) WHERE i < total) GROUP BY root, rank)",
+    f"chosen AS (SELECT * FROM (SELECT d.root, d.draw, r.s1, r.s2, row_number() OVER (PARTITION BY d.root ORDER BY {_tape('turn', 'd.root', 'd.rank')}, d.draw) AS rn FROM draws d JOIN ranked r ON r.root = d.root AND r.rank = d.rank) WHERE rn <= 6)"))
+def counted_paths(spark, d):
+    return adj.counted_paths(fx.graph(spark, d), fx.seeds(spark, d), 2, 6)

@@ -148,3 +148,31 @@ def test_replaced_draws_are_bounded(graph):
         adj.replaced(adj.Adjacency.of(graph), graph.nodes, [0])
     found = adj.replaced(adj.Adjacency.of(graph), graph.nodes.where("node_id IN (7, 13)"), [5, 2]).collect()
     assert Counter((r.hop, r.dst) for r in found if r.hop == 1) == {(1, 7): 5}
+
+
+def test_counted_paths_are_all_paths_where_the_limit_allows(spark):
+    edges = [(1, 0), (2, 0), (0, 1), (2, 1), (3, 2), (1, 3), (4, 9)]
+    graph = PropertyGraph(spark.range(10).withColumnRenamed("id", "node_id"), spark.createDataFrame(edges, "src long, dst long"))
+    seeds = spark.createDataFrame([(0,), (5,), (9,)], "node_id long")
+    into = defaultdict(list)
+    for a, b in edges:
+        into[b].append(a)
+
+    def paths(at, used, left):
+        for a in into[at]:
+            if (a, at) not in used:
+                yield (*used, (a, at))
+                if left > 1:
+                    yield from paths(a, (*used, (a, at)), left - 1)
+
+    def found(limit):
+        rows = defaultdict(dict)
+        for r in adj.counted_paths(graph, seeds, 4, limit).collect():
+            rows[r.root, r.draw][r.step] = (r.src, r.dst)
+        return [(root, tuple(steps[i] for i in range(len(steps)))) for (root, _), steps in rows.items()]
+
+    want = {(r, p) for r in (0, 5, 9) for p in paths(r, (), 4)}
+    whole = found(1000)
+    assert len(whole) == len(set(whole)) and set(whole) == want
+    few = found(3)
+    assert set(few) <= want and Counter(r for r, _ in few) == {0: 3, 9: 1}
