@@ -5,8 +5,10 @@ SHARD terms. Each shard becomes a minimal acyclic transducer: built from its sor
 terms, states with the same continuations being one state, every transition carrying
 the number of terms that come before those it leads to, so that the sum along a term's
 path is its ordinal in UTF-8 order. Texts are streamed through the transducers to count
-terms by source, and ordinals stand for terms from then on: counts are dealt by blocks
-of ordinals, ties are broken by ordinals, and only what is reported gets its term back.
+terms by source, and ordinals stand for terms from then on: a task gives its counts as
+arrays, one for each block of ordinals, which are merged FAN tasks at a time until one
+is left, so that no group grows with the number of tasks; ties are broken by ordinals,
+and only what is reported gets its term back.
 
 Transducers are sent to the workers in slices of at most SLICE_BYTES, measured; texts
 are read once for a slice, so that memory is bounded whatever the vocabulary is.
@@ -30,6 +32,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +42,12 @@ from sparkloom.operators.sampling import dense_index
 #: A term is a run of ASCII letters and characters outside ASCII.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 LEAST_DOCS, SCALE, PRIOR, TOP = 10, 1_000_000_000, 2, 10
-#: Terms of a transducer, bytes of transducers that a worker holds, distinct terms that it counts between two outputs.
-SHARD, SLICE_BYTES, MOST_TERMS = 131_072, 64_000_000, 200_000
-#: Ordinals of a block, and cells of the matrix (sources, ordinals) that is held at a time.
-BLOCK, CELLS = 512, 1_000_000
+#: Terms of a transducer, and bytes of transducers that a worker holds.
+SHARD, SLICE_BYTES = 131_072, 64_000_000
+#: Distinct terms that a worker counts before it looks at them together, terms whose ordinals it remembers, and sums that it holds before it gives them out.
+MOST_TERMS, MOST_KNOWN, MOST_SUMS = 300_000, 600_000, 2_000_000
+#: Ordinals of a block, cells of the matrix (sources, ordinals) that is held at a time, and tasks whose counts of a block are merged at a time.
+BLOCK, CELLS, FAN = 2048, 1_000_000, 256
 #: Groups up to this number are broadcast, some 60 bytes each.
 MAX_BROADCAST_GROUPS = 50_000
 
@@ -146,7 +151,7 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, found in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.binary()).cast(pa.string()), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "term", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang.decode(), len(found)), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "term", "docs"])
             held.clear()
 
         for batch in batches:
@@ -172,8 +177,11 @@ def transducers(vocabulary: DataFrame, shard: int = SHARD) -> DataFrame:
     return vocabulary.withColumn("shard", F.floor(F.col("ordinal") / shard).cast("long")).groupBy("lang", "shard").applyInArrow(build, "lang string, shard long, machine binary")
 
 
+_COUNTS = "task int, lang string, source string, block long, total long, ordinals array<int>, counts array<long>"
+
+
 def recount(docs: DataFrame, machines: DataFrame, shard: int = SHARD, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """(lang, source, ordinal, n): how often each kept term occurs in a group, from streaming the texts through the transducers."""
+    """(task 0, lang, source, block, total, ordinals, counts): how often the kept terms of a block occur in a group, from streaming the texts through the transducers. Ordinals are places in the block."""
     spark = docs.sparkSession
     sizes = [tuple(r) for r in machines.select("lang", "shard", F.length("machine")).collect()]  # a row for each transducer
     slices, room = [[]], slice_bytes
@@ -193,34 +201,90 @@ def recount(docs: DataFrame, machines: DataFrame, shard: int = SHARD, slice_byte
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    return out.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))
+    tasks = 1 + (out := out.checkpoint()).agg(F.coalesce(F.max("task"), F.lit(0))).first()[0]
+    while True:
+        tasks = -(-tasks // FAN)
+        out = out.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("lang", "source", "block", "task").applyInArrow(_summed, _COUNTS)
+        if tasks == 1:
+            return out
+        out = out.checkpoint()
+
+
+def _arrays(ordinals: np.ndarray, counts: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """total, ordinals and counts of the stretches between places `at`."""
+    offsets = pa.array(at, pa.int32())
+    totals = np.diff(np.concatenate([[0], np.cumsum(counts)])[at])
+    return [pa.array(totals, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ordinals, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))]
+
+
+def _summed(key: tuple, table: pa.Table) -> pa.Table:
+    n = np.zeros(BLOCK, np.int64)
+    np.add.at(n, table.column("ordinals").combine_chunks().flatten().to_numpy(), table.column("counts").combine_chunks().flatten().to_numpy())
+    some = np.flatnonzero(n)
+    lang, source, block, task = key
+    names = [pa.array([x.as_py()], t) for x, t in ((task, pa.int32()), (lang, pa.string()), (source, pa.string()), (block, pa.int64()))]
+    return pa.Table.from_arrays([*names, *_arrays(some, n[some], np.array([0, len(some)]))], names=_NAMES)
+
+
+_NAMES = [x.split()[0] for x in _COUNTS.split(", ")]
 
 
 def _streamed(docs: DataFrame, sent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = {lang: [(first, Transducer.from_bytes(raw)) for first, raw in found] for lang, found in sent.value.items()}
+        known: dict[bytes, dict[bytes, int]] = {lang: {} for lang in machines}
         held: dict[tuple, Counter] = {}
+        sums: dict[tuple, list] = {}
+        task = TaskContext.get().partitionId()
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def look_up() -> None:
+            """Counted terms become sums by ordinal. A term goes through the transducers once, while it is remembered."""
             for (lang, source), found in held.items():
-                terms, n = list(found), np.fromiter(found.values(), np.int64, len(found))
+                own = known[lang]
+                if len(own) > MOST_KNOWN:
+                    own.clear()
+                fresh = [t for t in found if t not in own]
+                at = np.full(len(fresh), -1, np.int64)
                 for first, machine in machines[lang]:
-                    at = machine.ordinals(terms)
-                    some = np.flatnonzero(at >= 0)
-                    if len(some):
-                        names = [pa.array([x] * len(some), pa.binary()).cast(pa.string()) for x in (lang, source)]
-                        yield pa.RecordBatch.from_arrays([*names, pa.array(at[some] + first), pa.array(n[some])], names=["lang", "source", "ordinal", "n"])
+                    place = machine.ordinals(fresh)
+                    at[place >= 0] = place[place >= 0] + first
+                own.update(zip(fresh, at.tolist(), strict=True))
+                at = np.fromiter(map(own.__getitem__, found), np.int64, len(found))
+                n = np.fromiter(found.values(), np.int64, len(found))
+                sums.setdefault((lang, source), []).append((at[at >= 0], n[at >= 0]))
             held.clear()
 
+        def merge() -> int:
+            for group, parts in sums.items():
+                if len(parts) > 1 or not (np.diff(parts[0][0]) > 0).all():
+                    at, place = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True)
+                    n = np.zeros(len(at), np.int64)
+                    np.add.at(n, place, np.concatenate([n for _, n in parts]))
+                    sums[group] = [(at, n)]
+            return sum(len(parts[0][0]) for parts in sums.values())
+
+        def give() -> Iterator[pa.RecordBatch]:
+            merge()
+            for (lang, source), parts in sums.items():
+                at, n = parts[0]
+                block = at // BLOCK
+                begin = np.flatnonzero(np.concatenate([[True], np.diff(block) > 0])) if len(at) else np.zeros(0, np.int64)
+                names = [pa.array(np.full(len(begin), task, np.int32)), *[pa.repeat(x.decode(), len(begin)) for x in (lang, source)], pa.array(block[begin])]
+                yield pa.RecordBatch.from_arrays([*names, *_arrays(at % BLOCK, n, np.append(begin, len(at)))], names=_NAMES)
+            sums.clear()
+
         for batch in batches:
             for lang, source, text in _rows(batch):
                 if lang in machines:
                     held.setdefault((lang, source), Counter()).update(TERM.findall(text.lower()))
                     if sum(map(len, held.values())) > MOST_TERMS:
-                        yield from flush()
-        yield from flush()
+                        look_up()
+                        if merge() > MOST_SUMS:
+                            yield from give()
+        look_up()
+        yield from give()
 
-    return docs.mapInArrow(run, "lang string, source string, ordinal long, n long")
+    return docs.mapInArrow(run, _COUNTS)
 
 
 def smoothed(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -238,19 +302,20 @@ def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _block(key: tuple, table: pa.Table) -> pa.Table:
-    """Rows of a block of ordinals: a group's total and the language's number of terms (ordinal null), and counts. Gives parts of the pairs' sums, and each group's TOP terms of the block."""
+    """Rows of a block of ordinals: each group's total and the language's number of terms (no arrays), and its counts. Gives parts of the pairs' sums, and each group's TOP terms of the block."""
     lang = key[0].as_py()
-    side = table.filter(pc.is_null(table.column("ordinal")))
+    side = table.filter(pc.is_null(table.column("ordinals")))
     order = np.argsort(np.array([s.encode() for s in side.column("source").to_pylist()], dtype=object), kind="stable")
     names = [side.column("source")[int(i)].as_py() for i in order]
     total, vocabulary = side.column("total").to_numpy()[order].astype(np.int64), int(side.column("terms")[0].as_py())
     if int(total.sum()) + PRIOR * vocabulary >= 9 * 10**15:
         raise ValueError("too many terms for exact 64-bit arithmetic")
     at = {s: i for i, s in enumerate(names)}
-    cells = table.filter(pc.is_valid(table.column("ordinal")))
-    row = np.array([at[s] for s in cells.column("source").to_pylist()], np.int64)
-    ordinal, n = cells.column("ordinal").to_numpy().astype(np.int64), cells.column("n").to_numpy().astype(np.int64)
+    cells = table.filter(pc.is_valid(table.column("ordinals")))
     base, end = key[1].as_py() * BLOCK, min((key[1].as_py() + 1) * BLOCK, vocabulary)
+    row = np.repeat(np.array([at[s] for s in cells.column("source").to_pylist()], np.int64), pc.list_value_length(cells.column("ordinals")).to_numpy())
+    ordinal, n = (cells.column(c).combine_chunks().flatten().to_numpy() for c in ("ordinals", "counts"))
+    ordinal = ordinal.astype(np.int64) + base
     sums = np.zeros((len(names), len(names)), np.int64)
     best: list[list[tuple]] = [[] for _ in names]
     width = max(1, CELLS // len(names))
@@ -286,14 +351,14 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     vocabulary = kept_terms(docs, least).checkpoint()
     counts = recount(docs, transducers(vocabulary).checkpoint()).checkpoint()
     terms = vocabulary.groupBy("lang").agg(F.count("*").alias("terms"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = counts.groupBy("lang", "source").agg(F.sum("total").alias("total"))
     groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(terms, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms")).checkpoint()
     small = groups.count() <= MAX_BROADCAST_GROUPS
     blocks = vocabulary.select("lang", F.floor(F.col("ordinal") / BLOCK).cast("long").alias("block")).distinct()
-    none = F.lit(None).cast("long")
-    sides = blocks.join(F.broadcast(groups) if small else groups, "lang").select("lang", "block", "source", "total", "terms", none.alias("ordinal"), none.alias("n"))
-    cells = counts.select("lang", F.floor(F.col("ordinal") / BLOCK).cast("long").alias("block"), "source", none.alias("total"), none.alias("terms"), "ordinal", "n")
+    none = F.lit(None)
+    sides = blocks.join(F.broadcast(groups) if small else groups, "lang").select("lang", "block", "source", "total", "terms", none.cast("array<int>").alias("ordinals"), none.cast("array<long>").alias("counts"))
+    cells = counts.select("lang", "block", "source", "total", none.cast("long").alias("terms"), "ordinals", "counts")
     found = sides.unionByName(cells).groupBy("lang", "block").applyInArrow(_block, "lang string, source string, other string, ordinal long, value long").checkpoint()
 
     sums = found.where("other IS NOT NULL").groupBy("lang", "source", "other").agg(F.sum("value").alias("value"))
