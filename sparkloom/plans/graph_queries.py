@@ -8,6 +8,7 @@ from sparkloom.functions import vectors as vec
 from sparkloom.graph import PropertyGraph
 from sparkloom.operators import adjacency as adj
 from sparkloom.operators import aggregate as agg
+from sparkloom.operators import blocks
 from sparkloom.operators import features as feat
 from sparkloom.operators import sampling as smp
 from sparkloom.operators import walks
@@ -401,3 +402,22 @@ def sample_order_agreement(spark, d):
     f"chosen AS (SELECT * FROM (SELECT d.root, d.draw, r.s1, r.s2, row_number() OVER (PARTITION BY d.root ORDER BY {_tape('turn', 'd.root', 'd.rank')}, d.draw) AS rn FROM draws d JOIN ranked r ON r.root = d.root AND r.rank = d.rank) WHERE rn <= 6)"))
 def counted_paths(spark, d):
     return adj.counted_paths(fx.graph(spark, d), fx.seeds(spark, d), 2, 6)
+
+
+# ---- aggregation by blocks
+
+
+@query("block_mean", SQL["agg_mean"])
+def block_mean(spark, d):
+    g = fx.graph(spark, d)
+    return vec.long_form(blocks.mean_or_self(g.edges, _vectors(g), g.nodes, DIM, (3, 2)), "h")
+
+
+@query("block_gcn_norm", SQL["agg_gcnnorm"])
+def block_gcn_norm(spark, d):
+    g = fx.graph(spark, d)
+    return vec.long_form(blocks.gcn_norm(g.edges, _vectors(g), g.degrees(), g.nodes, DIM), "h")
+
+
+def _vectors(g: PropertyGraph):
+    return g.nodes.select("node_id", F.col("features").cast("array<double>").alias("h"))
