@@ -7,14 +7,16 @@ single water level: target = least(clamp, level * weight).
 
 The documents of a source are all taken floor(target / size) times; the rest of
 the target is met by one more repetition of a seeded choice of documents. The
-choice orders documents by a hash of the id (4,096 bins) and takes the prefix of
-bins whose size comes nearest to the rest. One aggregation over (source, bin)
+choice orders documents by a hash of the id and the text (4,096 bins) and takes the
+prefix of bins whose size comes nearest to the rest. One aggregation over (source, bin)
 with map-side combining gives both the sizes and the prefix, so that a source
 holding most of the rows costs no more than 4,096 rows per task.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the
-last; a null id is hashed like the text "null"; repeated rows share a bin and are
-taken alike; an empty table gives an empty result. Columns whose names begin
+last; a null id is hashed like the text "null", with the document's text; rows that
+share id, text and source are numbered, in ranges, so that each has a bin of its own
+and a target is met whatever share of a source they are; a very long text is one
+document, taken whole or not; an empty table gives an empty result. Columns whose names begin
 with `__mix_` are reserved; all others, whatever their names, pass through.
 """
 
@@ -23,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import word_count
+from sparkloom.functions.ordered import OrderedGroups
+from sparkloom.llm.common import shared_dir, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -33,10 +36,25 @@ SEED = 17
 MAX_BROADCAST_SOURCES = 100_000
 
 
-def hash_bin(doc_id: Column, seed: int) -> Column:
+def row_key(doc_id: Column, text: Column, source: Column) -> Column:
+    """What tells rows apart, up to equal ones: id, text and source."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")).cast("binary")), F.coalesce(source.cast("string"), F.lit("")))
+
+
+def hash_bin(key: Column, nth: Column, seed: int) -> Column:
     """12 bits of md5, the same in any SQL engine."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 3), 16, 10).cast("int")
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key, nth.cast("string")).cast("binary")), 1, 3), 16, 10).cast("int")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs`, which have a __mix_key, with __mix_nth: 0, and 0, 1, ... among rows of one key. Only those are moved, and no task holds a key."""
+    again = docs.groupBy("__mix_key").agg(F.count("*").alias("__mix_n")).where("__mix_n > 1").select("__mix_key").checkpoint()
+    if again.isEmpty():
+        return docs.withColumn("__mix_nth", F.lit(0).cast("long"))
+    rows = docs.join(again, "__mix_key", "left_semi").withColumn("__mix_row", F.monotonically_increasing_id())
+    same = OrderedGroups(rows, ["__mix_key"], ["__mix_row"]).positions("__mix_nth").drop("__mix_row")
+    once = docs.join(again, "__mix_key", "left_anti").withColumn("__mix_nth", F.lit(0).cast("long"))
+    return once.unionByName(same)
 
 
 def source_plan(bins: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -85,7 +103,9 @@ def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     of it are fetched, and broadcast if that is all of it.
     """
     spark = docs.sparkSession
-    sized = docs.withColumn("__mix_size", word_count(F.col(text_col))).withColumn("__mix_bin", hash_bin(F.col(id_col), seed))
+    shared_dir(spark)
+    keyed = docs.withColumn("__mix_size", word_count(F.col(text_col))).withColumn("__mix_key", row_key(F.col(id_col), F.col(text_col), F.col(source_col)))
+    sized = numbered(keyed).withColumn("__mix_bin", hash_bin(F.col("__mix_key"), F.col("__mix_nth"), seed)).drop("__mix_key", "__mix_nth")
     bins = sized.groupBy(F.col(source_col).cast("string").alias("source"), F.col("__mix_bin").alias("bin")).agg(F.sum("__mix_size").alias("words"))
     plan = source_plan(bins, weights, share, max_epochs)
     found = plan.limit(MAX_BROADCAST_SOURCES + 1).collect()
@@ -115,8 +135,8 @@ def op8_mix(spark, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 3) AS INTEGER) AS bin
-  FROM documents),
+         CAST('0x' || substr(md5(concat_ws(':', '17', k, CAST(row_number() OVER (PARTITION BY k) - 1 AS VARCHAR))), 1, 3) AS INTEGER) AS bin
+  FROM (SELECT *, concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), 'null'), md5(coalesce(text, '')), coalesce(source, '')) AS k FROM documents)),
 bins AS (SELECT source, bin, CAST(sum(size) AS BIGINT) AS words FROM sized GROUP BY source, bin),
 src AS (SELECT source, CAST(sum(words) AS BIGINT) AS source_size FROM bins GROUP BY source),
 ranked AS (
