@@ -92,6 +92,12 @@ class Sentence(token_codes.Encoder):
         # nor between the bytes of a character
         self.joined[:, 0x80:0xC0] = True
         self.bodies = _table(bodies)
+        self.lengths = self.bodies.sizes[: self.bodies.n].copy()
+
+    def joinable(self, texts: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """No token goes on with a space; the mark of spaces, as a character of a text, has a token of another length."""
+        marks = np.concatenate([[0], np.cumsum(texts.data == 0xE2)])
+        return (texts.data[starts] == 0x20) & (texts.data[ends - 1] != 0x20) & (marks[ends] == marks[starts])
 
     def cuts(self, texts: Texts) -> np.ndarray:
         cut = texts.firsts()[:-1]

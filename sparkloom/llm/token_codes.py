@@ -45,11 +45,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import read, shared_dir
-from sparkloom.llm.textbatch import Interner, Ragged, Texts, pieces
+from sparkloom.llm.textbatch import Interner, Ragged, Texts, pieces, ranges
 
 END_ID = 2
 #: Distinct pieces of text that a worker keeps, some 80 bytes each.
 MOST_PIECES = 3_000_000
+#: Bytes of text that are encoded in one string.
+_JOIN = 16_384
 _MAGIC, _BLOCK = b"DAC1", 512
 _GAP, _POINT, _LETTER = (np.isin(np.arange(256), list(x)) for x in (b" \n", b".,;:!?", bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B))))
 
@@ -151,6 +153,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        # byte-level entries have a character for each byte
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.lengths[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.start(most)
 
     def start(self, most: int) -> None:
@@ -177,8 +183,7 @@ class Encoder:
             lead[1:] = data[:-2]
             lead2 = np.zeros(len(before), np.uint8)
             lead2[2:] = data[:-3]
-            odd = ((lead == 0xC2) & ((before == 0x85) | (before == 0xA0))) | ((lead2 >= 0xE1) & (lead2 <= 0xE3) & ((lead == 0x80) | (lead == 0x81) | (lead == 0x9A)))
-            cut[1:] |= _GAP[now] & (sure | (wide & ~odd))
+            cut[1:] |= _GAP[now] & (sure | (wide & ~_odd(before, lead, lead2)))
             cut[1:] |= (before == 0x0A) & (lead > 0x20) & (lead < 0x7F) & (now > 0x20) & (now < 0x7F)
             cut[1:] |= _POINT[now] & _LETTER[before]
         return cut
@@ -195,13 +200,58 @@ class Encoder:
             self.epoch = self.cache.epoch
             self.found.clear()
         if len(fresh):
-            lists = self.ids_of(texts.strings(starts[fresh], ends[fresh]))
-            self.found.extend(np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists)))
+            self.found.extend(*self.encode_pieces(texts, starts[fresh], ends[fresh]))
         ids, sizes = self.found.gather(codes)
         total = np.concatenate([[0], np.cumsum(sizes)])
         return ids, total[at[1:]] - total[at[:-1]]
 
 
+    def joinable(self, texts: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Pieces that can follow each other in any order without a token across them: a space, and then no white space at the end."""
+        last = texts.data[ends - 1]
+        lead = np.where(ends - starts > 1, texts.data[ends - 2], 0)
+        lead2 = np.where(ends - starts > 2, texts.data[ends - 3], 0)
+        return (texts.data[starts] == 0x20) & (ends - starts > 1) & (((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & ~_odd(last, lead, lead2)))
+
+    def encode_pieces(self, texts: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in order, number of ids of each).
+
+        Joinable pieces are encoded many in one string, which is then cut by the
+        tokens' bytes; should a cut not fall between tokens, the string's pieces are
+        encoded one by one, as the others are.
+        """
+        sizes, lists = np.zeros(len(starts), np.int64), []
+        join = np.flatnonzero(self.joinable(texts, starts, ends))
+        alone, joined = np.ones(len(starts), bool), []
+        upto = np.cumsum((ends - starts)[join])
+        breaks = np.searchsorted(upto, np.arange(_JOIN, (upto[-1] if len(upto) else 0) + _JOIN, _JOIN), "right")
+        groups = [g for g in np.split(join, breaks) if len(g)]
+        texts_of = [texts.data[ranges(starts[g], (ends - starts)[g])].tobytes().decode("utf-8", "replace") for g in groups]
+        for g, ids in zip(groups, self.ids_of(texts_of), strict=True):
+            ids = np.array(ids, np.int64)
+            reach = np.cumsum(self.lengths[ids])
+            want = np.cumsum((ends - starts)[g])
+            at = np.searchsorted(reach, want)
+            if len(ids) and at[-1] == len(ids) - 1 and (reach[np.minimum(at, len(ids) - 1)] == want).all():
+                sizes[g] = np.diff(np.concatenate([[-1], at]))
+                joined.append(ids)
+                alone[g] = False
+        rest = np.flatnonzero(alone)
+        if len(rest):
+            lists = self.ids_of(texts.strings(starts[rest], ends[rest]))
+            sizes[rest] = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.empty(int(sizes.sum()), np.int32)
+        place = np.cumsum(sizes) - sizes
+        flat[ranges(place[~alone], sizes[~alone])] = np.concatenate([np.zeros(0, np.int64), *joined])
+        flat[ranges(place[rest], sizes[rest])] = np.fromiter(chain.from_iterable(lists), np.int32)
+        return flat, sizes
+
+
+def _odd(last: np.ndarray, lead: np.ndarray, lead2: np.ndarray) -> np.ndarray:
+    """Whether three bytes may end in white space outside ASCII."""
+    return ((lead == 0xC2) & ((last == 0x85) | (last == 0xA0))) | ((lead2 >= 0xE1) & (lead2 <= 0xE3) & ((lead == 0x80) | (lead == 0x81) | (lead == 0x9A)))
+
+
 _encoders: dict[str, Encoder] = {}
 
 

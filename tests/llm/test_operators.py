@@ -472,6 +472,26 @@ def test_mix_targets(spark, odd, nothing):
     assert mixing.plan_mix(nothing).count() == 0
 
 
+def test_mix_of_nameless_and_equal_rows_meets_targets_and_its_sql(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(None, sentence(rng, rng.randint(1, 20)), "nameless") for _ in range(500)]
+    rows += [(7, "the same five words here", "equal")] * 400 + [(None, "also equal words", "both")] * 300 + [(i, sentence(rng, 9), "both") for i in range(300)]
+    rows += [(i % 5, sentence(rng, 12), None) for i in range(200)] + [(3, None, "silent"), (3, "", "silent")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, mixing.op8_mix(spark, str(tmp_path)).collect()), key=repr)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.sql(mixing.OP8_SQL)
+    assert found.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    want = sorted(found.fetchall(), key=repr)
+    assert [(r[0], r[1], r[2], round(r[3], 6), r[4]) for r in got] == [(r[0], r[1], r[2], round(r[3], 6), r[4]) for r in want]
+    taken, target = {}, {}
+    for _, size, whole, aim, words in got:
+        assert words <= 2 * size
+        taken[whole], target[whole] = taken.get(whole, 0) + words, aim
+    assert all(abs(taken[k] - target[k]) <= 25 for k in taken)
+
+
 # ---- 9
 
 
@@ -651,3 +671,13 @@ def test_similar_texts_share_a_leading_pair(spark):
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (9, 8), (8, 7), (5, 5), (6, 7)], "a long, b long")
     assert {r.node: r.root for r in order_minhash.components(edges).collect()} == {2: 1, 3: 1, 4: 1, 7: 6, 8: 6, 9: 6}
+
+
+def test_pieces_encoded_together_have_the_ids_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(token_codes, "_JOIN", 40)
+    rng = random.Random(9)
+    alphabet = [*"abXY  \n\t.,'|<>09é漢😀", " ", "　", " ", "\x85", "\x1c", "<|endoftext|>", " the", " stone", "'s"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(800)]
+    ids, counts = token_codes.Encoder(token_codes.tokenizer_path()).encode(Texts.of(texts))
+    want = [e.ids for e in Tokenizer.from_file(token_codes.tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
