@@ -10,6 +10,7 @@ from sparkloom.operators import adjacency as adj
 from sparkloom.operators import aggregate as agg
 from sparkloom.operators import blocks
 from sparkloom.operators import features as feat
+from sparkloom.operators import partition
 from sparkloom.operators import sampling as smp
 from sparkloom.operators import walks
 from sparkloom.plans import fixtures as fx
@@ -421,3 +422,43 @@ def block_gcn_norm(spark, d):
 
 def _vectors(g: PropertyGraph):
     return g.nodes.select("node_id", F.col("features").cast("array<double>").alias("h"))
+
+
+# ---- balanced partitions
+
+
+def _balanced_sql(parts: int, rounds: int) -> list[str]:
+    out = ["pw AS (SELECT src, dst, 1 + (src + dst) % 3 AS weight FROM und1)", f"b0 AS (SELECT node_id, (row_number() OVER (ORDER BY node_id) - 1) % {parts} AS part FROM nodes)", f"cap AS (SELECT CAST(ceil(count(*) * 105 / (100.0 * {parts})) AS BIGINT) AS c FROM nodes)"]
+    for r in range(1, rounds + 1):
+        t = _tape(f"b{r}", "node_id")
+        out += [
+            f"ld{r} AS (SELECT p.part, count(node_id) AS load FROM (SELECT unnest(range({parts})) AS part) p LEFT JOIN b{r - 1} USING (part) GROUP BY p.part)",
+            f"sc{r} AS (SELECT v.node_id, v.part, o.part AS own, l.load, v.votes * (2 * c - l.load) AS score FROM (SELECT e.dst AS node_id, b.part, sum(weight) AS votes FROM pw e JOIN b{r - 1} b ON b.node_id = e.src GROUP BY e.dst, b.part) v JOIN b{r - 1} o ON o.node_id = v.node_id JOIN ld{r} l ON l.part = v.part, cap WHERE substr({t.replace('node_id', 'v.node_id')}, 1, 1) < '8')",
+            f"ch{r} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, part <> own, part) AS rn FROM sc{r}) WHERE rn = 1 AND part <> own)",
+            f"mv{r} AS (SELECT node_id, part FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY {t}) - 1 AS place FROM ch{r}), cap WHERE place < c - load)",
+            f"b{r} AS (SELECT b.node_id, coalesce(m.part, b.part) AS part FROM b{r - 1} b LEFT JOIN mv{r} m USING (node_id))",
+        ]
+    return out
+
+
+def _weighted_pairs(g: PropertyGraph):
+    return g.view("undirected").withColumn("weight", 1 + (F.col("src") + F.col("dst")) % 3)
+
+
+@query("balanced_partition", sql("g1 und1 nodes", "SELECT node_id, part FROM b3", *_balanced_sql(4, 3)))
+def balanced_partition(spark, d):
+    g = fx.graph(spark, d)
+    return partition.balanced_parts(g.nodes, _weighted_pairs(g), 4, 3)
+
+
+@query("balanced_cut", sql("g1 und1 nodes", " UNION ALL ".join(
+    f"SELECT '{name}' AS how, (SELECT CAST(sum(CASE WHEN a.part <> b.part THEN weight ELSE 0 END) AS BIGINT) FROM pw e JOIN {t} a ON a.node_id = e.src JOIN {t} b ON b.node_id = e.dst) AS cut, (SELECT CAST(sum(weight) AS BIGINT) FROM pw) AS total, (SELECT {_round('max(n) / avg(n)')} FROM (SELECT count(*) AS n FROM {t} GROUP BY part)) AS balance" for name, t in (("rounds", "b6"), ("modulo", "b0"))), *_balanced_sql(4, 6)))
+def balanced_cut(spark, d):
+    """Weight across four parts after six rounds, and by ids modulo four."""
+    g = fx.graph(spark, d)
+    pairs = _weighted_pairs(g)
+    out = None
+    for how, rounds in (("rounds", 6), ("modulo", 0)):
+        one = partition.weighted_cut(pairs, partition.balanced_parts(g.nodes, pairs, 4, rounds)).select(F.lit(how).alias("how"), "cut", "total", rounded(F.col("balance")).alias("balance"))
+        out = one if out is None else out.unionByName(one)
+    return out
