@@ -12,8 +12,11 @@ The vocabulary's own kind is not asked for: its scores are ranks of merges, and
 the segmentation is the one of highest total score, not a replay of merges.
 
 Defined cases: null and empty texts have no ids; U+2581 in a text decodes to a
-space (the escape is not injective); repeated rows encode alike; an empty table
-gives an empty result.
+space (the escape is not injective); repeated rows encode alike; equal scores keep the
+longer last piece; a very long text is encoded whole, a batch of its own; an empty table
+gives an empty result; columns asked for are passed on, and those that begin with
+__ids, __pieces or __round_trip are reserved (`stage` names its own piece_ids, n_pieces
+and round_trip).
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ back to the documents' line hashes; texts are never shuffled.
 Defined cases: a null text has no words; a null host is a host of its own; lines
 without a word are not counted or removed; a document without words fails the
 base rules; rows are told apart by (id, text), so repeated rows share a verdict;
-an empty table gives an empty result; other columns are not read.
+a line found in exactly as many documents as the limit allows stays; a very long text
+is one document, read whole; an empty table gives an empty result; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
