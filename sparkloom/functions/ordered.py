@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from sparkloom.functions.lineage import cut
 
 
+#: Inputs of up to so many rows are scanned by plain windows: any group of theirs fits a task.
+SMALL = 200_000
+
+
 class OrderedGroups:
     """Rows of groups `by` in ascending `order` (nulls first; rows equal in it follow each other in any order).
 
@@ -16,13 +20,18 @@ class OrderedGroups:
     runs within the parts; what a part passes on is one row for each group that
     more than one part holds. Those groups begin or end a part, so there are fewer
     of them than parts, and the passed rows, two for a part at most, are broadcast.
+    Without a given number of parts, SMALL rows or less are one part, which nothing
+    is passed to; the results are the same.
     """
 
     def __init__(self, rows: DataFrame, by: list[str], order: list[str], parts: int | None = None):
-        parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         group = F.struct(*by) if by else F.struct(F.lit(0))
+        self.order, self.columns, self.shared = order, rows.columns, None
+        if parts is None and rows.limit(SMALL + 1).count() <= SMALL:
+            self.rows = rows.withColumn("__part", F.lit(0)).withColumn("__g", group)
+            return
+        parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = rows.repartitionByRange(parts, *by, *order)
-        self.order, self.columns = order, rows.columns
         self.rows = cut(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__g", group))
         ends = self.rows.groupBy("__part").agg(F.min("__g").alias("a"), F.max("__g").alias("b"))
         self.shared = ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("__g")).groupBy("__g").agg(F.count("*").alias("n")).where("n > 1").select("__g")
@@ -38,10 +47,13 @@ class OrderedGroups:
     def running(self, **values: Column) -> DataFrame:
         """The rows with, for each name, the sum of the value over the group's rows up to this one."""
         upto = Window.partitionBy("__part", "__g").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+        summed = self.rows.select("*", *[F.sum(c).over(upto).alias(n) for n, c in values.items()])
+        if self.shared is None:
+            return summed.select(*self.columns, *values)
         before = Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
         passed = self._by_part(**{f"__{n}": F.sum(c) for n, c in values.items()})
         passed = passed.select("__g", "__part", *[F.sum(f"__{n}").over(before).alias(f"__{n}") for n in values])
-        out = self._carry(self.rows.select("*", *[F.sum(c).over(upto).alias(n) for n, c in values.items()]), passed)
+        out = self._carry(summed, passed)
         # a sum without a value yet is null, as of any other rows
         total = lambda n: F.when(F.col(n).isNull(), F.col(f"__{n}")).otherwise(F.col(n) + F.coalesce(F.col(f"__{n}"), F.lit(0)))
         return out.select(*self.columns, *[total(n).alias(n) for n in values])
@@ -54,9 +66,12 @@ class OrderedGroups:
         """The rows with, for each name, the first value that is not null at this row or after it."""
         back = [F.col(c).desc() for c in self.order]
         onward = Window.partitionBy("__part", "__g").orderBy(*back).rowsBetween(Window.unboundedPreceding, 0)
+        met = self.rows.select("*", *[F.last(c, ignorenulls=True).over(onward).alias(n) for n, c in values.items()])
+        if self.shared is None:
+            return met.select(*self.columns, *values)
         later = Window.partitionBy("__g").orderBy(F.col("__part").desc()).rowsBetween(Window.unboundedPreceding, -1)
         first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.struct(*self.order)))
         passed = self._by_part(**{f"__{n}": first(c) for n, c in values.items()})
         passed = passed.select("__g", "__part", *[F.last(f"__{n}", ignorenulls=True).over(later).alias(f"__{n}") for n in values])
-        out = self._carry(self.rows.select("*", *[F.last(c, ignorenulls=True).over(onward).alias(n) for n, c in values.items()]), passed)
+        out = self._carry(met, passed)
         return out.select(*self.columns, *[F.coalesce(n, f"__{n}").alias(n) for n in values])

@@ -15,6 +15,10 @@ from sparkloom.operators.adjacency import Adjacency, pick, unit
 from sparkloom.operators.sampling import SEED, dense_index, top_k
 
 
+#: Steps of a walk that are planned together.
+CUT = 4
+
+
 def roots(nodes: DataFrame, n: int, seed: int = SEED, step: str = "root") -> DataFrame:
     """n random nodes."""
     return nodes.select("node_id").orderBy(tape(seed, step, "node_id"), "node_id").limit(n)
@@ -28,7 +32,7 @@ def walk(graph: PropertyGraph, start: DataFrame, length: int, *, seed: int = SEE
     the choice.
     """
     view = graph.view().select(F.col("dst").alias("at"), F.col("src").alias("to"), *([weight.alias("w")] if weight is not None else []))
-    now = cut(start.select(F.col("node_id").alias("walker"), F.col("node_id").alias("at"), F.lit(None).cast("long").alias("prev")))
+    now = start.select(F.col("node_id").alias("walker"), F.col("node_id").alias("at"), F.lit(None).cast("long").alias("prev"))
     steps = now.select("walker", F.lit(0).alias("step"), F.col("at").alias("node_id"))
     for s in range(1, length + 1):
         key = tape(seed, s, "at", "to") if coalesce else tape(seed, s, "walker", "to")
@@ -39,7 +43,9 @@ def walk(graph: PropertyGraph, start: DataFrame, length: int, *, seed: int = SEE
         # one join and one aggregation carry a walker on; what it needs later travels as its key
         best = F.min(F.when(open_to, F.struct(order.alias("key"), F.col("to").alias("to"))))["to"]
         moved = now.join(view, "at", "left").groupBy("walker", "at", "prev").agg(best.alias("to"))
-        now = cut(moved.select("walker", F.coalesce("to", "at").alias("at"), F.when(F.col("to").isNotNull(), F.col("at")).otherwise(F.col("prev")).alias("prev")))
+        now = moved.select("walker", F.coalesce("to", "at").alias("at"), F.when(F.col("to").isNotNull(), F.col("at")).otherwise(F.col("prev")).alias("prev"))
+        # a few steps make one plan, whose exchanges are shared; longer walks are cut, so that plans grow in line with them
+        now = cut(now) if s % CUT == 0 and s < length else now
         steps = steps.unionByName(now.select("walker", F.lit(s).alias("step"), F.col("at").alias("node_id")))
     return steps
 
