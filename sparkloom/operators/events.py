@@ -61,7 +61,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -
 
 def stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, total, mean, p50, p90, p99 (linear interpolation), least and largest."""
-    v = F.col(value)
+    v, rows = F.col(value), cut(rows.select(*by, value))  # sums and quantiles both read it
     plain = rows.groupBy(*by).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("largest"))
     q = quantiles(rows, by, value, [0.5, 0.9, 0.99]).select(*by, F.col("q0").alias("p50"), F.col("q1").alias("p90"), F.col("q2").alias("p99"))
     return _matched(plain, q, by, "left").select(*by, "n", "total", "mean", "p50", "p90", "p99", "least", "largest")
