@@ -169,6 +169,22 @@ def test_materialised_floats(spark):
     assert {r.node_id: r.features for r in readers.materialise(packed, done).collect()} == {1: [1.5, 2.0], 2: [9.0, 9.0], 3: None}
 
 
+def test_resumed_load_asks_every_edge(spark, tmp_path):
+    import duckdb
+
+    from sparkloom.plans import catalog
+
+    # four nodes; edges 1 -> 0, 3 -> 0 and, of an order that no fortieth holds and a line that was not returned, 3 -> 2; 1 -> 1 is none
+    spark.createDataFrame([(i, [1.0], 0) for i in range(4)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    lines = [(1, 1, 1, "R"), (1, 3, 1, "R"), (3, 3, 1, "N"), (2, 1, 1, "R")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(r.node_id for r in catalog.QUERIES["resumed_load"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for t in ("embeddings", "lineitem"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(r[0] for r in con.execute(catalog.SQL["resumed_load"]).fetchall()) == [1, 3]
+
+
 def test_outcomes_and_convergence(spark):
     runs = spark.createDataFrame([("a", "ok", None), ("a", "error", "CUDA OOM"), ("a", "error", None), ("a", None, "out of memory")], "k string, status string, message string")
     assert tuple(ev.outcomes(runs, ["k"]).first()) == ("a", 1, 2, 1, 4)
