@@ -16,7 +16,7 @@ documents of the corpus hold a pair of ids linked is counted over blocks of text
 block of about BLOCK_BYTES of text is one row with the distinct pairs of its documents,
 and sends each distinct pair once. The counts come back to the block's row by its
 number, so that no key meets more rows than there are blocks, and no block more than
-its own pairs.
+its own pairs. A block is aligned in parts of PART_BYTES, which bounds a worker's memory.
 
 Both tokenizers work on pieces of text that no token of theirs crosses, each distinct
 piece once in a worker; pieces are told apart by 64-bit hashes.
@@ -49,8 +49,10 @@ from sparkloom.llm.textbatch import Ragged, Texts, pieces, ranges
 
 #: Text bytes of a block.
 BLOCK_BYTES = 2_000_000
-#: Distinct pieces of text that a worker keeps for each side.
-MOST_PIECES = 1_000_000
+#: Text bytes of a block that are aligned at a time.
+PART_BYTES = 500_000
+#: Distinct pieces of text that a worker keeps for each side, some 100 bytes each.
+MOST_PIECES = 300_000
 #: Pairs of ids that are listed at a time, when groups of many tokens are linked.
 MOST_PAIRS = 4_000_000
 
@@ -282,31 +284,40 @@ def aligned_groups(docs: DataFrame, byte_path: str | None = None, piece_path: st
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, groups array<struct<start:long,end:long,a:array<int>,b:array<int>>>")
 
 
+def _part(texts: Texts, where: tuple[str, str]) -> tuple:
+    """Figures of each text, then the distinct linked pairs of one text after the other and how often each is linked, then digests."""
+    x = Aligned.of(spaced(texts), *encoders(*where))
+    text, code, times = x.links()
+    n_links = np.zeros(texts.n, np.int64)
+    np.add.at(n_links, text, times)
+    order = np.lexsort((code, text))
+    text, code = text[order], code[order]
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(text) > 0) | (np.diff(code) != 0)])) if len(code) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(times[order], begin) if len(begin) else begin
+    return x.n_a, x.n_b, x.n_groups, n_links, np.bincount(text[begin], minlength=texts.n), code[begin], sums, x.digests()
+
+
 _BLOCK = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, n_pairs array<long>, pair array<int>, times array<long>, code array<long>, docs array<long>"
 
 
+def block_rows(batches: Iterator[pa.RecordBatch], where: tuple[str, str], number: int) -> Iterator[pa.RecordBatch]:
+    """The rows of `aligned_blocks` for (doc_id, text) batches, numbered from `number` on."""
+    for batch, _ in pieces(batches, most=BLOCK_BYTES):
+        parts = [_part(texts, where) for _, texts in pieces(iter([batch]), most=PART_BYTES)]
+        n_a, n_b, n_groups, n_links, n_pairs, code, times = (np.concatenate([x[k] for x in parts]) for k in range(7))
+        digests = [d for x in parts for d in x[7]]
+        distinct, pair = np.unique(code, return_inverse=True)
+        row = [[number], [batch.column(0).to_pylist()], [n_a], [n_b], [n_groups], [n_links], [digests], [n_pairs], [pair.astype(np.int32)], [times], [distinct], [np.bincount(pair, minlength=len(distinct))]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _TYPES, strict=True)], names=_NAMES)
+        number += 1
+
+
 def aligned_blocks(docs: DataFrame, byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
     """A row for each block: its documents' figures, their distinct linked pairs as places (`pair`) in the block's list of distinct `code`s, with multiplicities, and the number of its documents that hold each code."""
     where = _paths(byte_path, piece_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        for batch, texts in pieces(batches, most=BLOCK_BYTES):
-            x = Aligned.of(spaced(texts), *encoders(*where))
-            text, code, times = x.links()
-            distinct, place = np.unique(code, return_inverse=True)
-            key = text * len(distinct) + place
-            order = np.argsort(key, kind="stable")
-            begin = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0])) if len(key) else np.zeros(0, np.int64)
-            held = key[order][begin]
-            sums = np.add.reduceat(times[order], begin) if len(begin) else begin
-            n_links = np.zeros(texts.n, np.int64)
-            np.add.at(n_links, text, times)
-            own = held // max(len(distinct), 1)
-            pair = held - own * len(distinct)
-            row = [[number], [batch.column(0).to_pylist()], [x.n_a], [x.n_b], [x.n_groups], [n_links], [x.digests()], [np.bincount(own, minlength=texts.n)], [pair.astype(np.int32)], [sums], [distinct], [np.bincount(pair, minlength=len(distinct))]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _TYPES, strict=True)], names=_NAMES)
-            number += 1
+        return block_rows(batches, where, TaskContext.get().partitionId() << 33)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCK)
 

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -157,6 +158,25 @@ def test_blocks_of_any_size_give_the_same(odd, rows, libraries, monkeypatch):
     assert parts == whole
 
 
+def test_parts_bound_the_memory_and_give_the_same_block(monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(600)) for _ in range(450)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    found, peaks = [], []
+    for most in (token_alignment.PART_BYTES, token_alignment.BLOCK_BYTES):
+        monkeypatch.setattr(token_alignment, "PART_BYTES", most)
+        list(token_alignment.block_rows(iter([batch]), (BYTE, PIECE), 7))
+        tracemalloc.start()
+        found.append(pa.Table.from_batches(token_alignment.block_rows(iter([batch]), (BYTE, PIECE), 7)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert 1_500_000 < sum(map(len, texts)) < token_alignment.BLOCK_BYTES and found[0].num_rows == 1
+    assert found[0].equals(found[1])
+    assert peaks[0] < 0.6 * peaks[1], peaks
+    assert max(x.cache.most for x in token_alignment.encoders(BYTE, PIECE)) <= 300_000
+
+
 def test_groups_hold_spans_and_ids(odd, rows, libraries):
     found = token_alignment.aligned_groups(odd.where("doc_id IS NOT NULL")).collect()
     want = {r[0]: plain_groups(r[1], *libraries) for r in rows if r[0] is not None}
