@@ -40,3 +40,19 @@ def test_query_matches_sql(spark, duck, name):
 def test_queries_without_sql(spark):
     for name in sorted(set(catalog.QUERIES) - set(catalog.SQL)):
         assert catalog.QUERIES[name](spark, DIR).count() > 0
+
+
+def _inside(plan):
+    yield plan
+    below = plan.children()
+    for p in [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [below.apply(i) for i in range(below.size())]:
+        yield from _inside(p)
+
+
+def test_no_exchange_carries_a_vector_for_each_edge(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = catalog.QUERIES["msg_degree_norm"](spark, DIR)._jdf.queryExecution().executedPlan()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [p.output().mkString(" ") for p in _inside(plan) if "Exchange" in p.nodeName()]
+    assert moved and not any("h#" in m and "dst#" in m for m in moved), moved
