@@ -9,41 +9,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of vectors and number of edges that a block is made for, and numbers of a product that are held at a time.
-BLOCK_BYTES, BLOCK_EDGES, CELLS = 64_000_000, 2_000_000, 4_000_000
+from sparkloom.functions.lineage import cut
+from sparkloom.operators import packed
+
+#: Bytes of vectors or sums and number of packed edges that a block is made for, and numbers of a product that are held at a time.
+BLOCK_BYTES, BLOCK_EDGES, CELLS = 64_000_000, 10_000_000, 4_000_000
 
 
 def grid(nodes: int, edges: int, dim: int) -> tuple[int, int]:
-    """(blocks of sources, blocks of targets) for so many vectors and edges."""
+    """(blocks of sources, blocks of targets) for so many vectors and edges; targets are taken to be as many as vectors."""
     sources = max(1, math.ceil(nodes * dim * 8 / BLOCK_BYTES))
-    return sources, max(1, math.ceil(edges / BLOCK_EDGES / sources))
+    return sources, max(sources, math.ceil(edges / BLOCK_EDGES / sources))
+
+
+def _sources(pieces: pa.Table) -> pa.Table:
+    """The different sources of a block."""
+    found = np.empty(0, np.int64)
+    for src, _, _ in packed.rows_of(pieces):
+        found = np.union1d(found, src)
+    at = lambda c: pa.array(np.full(len(found), pieces.column(c)[0].as_py(), np.int32))
+    return pa.table({"node_id": found, "vs": at("i"), "vt": at("j")})
 
 
 def _product(dim: int):
-    def run(edges: pa.Table, vectors: pa.Table) -> pa.Table:
+    def run(pieces: pa.Table, vectors: pa.Table) -> pa.Table:
         none = pa.table({"node_id": pa.array([], pa.int64()), "h": pa.array([], pa.list_(pa.float64())), "n": pa.array([], pa.int64())})
-        if not edges.num_rows or not vectors.num_rows:
+        if not pieces.num_rows or not vectors.num_rows:
             return none
         ids = vectors.column("node_id").to_numpy()
-        order = np.argsort(ids)
-        ids, x = ids[order], vectors.column("h").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[order]
-        src, dst = edges.column("src").to_numpy(), edges.column("dst").to_numpy()
-        at = np.minimum(np.searchsorted(ids, src), len(ids) - 1)
-        there = ids[at] == src  # neighbours without a vector send nothing
-        at, dst = at[there], dst[there]
-        if not len(at):
-            return none
-        order = np.argsort(dst, kind="stable")
-        at, dst = at[order], dst[order]
-        first = np.flatnonzero(np.concatenate([[True], np.diff(dst) > 0]))
-        out = np.zeros((len(first), dim))
+        place = np.argsort(ids)
+        ids, x = ids[place], vectors.column("h").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        targets = np.empty(0, np.int64)
+        for _, dst, _ in packed.rows_of(pieces):
+            targets = np.union1d(targets, dst)
+        out, n = np.zeros((len(targets), dim)), np.zeros(len(targets), np.int64)
         step = max(1, CELLS // dim)
-        row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(dst))))
-        for i in range(0, len(at), step):
-            rows, begin = np.unique(row[i : i + step], return_index=True)
-            out[rows] += np.add.reduceat(x[at[i : i + step]], begin, axis=0)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * dim), pa.array(out.ravel()))
-        return pa.table({"node_id": dst[first], "h": lists, "n": np.diff(np.append(first, len(dst)))})
+        for src, dst, _ in packed.rows_of(pieces):
+            at = np.minimum(np.searchsorted(ids, src), len(ids) - 1)
+            there = ids[at] == src  # neighbours without a vector send nothing
+            at, row = place[at[there]], np.searchsorted(targets, dst[there])
+            n += np.bincount(row, minlength=len(n))
+            order = np.argsort(row, kind="stable")
+            at, row = at[order], row[order]
+            for i in range(0, len(at), step):
+                rows, begin = np.unique(row[i : i + step], return_index=True)
+                out[rows] += np.add.reduceat(x[at[i : i + step]], begin, axis=0)
+        met = np.flatnonzero(n)
+        if not len(met):
+            return none
+        out = out if len(met) == len(n) else out[met]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(met) + 1, dtype=np.int32) * dim), pa.array(out.ravel()))
+        return pa.table({"node_id": targets[met], "h": lists, "n": n[met]})
 
     return run
 
@@ -52,17 +68,18 @@ def partial_sums(edges: DataFrame, h: DataFrame, dim: int, shape: tuple[int, int
     """(node_id, h, n): for each target and block of sources, the sum of its neighbours' vectors and their number.
 
     h(node_id, h) has one row of `dim` numbers for each node that has a vector.
-    A block holds the edges between two sets of nodes, and the vectors of those of its
-    sources that have an edge in it; a source with very many edges is in all blocks of
-    targets, each of which holds a part of them.
+    A block holds the edges between two sets of nodes, in packed pieces that are
+    unpacked one at a time, and the vectors of those of its sources that have an
+    edge in it; a source with very many edges is in all blocks of targets, each of
+    which holds a part of them. `shape` is the least grid: a larger graph has a larger one.
     """
-    if shape is None:
-        shape = grid(h.count(), edges.count(), dim)
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    sides = edges.select("src", "dst", part("src", shape[0]).alias("s"), part("dst", shape[1]).alias("t"))
-    needed = sides.select(F.col("src").alias("node_id"), F.col("s").alias("vs"), F.col("t").alias("vt")).distinct()
+    pieces = packed.pack(edges.select("src", "dst"))
+    least, shape = shape or (1, 1), grid(h.count(), packed.size(pieces), dim)
+    shape = max(least[0], shape[0]), max(least[1], shape[1])
+    blocks = cut(packed.dealt(pieces, *shape))
+    needed = blocks.groupBy("i", "j").applyInArrow(_sources, "node_id long, vs int, vt int")
     sent = needed.join(h.where(F.col("h").isNotNull()).select("node_id", "h"), "node_id")
-    return sides.groupBy("s", "t").cogroup(sent.groupBy("vs", "vt")).applyInArrow(_product(dim), "node_id long, h array<double>, n long")
+    return blocks.groupBy("i", "j").cogroup(sent.groupBy("vs", "vt")).applyInArrow(_product(dim), "node_id long, h array<double>, n long")
 
 
 def sums(edges: DataFrame, h: DataFrame, dim: int, shape: tuple[int, int] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import blocks
+from sparkloom.operators import blocks, packed
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +46,25 @@ def test_the_grid_grows_with_the_graph():
     assert blocks.grid(100, 1000, 64) == (1, 1)
     s, t = blocks.grid(10**9, 10**11, 128)
     assert 10**9 * 128 * 8 / s <= blocks.BLOCK_BYTES and 10**11 / (s * t) <= blocks.BLOCK_EDGES
+
+
+def test_a_given_grid_is_the_least(data, monkeypatch):
+    edges, x, e, h = data
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 256)
+    parts = blocks.partial_sums(e, h, 4, (3, 2)).collect()
+    numbers = [sum(1 for r in parts if r.node_id == i) for i in range(80)]
+    assert 3 < max(numbers) <= blocks.grid(80, len(edges), 4)[0] and sum(r.n for r in parts) == sum(a in x for a, _ in edges)
+
+
+def test_pieces_give_their_pairs_back(spark, monkeypatch):
+    monkeypatch.setattr(packed, "PIECE", 7)
+    rows = [(a, b, v) for a, b in [(-(2**62), 2**62), (5, -1), (5, -1), (0, 3), (2**63 - 1, -(2**63))] for v in (1.0, 2.5)] + [(1, 2, 1.0)] * 9
+    pairs = spark.createDataFrame([*rows, (None, 1, 1.0), (1, None, 1.0)], "a long, b long, val double").repartition(2)
+    pieces = packed.pack(pairs)
+    assert packed.size(pieces) == len(rows) and packed.size(packed.pack(pairs.limit(0))) == 0
+    got = []
+    for r in packed.dealt(pieces, 2, 3).collect():
+        a, b, v = packed.unpacked(r.n, r.a, r.b, r.v)
+        assert set(packed.parts_of(a, 2)) == {r.i} and set(packed.parts_of(b, 3)) == {r.j}
+        got += zip(a.tolist(), b.tolist(), [1.0] * r.n if v is None else v.tolist(), strict=True)
+    assert sorted(got) == sorted(rows)
