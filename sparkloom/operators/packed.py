@@ -82,13 +82,14 @@ def size(pieces: DataFrame) -> int:
     return pieces.agg(F.sum("n")).first()[0] or 0
 
 
-def dealt(pieces: DataFrame, parts_a: int, parts_b: int) -> DataFrame:
-    """(i, j, n, a, b, v): the pieces cut by the parts of both sides."""
+def dealt(pieces: DataFrame, parts_a: int, parts_b: int, turned: bool = False) -> DataFrame:
+    """(i, j, n, a, b, v): the pieces cut by the parts of both sides, which are turned round first if asked for."""
     names = [("i", pa.int32()), ("j", pa.int32()), *_KEPT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, v in rows_of(batch):
+                a, b = (b, a) if turned else (a, b)
                 block = parts_of(a, parts_a) * parts_b + parts_of(b, parts_b)
                 order = np.argsort(block, kind="stable")
                 ends = np.cumsum(np.bincount(block, minlength=parts_a * parts_b))

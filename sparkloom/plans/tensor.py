@@ -7,7 +7,9 @@ A sum over a variable joins its factors: first those that bound the variable by
 or an equality (guards), then factors whose variables are bound already, which filter,
 then guards that bring in one more variable; what doesn't mention the variable is taken
 out of the sum, so that sums over unrelated variables never meet. A product without a
-guard between its variables is refused, as it would list all pairs.
+guard between its variables is refused, as it would list all pairs. A sum over three
+variables that three guards join in a ring is computed by blocks of nodes, so that the
+paths over the third variable are not listed in a table.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql.types import ArrayType
 
 from sparkloom.functions.lineage import cut
 from sparkloom.graph import PropertyGraph
+from sparkloom.operators import packed
+from sparkloom.operators.closed import closed_sums
 
 #: Elementwise functions, and whether they keep zero at zero.
 FUNCTIONS: dict[str, tuple[Callable[[Column], Column], bool]] = {
@@ -210,7 +214,7 @@ class Compiler:
     """Compiles expressions over one graph; parts that occur more than once, under whatever names, are computed once."""
 
     def __init__(self, graph: PropertyGraph):
-        self.graph, self.known, self.uses = graph, {}, Counter()
+        self.graph, self.known, self.uses, self.pieces = graph, {}, Counter(), {}
 
     def compile(self, e: Expression) -> Relation:
         self._count(e)
@@ -261,11 +265,11 @@ class Compiler:
                     return Relation(nodes.select(F.col("node_id").alias(e.x), F.lit(1.0).alias("val")), (e.x,), total=True)
                 return Relation(nodes.select(F.col("node_id").alias(e.x), F.col("node_id").alias(e.y), F.lit(1.0).alias("val")), (e.x, e.y))
             case Times():
-                return self._joined(e)
+                return self._closed(e) or self._joined(e)
             case Plus():
                 return self._added([self._get(t) for t in e.terms])
             case Sum():
-                return self._summed(e)
+                return self._closed(e) or self._summed(e)
             case Apply():
                 if e.function not in FUNCTIONS:
                     raise ValueError(f"no such function: {e.function}")
@@ -349,6 +353,31 @@ class Compiler:
             out = out.select(F.when(empty, zero).otherwise(F.col("val")).alias("val"))
         return Relation(out, rest, body.width, total=not rest)
 
+    def _packed(self, e: Expression, first: str) -> tuple[DataFrame, bool]:
+        """Pieces of a relation of two variables, and whether they begin with the other one than `first`."""
+        a, b = (e.x, e.y) if isinstance(e, Edge) else sorted(free(e))
+        key = Edge("a", "b", e.weight) if isinstance(e, Edge) else canonical(e)
+        if key not in self.pieces:
+            self.pieces[key] = packed.pack(self._get(e).rows.select(F.col(a).alias("a"), F.col(b).alias("b"), "val"))
+        return self.pieces[key], a != first
+
+    def _closed(self, e: Expression) -> Relation | None:
+        """Sums of numbers over a ring x -> y -> z -> x of which z, at least, is summed over; None for any other expression."""
+        ring = _ring(e)
+        if not ring:
+            return None
+        x, y, summed, constant, mask, onward, back = ring
+        if any(self._get(f).width for f in (mask, onward, back)):
+            return None
+        keep = {n: v for n, v in (("x", x), ("y", y)) if v not in summed}
+        sides = self._packed(mask, x), self._packed(onward, y), self._packed(back, next(iter(free(back) - {x})))
+        parts = closed_sums(*sides, tuple(keep))
+        rest = tuple(keep.values())
+        out = self._totals(parts.select(*[F.col(n).alias(v) for n, v in keep.items()], (F.col("val") * F.lit(constant)).alias("val")), rest, None)
+        if not rest:
+            out = out.select(F.coalesce("val", F.lit(0.0)).alias("val"))
+        return Relation(out, rest, total=not rest)
+
     def _joined(self, e: Times) -> Relation:
         factors = _flat(e)
         constant = 1.0
@@ -395,6 +424,34 @@ def _flat(e: Expression) -> list[Expression]:
     return [x for f in e.factors for x in _flat(f)] if isinstance(e, Times) else [e]
 
 
+def _ring(e: Expression) -> tuple | None:
+    """x, y, the variables summed over, the constant and the factors over (x, y), (y, z), (z, x) of a sum over a ring."""
+    summed: list[str] = []
+    while isinstance(e, Sum):
+        summed, e = [*summed, e.var], e.body
+    factors = _flat(e)
+    for f in [f for f in factors if isinstance(f, Sum)]:
+        others = [g for g in factors if g is not f]
+        if f.var not in summed and not any(f.var in free(g) for g in others):
+            factors, summed = [*others, *_flat(f.body)], [*summed, f.var]
+    constant = 1.0
+    for f in factors:
+        constant *= f.value if isinstance(f, Const) else 1.0
+    factors = [f for f in factors if not isinstance(f, Const)]
+    if len(set(summed)) < len(summed):
+        return None
+    for z in summed:
+        own = [f for f in factors if free(f) == {z}]
+        ends = [f for f in factors if z in free(f) and len(free(f)) > 1]
+        rest = [f for f in factors if z not in free(f)]
+        if len(ends) != 2 or any(len(free(f)) != 2 for f in ends):
+            continue
+        (y,), (x,) = (free(f) - {z} for f in ends)
+        if x != y and any(free(f) == {x, y} for f in rest) and all(free(f) and free(f) <= {x, y} for f in rest) and set(summed) <= {x, y, z}:
+            return x, y, set(summed), constant, _product_of(rest), _product_of([ends[0], *own]), ends[1]
+    return None
+
+
 def _product_of(factors: list[Expression]) -> Expression:
     return factors[0] if len(factors) == 1 else Times(tuple(factors))
 
